@@ -12,15 +12,17 @@ one id and text are one result; null ids are kept; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonolith.llm.common import whole
+from sonolith.llm.common import stable, whole
 
 MASKS = ("1101001011", "1011010011", "1100110101")
 SPAN = 10
 WINDOW, LEAST_WINDOW, LEAST_SHARE = 20, 13, 0.8
-#: Seeds of the benchmark up to which they are broadcast; beyond, both sides are shuffled.
+#: Seeds of the benchmark that are broadcast at once; more go in blocks.
 BROADCAST_SEEDS = 1_000_000
 
 
@@ -47,22 +49,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     whole_only = F.array(*[F.lit(len(m)) if k >= len(MASKS) else F.lit(0) for k, m in enumerate(masks)])
     seeds = seeds.select("item_id", "item", "j", F.posexplode(_seeds(F.col("item"), F.col("j"), masks)).alias("k", "seed")).where(F.col("seed").isNotNull() & ((F.get(whole_only, "k") == 0) | (F.get(whole_only, "k") == F.size("item"))))
     seeds = seeds.select("seed", "item_id", "item", "j", "k").distinct()
-    few = seeds.count() <= BROADCAST_SEEDS
+    seeds = stable(seeds, "seeds")
+    blocks = max(1, -(-seeds.count() // BROADCAST_SEEDS))
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), tokens(F.col(text)).alias("toks"))
     least = min(map(len, masks))
     at = rows.withColumn("i", F.explode_outer(F.when(F.size("toks") >= least, F.sequence(F.lit(0), F.size("toks") - least)))).where("i is not null")
     at = at.withColumn("seed", F.explode_outer(_seeds(F.col("toks"), F.col("i"), masks))).where("seed is not null")
-    hits = at.join(F.broadcast(seeds) if few else seeds, "seed")
-    near = F.slice("toks", F.greatest(F.lit(1), F.col("i") + 1 - WINDOW), 3 * WINDOW)
-    hits = hits.select("doc_id", "text_hash", "item_id", "item", "j", "i", F.size("toks").alias("n"), near.alias("near"))
+    # Each block of seeds has a checked size; a larger benchmark takes more passes.
+    part = lambda b: seeds if blocks == 1 else seeds.where(F.pmod("seed", F.lit(blocks)) == b)
+    hits = reduce(DataFrame.unionByName, [at.join(F.broadcast(part(b)), "seed") for b in range(blocks)])
     shift = F.col("i") - F.col("j")
-    low, high = F.greatest(F.lit(0), -shift), F.least(F.size("item"), F.col("n") - shift)
-    begin = F.greatest(low, F.least(F.col("j") - (WINDOW - SPAN) // 2, high - WINDOW))
-    hits = hits.withColumn("a", begin).withColumn("b", F.least(high, begin + WINDOW)).withColumn("skip", shift - F.greatest(F.lit(0), F.col("i") - WINDOW))
-    equal = F.size(F.filter(F.sequence("a", F.col("b") - 1), lambda q: F.get("item", q) == F.get("near", q + F.col("skip"))))
-    hits = hits.withColumn("matched", equal / (F.col("b") - F.col("a")))
-    hits = hits.where((F.col("matched") >= LEAST_SHARE) & (F.col("b") - F.col("a") >= F.least(F.lit(LEAST_WINDOW), F.size("item"))))
-    return hits.groupBy("doc_id", "text_hash", "item_id").agg(F.max("matched").alias("matched"), F.count(F.lit(1)).alias("hits"))
+    low, high = F.greatest(F.lit(0), shift), F.least(F.size("toks"), shift + F.size("item"))
+    # Only the aligned part of a text leaves the join; hits of one alignment meet before they are verified.
+    hits = hits.select("doc_id", "text_hash", "item_id", "item", shift.alias("shift"), F.slice("toks", low + 1, high - low).alias("part"))
+    lines = hits.groupBy("doc_id", "text_hash", "item_id", "shift").agg(F.first("item").alias("item"), F.first("part").alias("part"), F.count(F.lit(1)).alias("hits"))
+    item = F.slice("item", F.greatest(F.lit(1), 1 - F.col("shift")), F.size("part"))
+    same = F.transform(F.zip_with(item, "part", lambda x, y: x == y), lambda x: x.cast("int"))
+    lines = lines.withColumn("same", same).withColumn("size", F.least(F.lit(WINDOW), F.size("part")))
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - F.col("size") + 1), lambda k: F.aggregate(F.slice("same", k, F.col("size")), F.lit(0), lambda n, x: n + x)))
+    lines = lines.withColumn("matched", best / F.col("size"))
+    lines = lines.where((F.col("matched") >= LEAST_SHARE) & (F.col("size") >= F.least(F.lit(LEAST_WINDOW), F.size("item"))))
+    return lines.groupBy("doc_id", "text_hash", "item_id").agg(F.max("matched").alias("matched"), F.sum("hits").alias("hits"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
