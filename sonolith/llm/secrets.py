@@ -85,7 +85,10 @@ def scan(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str =
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)
     judged = each.join(ownership(each), "hash").withColumn("status", status).where((F.col("rank") < 4) | (F.col("status") == "live"))
     by_key = judged.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", kind.alias("kind"), "status", "n_owners", "n_repos"))).alias("secrets"))
-    return rows.select("repo", "owner", "key").join(by_key, "key", "left").select(F.col("repo").alias(repo), F.col("owner").alias(owner), F.coalesce("secrets", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,status:string,n_owners:bigint,n_repos:bigint>>")).alias("secrets"))
+    # Rows without candidates have no key and take no part in the join.
+    full = rows.where("key is not null").select("repo", "owner", "key").join(by_key, "key", "left").select("repo", "owner", "secrets")
+    empty = rows.where("key is null").select("repo", "owner", F.lit(None).cast(full.schema["secrets"].dataType).alias("secrets"))
+    return full.unionByName(empty).select(F.col("repo").alias(repo), F.col("owner").alias(owner), F.coalesce("secrets", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,status:string,n_owners:bigint,n_repos:bigint>>")).alias("secrets"))
 
 
 def joined(spans: Column) -> Column:
