@@ -1,0 +1 @@
+"""Numeric column functions with stated edge behaviour."""
