@@ -7,7 +7,9 @@ Window functions over one signal run in one task. For signals of any length,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SIGNAL = Window.partitionBy("signal_id").orderBy("idx")
@@ -37,8 +39,8 @@ def reductions(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.min("sample").alias("min"),
         F.max("sample").alias("max"),
-        F.min_by("idx", F.struct("sample", "idx")).alias("argmin"),
-        F.min_by("idx", F.struct(-F.col("sample"), F.col("idx"))).alias("argmax"),
+        F.min_by("idx", F.when(F.col("sample").isNotNull(), F.struct("sample", "idx"))).alias("argmin"),
+        F.min_by("idx", F.when(F.col("sample").isNotNull(), F.struct(-F.col("sample"), F.col("idx")))).alias("argmax"),
         F.avg(x).alias("mean"),
         F.sqrt(F.sum(x * x)).alias("norm_l2"),
         F.sum(F.abs(x)).alias("norm_l1"),
@@ -61,11 +63,12 @@ def broadcast_join(a: DataFrame, b: DataFrame, policy: str, fill: float = 0.0) -
     """signal_id, idx, a, b at the longer length, by zeropad, fill, latch or tile."""
     a, b = (x.select("signal_id", "idx", F.col("sample").alias(n)) for x, n in ((a, "a"), (b, "b")))
     if policy == "tile":
-        sizes = a.groupBy("signal_id").agg(F.count(F.lit(1)).alias("na")).join(b.groupBy("signal_id").agg(F.count(F.lit(1)).alias("nb")), "signal_id")
-        both = a.select("signal_id", "idx").union(b.select("signal_id", "idx")).distinct().join(sizes, "signal_id")
-        left = both.join(a.select("signal_id", F.col("idx").alias("ia"), "a"), (both.signal_id == a.signal_id) & (both.idx % both.na == F.col("ia"))).select(both.signal_id, both.idx, both.nb, "a")
-        right = b.select(F.col("signal_id").alias("s2"), F.col("idx").alias("ib"), "b")
-        return left.join(right, (left.signal_id == F.col("s2")) & (left.idx % left.nb == F.col("ib"))).select(left.signal_id, left.idx, "a", "b")
+        count = lambda x, n: x.groupBy("signal_id").agg(F.count(F.lit(1)).alias(n))
+        both = a.select("signal_id", "idx").union(b.select("signal_id", "idx")).distinct()
+        both = both.join(count(a, "n_a"), "signal_id").join(count(b, "n_b"), "signal_id")
+        both = both.withColumn("at_a", F.col("idx") % F.col("n_a")).withColumn("at_b", F.col("idx") % F.col("n_b"))
+        both = both.join(a.withColumnRenamed("idx", "at_a"), ["signal_id", "at_a"]).join(b.withColumnRenamed("idx", "at_b"), ["signal_id", "at_b"])
+        return both.select("signal_id", "idx", "a", "b")
     joined = a.join(b, ["signal_id", "idx"], "full")
     if policy == "latch":
         held = SIGNAL.rowsBetween(Window.unboundedPreceding, 0)
@@ -94,10 +97,18 @@ def fir(rows: DataFrame, taps: list[float], chunk: int = CHUNK) -> DataFrame:
     return haloed(rows, len(taps) - 1, chunk=chunk).withColumn("sample", total).where("own").drop("chunk", "own")
 
 
-def convolve(rows: DataFrame, kernel: DataFrame) -> DataFrame:
-    """Full linear convolution with a kernel (tap, weight) of any length, by a join on the taps."""
-    spread = rows.crossJoin(F.broadcast(kernel)) if kernel.count() <= 4096 else rows.join(kernel)
-    return spread.groupBy("signal_id", (F.col("idx") + F.col("tap")).alias("idx")).agg(F.sum(F.col("sample") * F.col("weight")).alias("sample"))
+def convolve(rows: DataFrame, taps: list[float], chunk: int = CHUNK) -> DataFrame:
+    """Full linear convolution with a kernel of any length: each chunk is convolved
+    by itself, and where the results overlap they are added."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("idx")
+        got = np.convolve(part["sample"].to_numpy(float), np.array(taps, float))
+        return pd.DataFrame({"signal_id": part["signal_id"].iloc[0], "idx": part["idx"].iloc[0] + np.arange(len(got)), "sample": got})
+
+    held = rows.select("signal_id", "idx", F.col("sample").cast("double"), F.floor(F.col("idx") / chunk).alias("chunk"))
+    each = held.groupBy("signal_id", "chunk").applyInPandas(lambda part: run(part[["signal_id", "idx", "sample"]]), "signal_id long, idx long, sample double")
+    return each.groupBy("signal_id", "idx").agg(F.sum("sample").alias("sample"))
 
 
 def diff(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:

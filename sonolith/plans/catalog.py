@@ -1,4 +1,385 @@
-"""Registered queries and their SQL."""
+"""Registered queries and, for each, equivalent SQL for an independent engine."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sonolith.functions import bits as B
+from sonolith.functions import scalar as S
+from sonolith.functions.casts import checked_cast
+from sonolith.functions.composite import c_abs, c_mul, complex_of, fixed
+from sonolith.functions.numtypes import CONSTANTS, num
+from sonolith.operators import arrays as A
+from sonolith.operators import dsp as D
+from sonolith.operators import rows as R
+from sonolith.plans import graph as G
+from sonolith.sources.tables import embedding_signals, event_signals, table
+from sonolith.streaming import chunks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+c = F.col
+
+EVENTS = "(SELECT user_id AS signal_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value AS sample FROM events)"
+VECTORS = "(SELECT vec_id AS signal_id, embedding::DOUBLE[] AS a, list_reverse(embedding::DOUBLE[]) AS b FROM embeddings)"
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+def _vectors(spark, d) -> DataFrame:
+    return embedding_signals(spark, d).select("signal_id", c("samples").alias("a"), F.reverse("samples").alias("b"))
+
+
+@query(f"""WITH d AS (SELECT signal_id, idx, sample - lag(sample) OVER (PARTITION BY signal_id ORDER BY idx) AS sample FROM {EVENTS}),
+m AS (SELECT signal_id, max(sample) AS m FROM d GROUP BY signal_id)
+SELECT d.signal_id, count(*)::BIGINT AS n, max(abs(sample)) AS norm_inf, any_value(m.m) AS peak, min(idx) FILTER (sample = m.m)::BIGINT AS argmax
+FROM d JOIN m USING (signal_id) GROUP BY d.signal_id""")
+def signal_report(spark, d):
+    """Differences of each user's signal and their reductions."""
+    got = R.reductions(R.diff(event_signals(spark, d)))
+    return got.select("signal_id", "n", "norm_inf", c("max").alias("peak"), "argmax")
+
+
+@query("""SELECT l_orderkey, l_linenumber, (l_orderkey + l_linenumber)::BIGINT AS added, (l_linenumber - l_orderkey)::BIGINT AS taken, (l_orderkey * l_linenumber)::BIGINT AS product,
+(l_orderkey // l_linenumber)::BIGINT AS quotient, (-l_orderkey % l_linenumber)::BIGINT AS remainder, ((((l_orderkey * 65537) % 4294967296) + 2147483648) % 4294967296 - 2147483648)::INTEGER AS wrapped FROM lineitem""")
+def arith_int(spark, d):
+    a, b = c("l_orderkey"), c("l_linenumber")
+    return table(spark, d, "lineitem").select(a, b, S.add(a, b, "i64").alias("added"), S.sub(b, a, "i64").alias("taken"), S.mul(a, b, "i64").alias("product"), S.div(a, b, "i64").alias("quotient"), S.rem(-a, b, "i64").alias("remainder"), S.mul(a, F.lit(65537), "i32", "wrap").alias("wrapped"))
+
+
+@query("SELECT l_extendedprice, l_discount, l_extendedprice + l_discount AS added, l_discount - l_extendedprice AS taken, l_extendedprice * l_discount AS product, CASE WHEN l_discount = 0 THEN 'inf'::DOUBLE ELSE l_extendedprice / l_discount END AS quotient, CASE WHEN l_discount = 0 THEN 'nan'::DOUBLE ELSE l_extendedprice % l_discount END AS remainder FROM lineitem")
+def arith_float(spark, d):
+    a, b = c("l_extendedprice"), c("l_discount")
+    return table(spark, d, "lineitem").select(a, b, S.add(a, b).alias("added"), S.sub(b, a).alias("taken"), S.mul(a, b).alias("product"), S.div(a, b).alias("quotient"), S.rem(a, b).alias("remainder"))
+
+
+@query("SELECT l_quantity, l_tax, l_quantity = l_tax AS eq, l_quantity < l_tax AS lt, l_quantity <= l_tax AS le, l_quantity > l_tax AS gt, l_quantity >= l_tax AS ge FROM lineitem")
+def eq_order(spark, d):
+    a, b = c("l_quantity"), c("l_tax")
+    return table(spark, d, "lineitem").select(a, b, *[f(a, b).alias(n) for n, f in (("eq", S.eq), ("lt", S.lt), ("le", S.le), ("gt", S.gt), ("ge", S.ge))])
+
+
+@query("SELECT l_discount, l_discount = 0 AS is_zero, l_discount = 1 AS is_one, 0.0::DOUBLE AS zero, 1.0::DOUBLE AS one FROM lineitem")
+def identities(spark, d):
+    x = c("l_discount")
+    return table(spark, d, "lineitem").select(x, S.is_zero(x).alias("is_zero"), S.is_one(x).alias("is_one"), S.set_zero(x, "f64").alias("zero"), S.set_one(x, "f64").alias("one"))
+
+
+@query("SELECT l_linenumber, l_discount, (1 // l_linenumber)::INTEGER AS recip_int, CASE WHEN l_discount = 0 THEN 'inf'::DOUBLE ELSE 1 / l_discount END AS recip_float, CASE WHEN l_discount = 0 THEN 0.0 ELSE 1 / (1 / l_discount) END AS back FROM lineitem")
+def recip_inv(spark, d):
+    return table(spark, d, "lineitem").select("l_linenumber", "l_discount", S.recip(c("l_linenumber"), "i32").alias("recip_int"), S.recip(c("l_discount")).alias("recip_float"), S.inverse(S.inverse(c("l_discount"))).alias("back"))
+
+
+@query("SELECT event_id, NULL::BIGINT AS base FROM events")
+def dismantle(spark, d):
+    return table(spark, d, "events").select("event_id", S.dismantle(c("event_id"), "i64").alias("base"))
+
+
+@query("SELECT c_custkey, least(c_acctbal, 100.0) AS low, greatest(c_acctbal, 100.0) AS high, greatest(-500.0, least(5000.0, c_acctbal)) AS clamped FROM customer")
+def min_max_clamp(spark, d):
+    x = c("c_acctbal")
+    return table(spark, d, "customer").select("c_custkey", S.minimum(x, F.lit(100.0)).alias("low"), S.maximum(x, F.lit(100.0)).alias("high"), S.clamp(x, F.lit(-500.0), F.lit(5000.0)).alias("clamped"))
+
+
+_INTS = ("i8", "i16", "i32", "i64", "u8", "u16", "u32")
+
+
+@query("SELECT -128::BIGINT AS i8_min, 127::BIGINT AS i8_max, -32768::BIGINT AS i16_min, 32767::BIGINT AS i16_max, -2147483648::BIGINT AS i32_min, 2147483647::BIGINT AS i32_max, (-9223372036854775808)::BIGINT AS i64_min, 9223372036854775807::BIGINT AS i64_max, 0::BIGINT AS u8_min, 255::BIGINT AS u8_max, 0::BIGINT AS u16_min, 65535::BIGINT AS u16_max, 0::BIGINT AS u32_min, 4294967295::BIGINT AS u32_max, 2.220446049250313e-16::DOUBLE AS epsilon, 52 AS significand_bits, 11 AS exponent_bits, 4503599627370495::BIGINT AS significand_mask, 9218868437227405312::BIGINT AS exponent_mask, 15 AS digits, 53 AS mantissa_digits, -1021 AS min_exp, 1024 AS max_exp, -307 AS min_10_exp, 308 AS max_10_exp, pi() AS pi, 2 * pi() AS tau, 2.718281828459045::DOUBLE AS e, 0::BIGINT AS least_positive_int, -1::BIGINT AS neg_one, 2147483648::BIGINT AS sign_mask32")
+def bounds_consts(spark, d):
+    k = CONSTANTS["f64"]
+    ints = [F.lit(v).cast("bigint").alias(f"{t}_{n}") for t in _INTS for n, v in (("min", num(t).low), ("max", num(t).high))]
+    small = [F.lit(getattr(k, n)).cast("int").alias(n) for n in ("significand_bits", "exponent_bits", "digits", "mantissa_digits", "min_exp", "max_exp", "min_10_exp", "max_10_exp")]
+    masks = [F.lit(getattr(k, n)).cast("bigint").alias(n) for n in ("significand_mask", "exponent_mask")]
+    real = [S.constant(n).alias(n) for n in ("epsilon", "pi", "tau", "e")]
+    more = [F.lit(num("i32").least_positive).cast("bigint").alias("least_positive_int"), S.neg_one("i64").alias("neg_one"), F.lit(num("i32").sign_mask).cast("bigint").alias("sign_mask32")]
+    return spark.range(1).select(*ints, *small, *masks, *real, *more)
+
+
+@query("SELECT c_custkey, -c_acctbal AS negated, abs(c_acctbal) AS size, CASE WHEN c_acctbal < 0 THEN -1.0 ELSE 1.0 END::DOUBLE AS sign, c_acctbal >= 0 AS positive, c_acctbal < 0 AS negative, sign(c_nationkey - 12)::INTEGER AS sign_int FROM customer")
+def sign_ops(spark, d):
+    x = c("c_acctbal")
+    return table(spark, d, "customer").select("c_custkey", S.neg(x).alias("negated"), S.absolute(x).alias("size"), S.signum(x).alias("sign"), S.is_positive(x).alias("positive"), S.is_negative(x).alias("negative"), S.signum(c("c_nationkey") - 12, "i32").alias("sign_int"))
+
+
+@query("SELECT p_partkey, (p_size * p_size)::INTEGER AS squared, (p_size::BIGINT * p_size * p_size * p_size * p_size)::BIGINT AS fifth FROM part")
+def pow_int(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.sq(c("p_size"), "i32").alias("squared"), S.power(c("p_size"), F.lit(5), "i64").alias("fifth"))
+
+
+@query("SELECT o_orderkey, floor(sqrt(o_orderkey))::BIGINT AS root FROM orders")
+def isqrt_int(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", S.sqrt(c("o_orderkey"), "i64").alias("root"))
+
+
+@query("SELECT p_partkey, sqrt(p_retailprice) AS root2, round(pow(p_retailprice, 1.5), 6) AS powered, round(pow(p_retailprice, 1.0 / 3), 9) AS root3 FROM part")
+def pow_root_float(spark, d):
+    x = c("p_retailprice")
+    return table(spark, d, "part").select("p_partkey", S.sqrt(x).alias("root2"), F.round(S.power(x, F.lit(1.5)), 6).alias("powered"), F.round(S.root(x, F.lit(3)), 9).alias("root3"))
+
+
+@query("SELECT event_id, round(exp(v), 6) AS e, round(pow(2.0, v), 6) AS e2, round(exp(v) - 1, 6) AS em1, round(ln(v) / ln(3.0), 9) AS log3, round(log2(v), 9) AS l2, round(log10(v), 9) AS l10, round(ln(v), 9) AS l, round(ln(1 + v), 9) AS l1p FROM (SELECT event_id, value / 100 AS v FROM events)")
+def exp_log(spark, d):
+    v = c("value") / 100
+    return table(spark, d, "events").select("event_id", F.round(S.exp(v), 6).alias("e"), F.round(S.exp2(v), 6).alias("e2"), F.round(S.exp_m1(v), 6).alias("em1"), F.round(S.log(v, F.lit(3.0)), 9).alias("log3"), F.round(S.log2(v), 9).alias("l2"), F.round(S.log10(v), 9).alias("l10"), F.round(S.ln(v), 9).alias("l"), F.round(S.ln_1p(v), 9).alias("l1p"))
+
+
+@query("SELECT c_custkey, floor(c_acctbal) + 0.0 AS down, ceil(c_acctbal) + 0.0 AS up, round(c_acctbal) + 0.0 AS nearest, trunc(c_acctbal) + 0.0 AS cut, c_acctbal % 1 AS part FROM customer")
+def rounding(spark, d):
+    x = c("c_acctbal")
+    return table(spark, d, "customer").select("c_custkey", (S.floor(x) + 0.0).alias("down"), (S.ceil(x) + 0.0).alias("up"), (S.rounded(x) + 0.0).alias("nearest"), (S.trunc(x) + 0.0).alias("cut"), S.fract(x).alias("part"))
+
+
+@query("SELECT l_orderkey, l_partkey, (~l_orderkey)::BIGINT AS inverted, (l_orderkey & l_partkey)::BIGINT AS both_, (l_orderkey | l_partkey)::BIGINT AS either_, xor(l_orderkey, l_partkey)::BIGINT AS one_, (l_orderkey << 3)::BIGINT AS up, (l_orderkey >> 2)::BIGINT AS down, (255 - l_linenumber)::SMALLINT AS byte_not FROM lineitem")
+def bitwise(spark, d):
+    a, b = c("l_orderkey"), c("l_partkey")
+    return table(spark, d, "lineitem").select(a, b, B.bit_not(a, "i64").alias("inverted"), B.bit_and(a, b, "i64").alias("both_"), B.bit_or(a, b, "i64").alias("either_"), B.bit_xor(a, b, "i64").alias("one_"), B.shift_left(a, F.lit(3), "i64").alias("up"), B.shift_right(a, F.lit(2), "i64").alias("down"), B.bit_not(c("l_linenumber"), "u8").alias("byte_not"))
+
+
+@query("""SELECT event_id, h AS big_endian, concat(h[15:16], h[13:14], h[11:12], h[9:10], h[7:8], h[5:6], h[3:4], h[1:2]) AS little_endian, event_id AS back, value AS float_back, value AS float_bytes_back, (255 - event_id % 256)::SMALLINT AS byte_view
+FROM (SELECT event_id, value, lpad(hex(event_id), 16, '0') AS h FROM events)""")
+def bits_repr(spark, d):
+    x, v = c("event_id"), c("value")
+    return table(spark, d, "events").select("event_id", F.hex(B.to_be_bytes(x, "i64")).alias("big_endian"), F.hex(B.to_le_bytes(x, "i64")).alias("little_endian"), B.from_le_bytes(B.to_le_bytes(x, "i64"), "i64").alias("back"), B.from_bits(B.to_bits(v, "f64"), "f64").alias("float_back"), B.from_be_bytes(B.to_be_bytes(v, "f64"), "f64").alias("float_bytes_back"), B.to_bits(-1 - x % 256, "i8").alias("byte_view"))
+
+
+@query("SELECT o_orderkey, TRY_CAST(o_orderkey AS TINYINT) AS i8, TRY_CAST(o_orderkey AS SMALLINT) AS i16, TRY_CAST(o_orderkey AS INTEGER) AS i32, CASE WHEN o_orderkey BETWEEN 0 AND 255 THEN o_orderkey END::SMALLINT AS u8, CASE WHEN o_orderkey BETWEEN 0 AND 65535 THEN o_orderkey END::INTEGER AS u16, NULL::BIGINT AS negative_u32 FROM orders")
+def cast_int_int(spark, d):
+    x = c("o_orderkey")
+    return table(spark, d, "orders").select(x, *[checked_cast(x, "i64", t).alias(t) for t in ("i8", "i16", "i32", "u8", "u16")], checked_cast(-x - 1, "i64", "u32").alias("negative_u32"))
+
+
+@query("SELECT c_custkey, TRY_CAST(trunc(c_acctbal) AS TINYINT) AS i8, TRY_CAST(trunc(c_acctbal) AS SMALLINT) AS i16, TRY_CAST(trunc(c_acctbal) AS BIGINT) AS i64, CASE WHEN c_acctbal > -1 AND c_acctbal < 256 THEN trunc(c_acctbal) END::SMALLINT AS u8, CASE WHEN c_acctbal > -1 THEN trunc(c_acctbal) END::BIGINT AS u32 FROM customer")
+def cast_float_int(spark, d):
+    x = c("c_acctbal")
+    return table(spark, d, "customer").select("c_custkey", *[checked_cast(x, "f64", t).alias(t) for t in ("i8", "i16", "i64", "u8", "u32")])
+
+
+@query("SELECT o_orderkey, o_orderkey::DOUBLE AS whole, o_totalprice::FLOAT::DOUBLE AS narrowed FROM orders")
+def cast_to_float(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", checked_cast(c("o_orderkey"), "i64", "f64").alias("whole"), checked_cast(c("o_totalprice"), "f64", "f32").cast("double").alias("narrowed"))
+
+
+@query(f"SELECT signal_id, len(a)::INTEGER AS n, a[3] AS first, a[6] AS last, 4 AS view_n, a[64] AS kept, 9.0::DOUBLE AS filled, 70 AS resized_n, 0 AS cleared_n, 65 AS appended_n, a[1] AS head FROM {VECTORS}")
+def sig_build(spark, d):
+    a, view, wide = c("a"), A.view(c("a"), 2, 4), A.resize(c("a"), 70, F.lit(9.0))
+    more = A.append(a, F.lit(1.0))
+    return _vectors(spark, d).select("signal_id", A.length(a).alias("n"), F.get(view, 0).alias("first"), F.get(view, 3).alias("last"), F.size(view).alias("view_n"), F.get(wide, 63).alias("kept"), F.get(wide, 69).alias("filled"), F.size(wide).alias("resized_n"), F.size(A.clear(a)).alias("cleared_n"), F.size(more).alias("appended_n"), F.get(A.build(F.get(a, 0)), 0).alias("head"))
+
+
+@query(f"SELECT signal_id, n, s::DOUBLE AS first FROM (SELECT signal_id, count(*)::BIGINT AS n, any_value(sample) FILTER (idx = 0) AS s FROM {EVENTS} GROUP BY signal_id)")
+def sig_collect(spark, d):
+    held = R.to_arrays(event_signals(spark, d))
+    return held.select("signal_id", F.size("samples").cast("bigint").alias("n"), F.get("samples", 0).alias("first"))
+
+
+@query("SELECT vec_id AS signal_id, embedding[2 * 8 + 3 + 1]::DOUBLE AS item FROM embeddings")
+def nd_index(spark, d):
+    return embedding_signals(spark, d).select("signal_id", A.strided(c("samples"), [F.lit(2), F.lit(3)], [F.lit(8), F.lit(1)]).alias("item"))
+
+
+@query(f"SELECT signal_id, list_min(a) AS low, list_max(a) AS high, (list_position(a, list_min(a)) - 1)::BIGINT AS argmin, (list_position(a, list_max(a)) - 1)::BIGINT AS argmax, round(list_avg(a), 9) AS mean FROM {VECTORS}")
+def sig_reduce(spark, d):
+    a = c("a")
+    return _vectors(spark, d).select("signal_id", A.minimum(a).alias("low"), A.maximum(a).alias("high"), A.argmin(a).alias("argmin"), A.argmax(a).alias("argmax"), F.round(A.mean(a), 9).alias("mean"))
+
+
+@query(f"SELECT signal_id, count(*)::BIGINT AS n, min(sample) AS low, max(sample) AS high, arg_min(idx, (sample, idx))::BIGINT AS argmin, arg_min(idx, (-sample, idx))::BIGINT AS argmax, round(avg(sample), 6) AS mean, round(sqrt(sum(sample * sample)), 6) AS norm_l2, round(sum(abs(sample)), 6) AS norm_l1, max(abs(sample)) AS norm_inf FROM {EVENTS} GROUP BY signal_id")
+def sig_reduce_rows(spark, d):
+    got = R.reductions(event_signals(spark, d))
+    return got.select("signal_id", "n", c("min").alias("low"), c("max").alias("high"), "argmin", "argmax", *[F.round(k, 6).alias(k) for k in ("mean", "norm_l2", "norm_l1")], "norm_inf")
+
+
+@query(f"SELECT signal_id, round(list_inner_product(a, b), 9) + 0.0 AS dot, round(sqrt(list_inner_product(a, a)), 9) AS l2, round(list_sum(list_transform(a, lambda x: abs(x))), 9) AS l1, list_max(list_transform(a, lambda x: abs(x))) AS linf FROM {VECTORS}")
+def sig_inner_norms(spark, d):
+    a, b = c("a"), c("b")
+    return _vectors(spark, d).select("signal_id", (F.round(A.inner(a, b), 9) + 0.0).alias("dot"), F.round(A.norm_l2(a), 9).alias("l2"), F.round(A.norm_l1(a), 9).alias("l1"), A.norm_inf(a).alias("linf"))
+
+
+@query(f"SELECT signal_id, round(acos(greatest(-1.0, least(1.0, list_inner_product(a, b) / (sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(b, b)))))), 9) AS angle, round(list_inner_product(a, b) / list_inner_product(b, b) * b[1], 9) + 0.0 AS projected FROM {VECTORS}")
+def sig_angle_project(spark, d):
+    a, b = c("a"), c("b")
+    return _vectors(spark, d).select("signal_id", F.round(A.angle(a, b), 9).alias("angle"), (F.round(F.get(A.project(a, b), 0), 9) + 0.0).alias("projected"))
+
+
+@query(f"SELECT signal_id, a[5] + b[5] AS added, a[5] - b[5] AS taken, a[5] * b[5] AS product, a[5] / b[5] AS quotient, 64 AS n FROM {VECTORS}")
+def sig_pointwise(spark, d):
+    a, b = c("a"), c("b")
+    return _vectors(spark, d).select("signal_id", *[F.get(f(a, b), 4).alias(n) for n, f in (("added", A.sig_add), ("taken", A.sig_sub), ("product", A.sig_mul), ("quotient", A.sig_div))], F.size(A.sig_add(a, b)).alias("n"))
+
+
+@query(f"SELECT signal_id, NULL::DOUBLE AS dot, TRUE AS refused FROM {VECTORS}")
+def sig_mismatch(spark, d):
+    part = A.view(c("b"), 0, 10)
+    return _vectors(spark, d).select("signal_id", A.inner(c("a"), part, True).alias("dot"), A.sig_add(c("a"), part, True).isNull().alias("refused"))
+
+
+@query(f"SELECT signal_id, a[2] + 2.0::DOUBLE AS added, a[2] - 2.0::DOUBLE AS taken, a[2] * 2.0::DOUBLE AS product, a[2] / 4.0::DOUBLE AS quotient, -a[2] AS negated FROM {VECTORS}")
+def sig_scalar_ops(spark, d):
+    a = c("a")
+    return _vectors(spark, d).select("signal_id", *[F.get(A.scale(a, F.lit(s), o), 1).alias(n) for n, o, s in (("added", "add", 2.0), ("taken", "sub", 2.0), ("product", "mul", 2.0), ("quotient", "div", 4.0))], F.get(A.negate(a), 1).alias("negated"))
+
+
+def _typed(spark, d, kind: str) -> DataFrame:
+    return R.from_series(table(spark, d, "events").where(c("event_type") == kind), "user_id", ["ts", "event_id"], "value")
+
+
+def _typed_sql(kind: str) -> str:
+    return f"(SELECT user_id AS signal_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value AS sample FROM events WHERE event_type = '{kind}')"
+
+
+_PAIR = f"{_typed_sql('click')} a FULL JOIN {_typed_sql('view')} b USING (signal_id, idx)"
+
+
+def _broadcast(policy: str, fill: float = 0.0):
+    return lambda spark, d: R.broadcast_join(_typed(spark, d, "click"), _typed(spark, d, "view"), policy, fill)
+
+
+for _policy, _value in (("zeropad", 0.0), ("fill", -7.5)):
+    query(f"SELECT signal_id, idx::BIGINT AS idx, coalesce(a.sample, {_value}) AS a, coalesce(b.sample, {_value}) AS b FROM {_PAIR}", f"bc_{_policy}")(_broadcast(_policy, _value))
+query(f"SELECT signal_id, idx::BIGINT AS idx, last_value(x IGNORE NULLS) OVER w AS a, last_value(y IGNORE NULLS) OVER w AS b FROM (SELECT signal_id, idx, a.sample AS x, b.sample AS y FROM {_PAIR}) WINDOW w AS (PARTITION BY signal_id ORDER BY idx ROWS UNBOUNDED PRECEDING)", "bc_latch")(_broadcast("latch"))
+query(f"""WITH a AS {_typed_sql("click")}, b AS {_typed_sql("view")}, n AS (SELECT * FROM (SELECT signal_id, count(*) AS na FROM a GROUP BY signal_id) JOIN (SELECT signal_id, count(*) AS nb FROM b GROUP BY signal_id) USING (signal_id)),
+g AS (SELECT signal_id, idx, na, nb FROM (SELECT signal_id, idx FROM a UNION SELECT signal_id, idx FROM b) JOIN n USING (signal_id))
+SELECT g.signal_id, g.idx::BIGINT AS idx, a.sample AS a, b.sample AS b FROM g JOIN a ON a.signal_id = g.signal_id AND a.idx = g.idx % na JOIN b ON b.signal_id = g.signal_id AND b.idx = g.idx % nb""", "bc_tile")(_broadcast("tile"))
+
+
+@query(f"SELECT signal_id, idx::BIGINT AS idx, sample * 3.0::DOUBLE AS sample FROM {EVENTS}")
+def bc_scalar(spark, d):
+    return D.gain(event_signals(spark, d), 3.0)
+
+
+@query(f"SELECT signal_id, idx::BIGINT AS idx, 0.5::DOUBLE * sample + 0.25::DOUBLE * coalesce(lag(sample, 1) OVER w, 0) + 0.125::DOUBLE * coalesce(lag(sample, 2) OVER w, 0) AS sample FROM {EVENTS} WINDOW w AS (PARTITION BY signal_id ORDER BY idx)")
+def sig_convolve(spark, d):
+    return R.fir(event_signals(spark, d), [0.5, 0.25, 0.125], chunk=32)
+
+
+@query(f"SELECT signal_id, (idx + tap)::BIGINT AS idx, round(sum(sample * weight), 6) AS sample FROM {EVENTS}, (VALUES (0, 0.5::DOUBLE), (1, 0.25::DOUBLE), (2, 0.125::DOUBLE)) k(tap, weight) GROUP BY signal_id, idx + tap")
+def sig_convolve_full(spark, d):
+    return R.convolve(event_signals(spark, d), [0.5, 0.25, 0.125], chunk=32).select("signal_id", "idx", F.round("sample", 6).alias("sample"))
+
+
+@query(f"SELECT signal_id, (idx // 4)::BIGINT AS idx, sample FROM {EVENTS} WHERE idx % 4 = 0")
+def sig_decimate(spark, d):
+    return R.decimate(event_signals(spark, d), 4)
+
+
+@query(f"SELECT signal_id, (idx * 2 + j)::BIGINT AS idx, sample + (coalesce(lead(sample) OVER w, sample) - sample) * (j / 2.0::DOUBLE) AS sample FROM {EVENTS}, (VALUES (0), (1)) t(j) WINDOW w AS (PARTITION BY signal_id, j ORDER BY idx)")
+def sig_upsample(spark, d):
+    return R.upsample(event_signals(spark, d), 2, chunk=32)
+
+
+@query(f"""WITH e AS {EVENTS}, g AS (SELECT signal_id, unnest(range((n * 3) // 2)) AS idx FROM (SELECT signal_id, count(*) AS n FROM e GROUP BY signal_id))
+SELECT g.signal_id, g.idx::BIGINT AS idx, round(l.sample + (coalesce(r.sample, l.sample) - l.sample) * (g.idx / 1.5::DOUBLE - floor(g.idx / 1.5::DOUBLE)), 6) AS sample
+FROM g JOIN e l ON l.signal_id = g.signal_id AND l.idx = floor(g.idx / 1.5::DOUBLE) LEFT JOIN e r ON r.signal_id = g.signal_id AND r.idx = floor(g.idx / 1.5::DOUBLE) + 1""")
+def sig_resample(spark, d):
+    return R.resample(event_signals(spark, d), 1.5).select("signal_id", "idx", F.round("sample", 6).alias("sample"))
+
+
+@query(f"SELECT signal_id, idx::BIGINT AS idx, sample - lag(sample) OVER (PARTITION BY signal_id ORDER BY idx) AS sample FROM {EVENTS}")
+def sig_diff(spark, d):
+    return R.diff(event_signals(spark, d), chunk=32)
+
+
+_CUMSUM = f"(SELECT signal_id, idx, sample, sum(sample::DECIMAL(12, 2)) OVER (PARTITION BY signal_id ORDER BY idx ROWS UNBOUNDED PRECEDING)::DOUBLE AS total FROM {EVENTS})"
+
+
+def _running(spark, d) -> DataFrame:
+    return R.running_sum(event_signals(spark, d), chunk=32, exact="decimal(12,2)")
+
+
+@query(f"SELECT signal_id, idx::BIGINT AS idx, total AS sample FROM {_CUMSUM}")
+def sig_cumsum(spark, d):
+    return _running(spark, d)
+
+
+@query(f"SELECT signal_id, k::INTEGER AS k, round(sum(sample * cos(2 * pi() * k * idx / 8)), 4) + 0.0 AS re, round(-sum(sample * sin(2 * pi() * k * idx / 8)), 4) + 0.0 AS im FROM {EVENTS}, (SELECT unnest(range(8)) AS k) WHERE idx < 8 GROUP BY signal_id, k")
+def dft8(spark, d):
+    got = D.dft(event_signals(spark, d).where("idx < 8"), 8, 8)
+    return got.select("signal_id", "k", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
+
+
+@query(f"SELECT signal_id, k::BIGINT AS k, round(sum(sample * cos(2 * pi() * k * idx / 8)), 4) + 0.0 AS re, round(-sum(sample * sin(2 * pi() * k * idx / 8)), 4) + 0.0 AS im FROM {EVENTS}, (SELECT unnest(range(8)) AS k) WHERE idx < 8 GROUP BY signal_id, k")
+def fft8(spark, d):
+    got = D.fft(event_signals(spark, d).where("idx < 8"))
+    return got.select("signal_id", "k", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
+
+
+OMEGA = 0.25
+
+
+@query(f"SELECT signal_id, idx::BIGINT AS idx, round((1 + 0.01::DOUBLE * sample) * cos(0.25::DOUBLE * idx), 6) + 0.0 AS am, round(cos(0.25::DOUBLE * idx + 0.01::DOUBLE * sample), 6) + 0.0 AS pm, round(sample * cos(0.25::DOUBLE * idx) - 2.0::DOUBLE * sin(0.25::DOUBLE * idx), 6) + 0.0 AS iq FROM {EVENTS}")
+def am_pm_iq_mod(spark, d):
+    x, i = c("sample"), c("idx")
+    got = event_signals(spark, d).select("signal_id", "idx", D.am(x, OMEGA, i, 0.01).alias("am"), D.pm(x, OMEGA, i, 0.01).alias("pm"), D.iq(x, F.lit(2.0), OMEGA, i).alias("iq"))
+    return got.select("signal_id", "idx", *[(F.round(n, 6) + 0.0).alias(n) for n in ("am", "pm", "iq")])
+
+
+@query(f"SELECT signal_id, idx::BIGINT AS idx, round(cos(0.25::DOUBLE * idx + 0.001::DOUBLE * total), 6) + 0.0 AS fm FROM {_CUMSUM}")
+def fm_mod(spark, d):
+    return _running(spark, d).select("signal_id", "idx", (F.round(D.fm(c("sample"), OMEGA, c("idx"), 0.001), 6) + 0.0).alias("fm"))
+
+
+@query(f"SELECT signal_id, idx::BIGINT AS idx, round(avg(sample) OVER w, 6) AS mean, round(sqrt(avg(sample * sample) OVER w), 6) AS rms FROM {EVENTS} WINDOW w AS (PARTITION BY signal_id ORDER BY idx ROWS 3 PRECEDING)")
+def moving_stats(spark, d):
+    return D.moving(event_signals(spark, d), 4, chunk=32).select("signal_id", "idx", F.round("mean", 6).alias("mean"), F.round("rms", 6).alias("rms"))
+
+
+@query(f"SELECT signal_id, idx::BIGINT AS idx, round(sample * (0.5 - 0.5 * cos(2 * pi() * idx / 7)), 6) + 0.0 AS hann, round(sample * (0.54 - 0.46 * cos(2 * pi() * idx / 7)), 6) + 0.0 AS hamming FROM {EVENTS} WHERE idx < 8")
+def windowed(spark, d):
+    rows = event_signals(spark, d).where("idx < 8")
+    at = lambda w: F.element_at(F.array(*map(F.lit, w)), (c("idx") + 1).cast("int"))
+    return rows.select("signal_id", "idx", (F.round(c("sample") * at(D.hann(8)), 6) + 0.0).alias("hann"), (F.round(c("sample") * at(D.hamming(8)), 6) + 0.0).alias("hamming"))
+
+
+@query("SELECT i::BIGINT AS idx, CASE i % 3 WHEN 0 THEN 1.0 WHEN 1 THEN -2.0 ELSE 0.5 END::DOUBLE AS sample, (i * i)::BIGINT AS square FROM (SELECT unnest(range(1000)) AS i)")
+def gen_cycle(spark, d):
+    return D.cycle(spark, 1000, [1.0, -2.0, 0.5]).withColumn("square", c("idx") * c("idx"))
+
+
+@query(f"SELECT signal_id, (idx // 16)::BIGINT AS chunk, count(*)::BIGINT AS n, max(sample) AS peak FROM {EVENTS} GROUP BY signal_id, idx // 16")
+def chunk_count(spark, d):
+    return D.chunks(event_signals(spark, d), 16).groupBy("signal_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.max("sample").alias("peak"))
+
+
+_DAYS = "SELECT time_bucket(INTERVAL '1 day', ts)::TIMESTAMP AS chunk_start, count(*)::BIGINT AS n, sum(value::DECIMAL(12, 2))::DOUBLE AS total, min(value) AS low, max(value) AS high FROM events GROUP BY 1"
+
+
+@query(_DAYS)
+def chunk_tumbling(spark, d):
+    return chunks.tumbling(table(spark, d, "events"))
+
+
+@query(_DAYS)
+def stream_tumbling(spark, d):
+    """The same chunks from a stream that is run to its end."""
+    return chunks.run_to_end(chunks.tumbling(chunks.read_stream(spark, d, "events")), "sonolith_chunks")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, (1 - l_discount) * (1 + l_tax) AS slope FROM lineitem")
+def graph_eval(spark, d):
+    """A traced function and its derivative, rewritten and lowered."""
+    f64 = G.Float(64)
+    out = G.trace(lambda price, discount, tax: (price * (1.0 - discount) * (1.0 + tax)), {"l_extendedprice": f64, "l_discount": f64, "l_tax": f64})
+    context = out[0].context
+    price = context.value(1)
+    roots = G.run_passes(context, [*out, *G.gradient(out[0], [price])])
+    charge, slope = G.lower(roots)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", charge.alias("charge"), slope.alias("slope"))
+
+
+@query("SELECT event_id, round(value * 2 - user_id * 3, 6) AS re, round(value * 3 + user_id * 2, 6) AS im, round(sqrt(value * value + user_id * user_id), 6) AS size, value::DECIMAL(12, 1)::DOUBLE AS fixed_1 FROM events")
+def complex_fixed(spark, d):
+    z = complex_of(c("value"), c("user_id"))
+    p = c_mul(z, complex_of(F.lit(2.0), F.lit(3.0)))
+    return table(spark, d, "events").select("event_id", F.round(p["re"], 6).alias("re"), F.round(p["im"], 6).alias("im"), F.round(c_abs(z), 6).alias("size"), fixed(c("value"), 12, 1).cast("double").alias("fixed_1"))
