@@ -45,12 +45,16 @@ _ODD = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _M3) | np.uint64(1)
 _PLACE = [np.uint64(int(mix(np.array([k + 101], np.uint64))[0]) | 1) for k in range(SHINGLE)]
 
 
+#: Words whose hashes a task keeps.
+KEPT_WORDS = 1 << 16
+
+
 class _Hashes(dict):
-    """word -> 64-bit hash, kept for up to a million words."""
+    """word -> 64-bit hash, kept for the first KEPT_WORDS words."""
 
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < 1_000_000:
+        if len(self) < KEPT_WORDS:
             self[word] = value
         return value
 
