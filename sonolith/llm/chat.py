@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonolith.llm.common import bounded_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET, HISTORY = 4096, 512
 WINDOWS = "conv_id long, window long, formatted string, fresh int, targets array<int>"
@@ -115,6 +117,7 @@ class Windower:
 def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET, history: int = HISTORY, count=tokens) -> DataFrame:
     """Windows in order within each conversation: formatted text, `fresh` (offset
     where new turns begin), `targets` (begin, end, begin, ... of the loss mask)."""
+    bounded_batches(turns.sparkSession)
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dealt = rows.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 

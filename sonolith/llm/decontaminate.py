@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonolith.llm.common import stable, whole
+from sonolith.llm.common import columns, fresh, stable, whole
 
 MASKS = ("1101001011", "1011010011", "1100110101")
 SPAN = 10
@@ -80,6 +80,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones; same columns."""
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    held = docs.withColumn("__own", F.xxhash64("text"))
-    return held.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_anti").select(*docs.columns)
+    own = fresh(docs, "__own")
+    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias(f"{own}id"), F.col("text_hash").alias(f"{own}hash")).distinct()
+    held = docs.withColumn(own, F.xxhash64("text"))
+    return held.join(bad, held["doc_id"].eqNullSafe(bad[f"{own}id"]) & (held[own] == bad[f"{own}hash"]), "left_anti").select(*columns(docs))

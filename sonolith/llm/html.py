@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonolith.llm.common import bounded_batches
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"[\s​]+")
@@ -133,11 +135,11 @@ def blocks(html: str) -> list[tuple[str, str, bool]]:
     return out
 
 
-def smooth(values: np.ndarray, radius: int = 1) -> np.ndarray:
+def smooth(values: np.ndarray, own: float = 0.8) -> np.ndarray:
     if len(values) < 2:
         return values
-    padded = np.pad(values, radius, mode="edge")
-    return np.mean([padded[k : k + len(values)] for k in range(2 * radius + 1)], axis=0)
+    padded = np.pad(values, 1, mode="edge")
+    return own * values + (1 - own) / 2 * (padded[:-2] + padded[2:])
 
 
 def extract(html: str | None, factor: float = 0.5, article_factor: float = 0.1) -> str:
@@ -168,6 +170,7 @@ def extract(html: str | None, factor: float = 0.5, article_factor: float = 0.1)
 
 def main_text(pages: DataFrame, html: str = "html", factor: float = 0.5) -> DataFrame:
     """pages with main_text."""
+    bounded_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

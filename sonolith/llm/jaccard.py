@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonolith.llm.common import stable
+from sonolith.llm.common import bounded_batches, columns, fresh, stable
 
 SHINGLE, RECALL = 5, 0.999
 #: Similarity 4/5: inter / union >= 4 / 5 when 9 * inter >= 4 * (sum of sizes).
@@ -233,6 +233,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     """One row per row of docs: key, class_id (least key of its group of near copies),
     n_links (other rows at the threshold or above, copies included)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -324,13 +325,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows are known by id and content. Rows alike in all columns are one row; only
     those are dealt again to drop the repeats.
     """
-    own = F.md5(F.to_json(F.struct(*docs.columns)).cast("binary"))
-    held = docs.withColumn("__row", own)
-    found = classes(held.select(F.struct("doc_id", "__row").alias("id"), "text"), key="id")
-    first = stable(found.where("id = class_id").groupBy(F.col("id.__row").alias("__row")).agg(F.count(F.lit(1)).alias("__n")), "jaccard-first")
-    kept = held.join(first, "__row")
-    repeats = kept.where("__n > 1").dropDuplicates(["__row"])
-    return kept.where("__n = 1").unionByName(repeats).select(*docs.columns)
+    row, n = fresh(docs, "__row"), fresh(docs, "__n")
+    held = docs.withColumn(row, F.md5(F.to_json(F.struct(*columns(docs))).cast("binary")))
+    found = classes(held.select(F.struct("doc_id", F.col(row).alias("row")).alias("id"), "text"), key="id")
+    first = stable(found.where("id = class_id").groupBy(F.col("id.row").alias(row)).agg(F.count(F.lit(1)).alias(n)), "jaccard-first")
+    kept = held.join(first, row)
+    repeats = kept.where(F.col(n) > 1).dropDuplicates([row])
+    return kept.where(F.col(n) == 1).unionByName(repeats).select(*columns(docs))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonolith.llm.common import crc_mod
+from sonolith.llm.common import bounded_batches, columns, crc_mod, fresh
 
 SIZES = (2, 3, 4)
 #: Training rows per language, as an expected number; the sample's only bound.
@@ -99,6 +99,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     Rows are taken by a hash of their id, so the sample does not depend on order.
     What reaches the driver is bounded by the sample, not by the corpus.
     """
+    bounded_batches(labelled.sparkSession)
     usable = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
     languages = sorted(sizes)
@@ -129,7 +130,16 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and coverage. The model's size is fixed by SLOTS."""
+    """docs with lang_pred, score and coverage, in place of columns of these names.
+    The model's size is fixed by SLOTS."""
+    found = fresh(docs, "__found")
+    new = ("lang_pred", "score", "coverage")
+    out = _with_found(docs, model, text, found)
+    return out.select(*[x for x, name in zip(columns(docs), docs.columns, strict=True) if name.lower() not in new], f"{found}.*")
+
+
+def _with_found(docs: DataFrame, model: Model, text: str, name: str) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, coverage double")
@@ -138,14 +148,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([own.predict(t) for t in batch], columns=["lang_pred", "score", "coverage"])
 
-    return docs.withColumn("__found", run(text)).select(*docs.columns, "__found.*")
+    return docs.withColumn(name, run(text))
 
 
 def keep_known(docs: DataFrame, least_coverage: float = 0.2) -> DataFrame:
     """docs whose language is known: not `und`, and holding a share of the text's
     n-grams that prose of that language exceeds by far; same columns."""
-    found = predict(docs, train(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("coverage") >= least_coverage)).select(*docs.columns)
+    name = fresh(docs, "__found")
+    found = _with_found(docs, train(docs), "text", name)
+    return found.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.coverage") >= least_coverage)).select(*columns(docs))
 
 
 def held_out(key: str = "doc_id"):

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonolith.llm.common import stable, whole
+from sonolith.llm.common import columns, fresh, stable, whole
 
 #: The base patterns, in their listed order.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -56,8 +56,10 @@ def _matches(text: Column, pattern: str, rank: int, group: int = 0) -> Column:
 def candidates(text: Column) -> Column:
     """All candidate spans of a text, sorted by start, then kind."""
     assign = F.filter(_matches(text, ASSIGN, 0, 2), lambda s: F.length(s["value"]) >= 6)
-    opaque = F.filter(_matches(text, OPAQUE, 4), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & ~s["value"].rlike(f"^(?:{ACCESS}|{HEX})$"))
-    return F.array_sort(F.concat(assign, _matches(text, ACCESS, 1), _matches(text, HEX, 2), _matches(text, PROVIDER, 3), opaque))
+    opaque = F.filter(_matches(text, OPAQUE, 4), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
+    named = F.concat(assign, _matches(text, ACCESS, 1), _matches(text, HEX, 2), _matches(text, PROVIDER, 3))
+    apart = F.filter(opaque, lambda o: ~F.exists(named, lambda s: (s["start"] < o["end"]) & (s["end"] > o["start"])))
+    return F.array_sort(F.concat(named, apart))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -113,9 +115,10 @@ def redact(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
     """docs with live and placeholder-free spans replaced by the mask; same columns.
     Copied examples stay. Overlapping spans are masked once."""
     key = F.sha2(F.to_json(F.struct("doc_id", "source", F.sha2(whole("text").cast("binary"), 256).alias("h"))), 256)
-    held = docs.withColumn("__key", key)
-    marked = scan(held.select(F.col("__key").alias("doc_id"), "source", "text")).where(F.exists("secrets", lambda s: s["status"] == "live"))
-    marked = marked.select(F.col("doc_id").alias("__key"), F.filter("secrets", lambda s: s["status"] == "live").alias("__spans")).dropDuplicates(["__key"])
+    own, spans = fresh(docs, "__key"), fresh(docs, "__spans")
+    held = docs.withColumn(own, key)
+    marked = scan(held.select(F.col(own).alias("doc_id"), "source", "text")).where(F.exists("secrets", lambda s: s["status"] == "live"))
+    marked = marked.select(F.col("doc_id").alias(own), F.filter("secrets", lambda s: s["status"] == "live").alias(spans)).dropDuplicates([own])
     text = whole("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -123,8 +126,8 @@ def redact(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
         gap = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise("")
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
-    folded = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = held.join(marked, "__key", "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(folded))
+    folded = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    out = held.join(marked, own, "left").withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(folded))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*columns(docs))
