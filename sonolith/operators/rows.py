@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SIGNAL = Window.partitionBy("signal_id").orderBy("idx")
 CHUNK = 1 << 16
 
 
@@ -71,7 +70,7 @@ def broadcast_join(a: DataFrame, b: DataFrame, policy: str, fill: float = 0.0) -
         return both.select("signal_id", "idx", "a", "b")
     joined = a.join(b, ["signal_id", "idx"], "full")
     if policy == "latch":
-        held = SIGNAL.rowsBetween(Window.unboundedPreceding, 0)
+        held = Window.partitionBy("signal_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
         return joined.select("signal_id", "idx", *[F.last(c, ignorenulls=True).over(held).alias(c) for c in ("a", "b")])
     value = F.lit(0.0 if policy == "zeropad" else fill)
     return joined.select("signal_id", "idx", F.coalesce("a", value).alias("a"), F.coalesce("b", value).alias("b"))
