@@ -37,7 +37,9 @@ _LETTER = np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000)
 def letters(text: str) -> np.ndarray:
     """Code points of the lower-cased text; every run of other characters is one blank; blanks at both ends."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = _LETTER[np.minimum(points, 0xFFFF)] | (points > 0xFFFF)
+    is_letter = _LETTER[np.minimum(points, 0xFFFF)]
+    for c in np.unique(points[points > 0xFFFF]).tolist():
+        is_letter[points == c] = chr(c).isalpha()
     points = np.where(is_letter, points, 32)
     points = np.concatenate(([32], points, [32])).astype(np.uint64)
     return points[np.concatenate(([True], (points[1:] != 32) | (points[:-1] != 32)))]

@@ -47,6 +47,7 @@ def test_decontaminate(spark, odd, empty):
 
 def test_defined_values(odd):
     by = {r["doc_id"]: r for r in language.report(odd).collect()}
+    assert language.Model(["en"], language.np.zeros(language.SLOTS, language.np.uint64), language.np.zeros(1)).predict("\U0001f600 12")[0] == "und"
     assert by[2]["lang_pred"] == by[3]["lang_pred"] == by[4]["lang_pred"] == "und"
     assert all(0 <= r["score"] <= 1 for r in by.values())
     by = {r["doc_id"]: r for r in webp.report(odd).collect()}
