@@ -1,10 +1,11 @@
 """Main text of web pages by tag-path ratios.
 
-Text nodes are grouped by their root-to-leaf tag path. Text length, punctuation and
-number of nodes are summed per path; both ratios are smoothed over neighbouring
-paths in page order, fused as a geometric mean, and paths under a share of the
-page's spread are dropped. Nodes in regions that are no article by their markup
-(menus, footers, adverts, forms, scripts, comments ...) never count.
+Text nodes are grouped by their root-to-leaf tag path, in which blocks of nothing
+but links are paths of their own. Text length, punctuation and number of nodes are
+summed per path; both ratios are smoothed over neighbouring paths in page order,
+fused as a geometric mean, and paths under a share of the page's spread are dropped.
+Nodes in regions that are no article by their markup (menus, footers, adverts, forms,
+scripts, comments ...) never count.
 
 Defined results: null or empty html gives empty text; repeated rows give repeated
 results; an empty table gives no rows; other columns are ignored.
@@ -33,11 +34,23 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 #: Regions that hold no article text, by tag, role, or a word of class or id.
 SKIP_TAGS = frozenset("head script style noscript template iframe svg nav footer aside form menu button select textarea dialog object canvas math audio video xmp".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
-SKIP_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead comment comments disqus reply replies respond cookie cookies consent gdpr notice alert popup modal newsletter subscribe subscription signup login share sharing social related recommended widget pagination pager toolbar copyright".split())
+SKIP_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead comment comments disqus reply replies respond cookie cookies consent gdpr notice alert popup modal newsletter subscribe subscription signup login share sharing social related recommended widget pagination pager toolbar copyright disclaimer adsbygoogle".split())
+#: Words beside which a header is the article's own, and prefixes that only tell of a region elsewhere.
+OWN_HEADER = frozenset("article post entry story content".split())
+TELLING = re.compile(r"(?:^|[-_])(?:no|has|with|without|hide|show)[-_]|(?:^|[-_])(?:open|closed|enabled|disabled)$")
 CLOSES = {"p": BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+def _names_skipped(name: str) -> bool:
+    """Whether one class or id names a region without article text."""
+    words = set(re.split(r"[^a-z]+", name))
+    found = words & SKIP_WORDS
+    if not found or TELLING.search(name) :
+        return False
+    return not (found <= {"header"} and words & OWN_HEADER)
+
+
 def _skips(tag: str, attrs: str, inside: bool) -> bool:
     """inside: within an article, whose own header holds its title."""
     if tag in SKIP_TAGS or tag == "header" and not inside:
@@ -48,7 +61,7 @@ def _skips(tag: str, attrs: str, inside: bool) -> bool:
         name, value = name.lower(), (a or b or c).lower()
         if name == "role" and value in SKIP_ROLES or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id") and any(w in SKIP_WORDS for w in re.split(r"[^a-z]+", value)) and not (inside and tag == "header"):
+        if name in ("class", "id") and not (inside and tag == "header") and any(map(_names_skipped, value.split())):
             return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
@@ -63,14 +76,17 @@ def blocks(html: str) -> list[tuple[str, str, bool]]:
     flags: list[tuple[bool, bool]] = []
     parts: list[str] = []
     path = ""
+    linked = True
     at, n = 0, len(html)
 
     def flush() -> None:
+        nonlocal linked
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                out.append((path, text, inside > 0))
+                out.append((f"{path}/a" if linked else path, text, inside > 0))
             parts.clear()
+        linked = True
 
     def pop() -> str:
         nonlocal skipped, inside
@@ -87,6 +103,7 @@ def blocks(html: str) -> list[tuple[str, str, bool]]:
             if not parts:
                 path = "/".join(t for t in stack if t in BLOCK)
             parts.append(html[at:end])
+            linked = linked and ("a" in stack or html[at:end].isspace())
         if not m:
             break
         at = m.end()
@@ -144,8 +161,8 @@ def smooth(values: np.ndarray, own: float = 0.8) -> np.ndarray:
 
 def extract(html: str | None, factor: float = 0.5, article_factor: float = 0.1) -> str:
     """The page's main text. factor: the threshold, in standard deviations of the
-    fused ratio; article_factor holds inside an article that the page marks itself,
-    and then nothing outside it counts."""
+    fused ratio; article_factor holds for the links inside an article that the
+    page marks itself; its other blocks stay, and then nothing outside it counts."""
     found = blocks(html or "")
     if not found:
         return ""
@@ -160,10 +177,10 @@ def extract(html: str | None, factor: float = 0.5, article_factor: float = 0.1)
         nodes[k] += 1
     fused = np.sqrt(smooth(chars / nodes) * smooth(marks / nodes + 1e-9))
     keep = fused >= min((article_factor if marked else factor) * fused.std(), fused.max())
-    kept = [bool(keep[place[path]]) and (inside or not marked) for path, _, inside in found]
+    kept = [inside and (bool(keep[place[path]]) or not path.endswith("/a")) if marked else bool(keep[place[path]]) for path, _, inside in found]
     # A heading stays if kept text follows it directly.
     for k in range(len(found) - 2, -1, -1):
-        if found[k][0].rpartition("/")[2] in HEADINGS and (found[k][2] or not marked):
+        if HEADINGS & set(found[k][0].split("/")[-2:]) and (found[k][2] or not marked):
             kept[k] = kept[k] or kept[k + 1]
     return "\n".join(x[1] for x, ok in zip(found, kept, strict=True) if ok)
 

@@ -239,6 +239,23 @@ def test_html_article():
     assert html.extract(PAGE % body) == "A & B\nOne, two.\nThree é; four.\nItem, one."
 
 
+LONG = "The river rose for three days, and the people moved their animals to higher ground. "
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><p>{LONG}</p><ul><li>Bread</li></ul><blockquote>Short quote</blockquote></article>", [LONG.strip(), "Bread", "Short quote"]),
+        (f"<div class='post-header'><h1>Title</h1></div><div class='post-body'><p>{LONG}</p></div>", ["Title", LONG.strip()]),
+        (f"<div class='has-sidebar comments-open'><article><p>{LONG}</p></article></div>", [LONG.strip()]),
+        (f"<div class='page-sidebar'><p>{LONG}</p></div><article><p>Text.</p><div id='comments'><article><p>{LONG}</p></article></div></article>", ["Text."]),
+        (f"<table><tr><td><a>Menu</a> <a>More</a></td><td>{LONG}</td></tr></table>", [LONG.strip()]),
+    ],
+)
+def test_html_regions(page, want):
+    assert html.extract(page).split("\n") == want
+
+
 def test_html_without_markup_of_the_article():
     body = "<div id='c'>" + "".join(f"<p>Sentence {k}, with some words; and more, of it. Then the end.</p>" for k in range(5)) + "</div><div><span>Tag</span></div><ul><li>x</li><li>y</li></ul>"
     got = html.extract(PAGE % body).split("\n")
