@@ -97,13 +97,18 @@ def joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def _of_kind(rank: int):
+    """A test of one parameter: `F.filter` hands an element's index to a second one."""
+    return lambda s: s["rank"] == rank
+
+
 def report(docs: DataFrame) -> DataFrame:
     """The digest columns of `scan` for each document."""
     count = lambda test: F.size(F.filter("secrets", test)).cast("long")
     base = F.filter("secrets", lambda s: s["rank"] < BASE)
     return scan(docs).select(
         "doc_id",
-        *[count(lambda s, k=k: s["rank"] == k).alias(f"n_{KINDS[k]}") for k in range(BASE)],
+        *[count(_of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(BASE)],
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("secrets")).alias("spans"),
         count(lambda s: s["status"] == "live").alias("n_live"),

@@ -46,6 +46,8 @@ def test_secrets_match_brute_force(spark):
     got = {r["doc_id"]: r for r in secrets.report(docs_of(spark, texts)).collect()}
     for i, t in enumerate(texts):
         assert got[i]["base_sha256"] == hashlib.sha256(base_spans(t).encode()).hexdigest(), t
+        kinds = Counter(x.partition(":")[0] for x in base_spans(t).split(","))
+        assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [kinds[k] for k in ("assign", "access", "hex")], t
 
 
 def test_ownership(spark):
