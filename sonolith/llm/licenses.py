@@ -109,7 +109,7 @@ def _labelled(spark, rows: DataFrame, each: DataFrame, keep, rarest: int, least_
         *keep, "n_words", "n_base", "first_word", "last_word",
         text(F.col("__base")).alias("base_labels"),
         text(F.concat("__base", F.coalesce("more", F.array().cast("array<string>")))).alias("labels"),
-        F.when(F.size("__base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+        F.when(F.size("__base") > 0, 1.0).otherwise(F.round(F.coalesce("share", F.lit(0.0)), 6)).alias("score"),
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonolith.llm import chat, decontaminate, html, jaccard, language, licenses, markov, mixing, secrets, webp
+from sonolith.llm import chat, decontaminate, html, jaccard, language, licenses, markov, mixing, oracles, secrets, webp
 from sonolith.llm.common import table
 
 
@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: make() for name, make in oracles.SQL.items()}
