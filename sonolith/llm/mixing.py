@@ -4,8 +4,10 @@ Each source's target is met in expectation by whole repeats plus one more copy
 with a fractional probability. The cube method's flight phase moves those
 probabilities along the null space of the constraints (documents, tokens), three
 open units at a time, until all but two of a bucket are 0 or 1. What is left over
-of all buckets flies again, in fewer buckets, until each source has two open
-documents at most: the landing settles those.
+of all buckets flies again, in fewer buckets, until each source has few open
+documents: two, which may be large, and a ladder of documents of falling size that
+do not fly. The landing settles those on an outcome near the target. A document too
+long for such a landing is drawn before the last flight, and the others make up for it.
 
 Defined results: null text has size 0; null sources form the last source; sizes
 of 0 are never taken; repeated rows are mixed as rows of their own; an empty table
@@ -25,6 +27,8 @@ WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEATS = 3
 #: Expected documents of a bucket in which probabilities fly together.
 BUCKET = 1000
+#: Documents of a source, each of half the size of the one before or less, kept for its landing.
+LADDER = 12
 
 
 def words(text: Column) -> Column:
@@ -81,22 +85,65 @@ def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray
     return p
 
 
+def ladder(size: np.ndarray) -> np.ndarray:
+    """Places, in sizes that fall, of units for the landing: the first of at most
+    half of the largest size, then each time the next of at most half of the last."""
+    at, most = [], size[0] / 2 if len(size) else 0
+    while len(at) < LADDER:
+        k = int(np.searchsorted(-size, -most))
+        if k >= len(size):
+            break
+        at.append(k)
+        most = size[k] / 2
+    return np.array(at, int)
+
+
+def settle_heavy(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Draw the units, in sizes that fall, that no ladder below could balance, such as
+    one very long document of a source. The tokens that a draw adds or takes are taken
+    from or given to the units after it, in proportion; so tokens and the expected p
+    are kept, and documents are not. Where only one outcome can be balanced, it is that."""
+    p = p.copy()
+    for k in range(len(p) - 1):
+        if size[k:][ladder(size[k:])].sum() >= 0.8 * size[k]:
+            break
+        q, s, more, less = p[k + 1 :], size[k + 1 :], (1 - p[k]) * size[k], p[k] * size[k]
+        down, up = float(q @ s), float((1 - q) @ s)
+        if down > more and (up <= less or rng.random() < p[k]):
+            p[k + 1 :], p[k] = q * (1 - more / down), 1.0
+        elif up > less:
+            p[k + 1 :], p[k] = 1 - (1 - q) * (1 - less / up), 0.0
+    return p
+
+
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Settle the open units, two at most, on the outcome nearest to their expected
-    tokens, then documents. Units fly by falling size, so these are small ones."""
+    """Settle the open units: LADDER + 2 at most, so all outcomes are compared. Of those
+    within half the smallest unit of the nearest to the expected tokens, the nearest
+    to the expected documents is taken."""
     p = p.copy()
     at = np.flatnonzero((p > 0) & (p < 1))
-    ways = [np.array([w >> k & 1 for k in range(len(at))], float) for w in range(1 << len(at))]
-    p[at] = min(ways, key=lambda w: (abs((w - p[at]) @ size[at]), abs((w - p[at]).sum()), tuple(w)))
+    if not len(at):
+        return p
+    ways = np.arange(1 << len(at))[:, None] >> np.arange(len(at)) & 1
+    off = ways - p[at]
+    tokens, documents = np.abs(off @ size[at]), np.abs(off.sum(1))
+    near = np.flatnonzero(tokens <= tokens.min() + size[at].min() / 2)
+    p[at] = ways[near[np.lexsort((tokens[near], documents[near].round(9)))[0]]]
     return p
 
 
-def _flight(final: bool):
+def _flight(final: bool, held: int):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["size", "h", "p"], ascending=False).reset_index(drop=True)
         p, size = part["p"].to_numpy(float), part["size"].to_numpy(float)
         rng = np.random.default_rng([len(p), int(part["h"].iloc[0]) & 0xFFFFFFFF, int(part["h"].iloc[-1]) & 0xFFFFFFFF])
-        p = fly(p, size, rng)
+        flying = np.ones(len(p), bool)
+        if final:
+            p = settle_heavy(p, size, rng)
+        if held:
+            still = np.flatnonzero((p > 0) & (p < 1))
+            flying[still[ladder(size[still])]] = False
+        p[flying] = fly(p[flying], size[flying], rng)
         return part.assign(p=land(p, size) if final else p)
 
     return run
@@ -115,6 +162,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(ratio + 1e-9)).withColumn("p", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), ratio - F.col("whole"))).otherwise(0.0))
     level, done = 0, None
+    held = LADDER if bucket >= 4 * (LADDER + 2) else 0
     flying = rows.withColumn("bucket", F.pmod(F.col("h"), F.col("buckets")))
     while True:
         left = flying.where((F.col("p") > 0) & (F.col("p") < 1))
@@ -122,7 +170,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
         final = largest <= bucket
         if final:
             left = left.withColumn("bucket", F.lit(0).cast("long"))
-        landed = left.groupBy("source", "bucket").applyInPandas(_flight(final), ",".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields))
+        landed = left.groupBy("source", "bucket").applyInPandas(_flight(final, LADDER if final else held), ",".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields))
         rest = flying.where(~((F.col("p") > 0) & (F.col("p") < 1)))
         done = rest if done is None else done.unionByName(rest)
         flying = stable(landed, f"mix-flight-{level}")
@@ -130,8 +178,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
             done = done.unionByName(flying)
             break
         level += 1
-        # Two open documents are left of each bucket at most: fewer buckets do next.
-        flying = flying.withColumn("bucket", F.pmod(F.shiftright(F.col("h"), 7 * level), F.greatest(F.lit(1), F.ceil(2 * F.col("buckets") / bucket**level))))
+        # Two open documents and a ladder are left of each bucket at most: fewer buckets do next.
+        flying = flying.withColumn("bucket", F.pmod(F.shiftright(F.col("h"), 7 * level), F.greatest(F.lit(1), F.ceil(F.col("buckets") * ((2 + held) / bucket) ** level))))
     copies = (F.col("whole") + F.when(F.col("p") >= 0.5, 1).otherwise(0)).cast("long")
     return done.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 

@@ -132,6 +132,27 @@ def test_flight_keeps_both_totals(units):
     assert out.sum() == pytest.approx(p.sum(), abs=1e-6) and out @ size == pytest.approx(p @ size, abs=1e-4)
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.floats(0.05, 0.95), st.integers(1, 50)), min_size=30, max_size=60), st.lists(st.integers(300, 400), max_size=2), st.integers(0, 9))
+def test_long_documents_are_made_up_for(units, long, seed):
+    units = sorted(units + [(0.4, n) for n in long], key=lambda u: -u[1])
+    p, size = np.array([u[0] for u in units]), np.array([u[1] for u in units], float)
+    out = mixing.settle_heavy(p, size, np.random.default_rng(seed))
+    assert out @ size == pytest.approx(p @ size, abs=1e-6) and ((out >= 0) & (out <= 1)).all()
+    steps = mixing.ladder(size)
+    assert len(steps) <= mixing.LADDER and (size[steps][1:] <= size[steps][:-1] / 2).all()
+
+
+def test_mix_is_near_the_target_despite_one_long_document(spark):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, rng.randint(1, 90) if i > 2 else 2500), f"s{i % 3}") for i in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = Counter(), {r["source"]: r["target"] for r in got}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 30 for s in target), (taken, target)
+
+
 # Decontamination
 
 
