@@ -155,6 +155,7 @@ def resample(a: Column, factor: float) -> Column:
 
 
 def diff(a: Column) -> Column:
+    """Steps between neighbours, one fewer than samples (the row form has a null first)."""
     return F.when(F.size(a) > 1, F.zip_with(F.slice(a, 2, F.size(a)), F.slice(a, 1, F.size(a) - 1), lambda x, y: x - y)).otherwise(F.slice(a, 1, 0))
 
 

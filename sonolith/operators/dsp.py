@@ -66,12 +66,37 @@ def iq_demodulate(rows: DataFrame, omega: float, taps: list[float], chunk: int =
     return i.select("signal_id", "idx", F.col("sample").alias("i")).join(q.select("signal_id", "idx", F.col("sample").alias("q")), ["signal_id", "idx"])
 
 
+def envelope(i: Column, q: Column, depth: float = 1.0) -> Column:
+    """The sample of an amplitude modulation from its parts."""
+    return (F.sqrt(i * i + q * q) - 1.0) / F.lit(depth)
+
+
+def phase(i: Column, q: Column, gain: float = 1.0) -> Column:
+    """The sample of a phase modulation, within half a turn, from its parts."""
+    return F.atan2(q, i) / F.lit(gain)
+
+
+def frequency(parts: DataFrame, gain: float = 1.0, chunk: int = R.CHUNK) -> DataFrame:
+    """The samples of a frequency modulation from rows (signal_id, idx, i, q): steps of
+    the phase, brought within half a turn; the first is the phase itself."""
+    angle = parts.select("signal_id", "idx", F.atan2("q", "i").alias("sample"))
+    step = R.fir(angle, [1.0, -1.0], chunk)
+    turned = F.pmod(F.col("sample") + math.pi, F.lit(2 * math.pi)) - math.pi
+    return step.select("signal_id", "idx", (turned / gain).alias("sample"))
+
+
 #: User modulations by name: functions of (sample, idx, **options) to a Column.
 MODULATIONS: dict[str, Callable[..., Column]] = {"am": am, "pm": pm, "fm": fm}
 
 
-def register_modulation(name: str, function: Callable[..., Column]) -> None:
+#: Their inverses: functions of (i, q, **options) to a Column.
+DEMODULATIONS: dict[str, Callable[..., Column]] = {"am": envelope, "pm": phase}
+
+
+def register_modulation(name: str, function: Callable[..., Column], inverse: Callable[..., Column] | None = None) -> None:
     MODULATIONS[name] = function
+    if inverse is not None:
+        DEMODULATIONS[name] = inverse
 
 
 def cycle(spark: SparkSession, n: int, period: list[float]) -> DataFrame:

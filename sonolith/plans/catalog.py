@@ -383,3 +383,51 @@ def complex_fixed(spark, d):
     z = complex_of(c("value"), c("user_id"))
     p = c_mul(z, complex_of(F.lit(2.0), F.lit(3.0)))
     return table(spark, d, "events").select("event_id", F.round(p["re"], 6).alias("re"), F.round(p["im"], 6).alias("im"), F.round(c_abs(z), 6).alias("size"), fixed(c("value"), 12, 1).cast("double").alias("fixed_1"))
+
+
+@query("SELECT user_id AS signal_id, event_id AS idx, 0.5::DOUBLE * value + 0.25::DOUBLE * coalesce(lag(value, 1) OVER w, 0) + 0.125::DOUBLE * coalesce(lag(value, 2) OVER w, 0) AS sample FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def stream_fir(spark, d):
+    """A causal filter over a stream, with each signal's last samples as state."""
+    stream = chunks.read_stream(spark, d, "events").select(c("user_id").cast("long").alias("signal_id"), c("event_id").cast("long").alias("idx"), c("value").alias("sample"))
+    return chunks.run_to_files(chunks.fir_stream(stream, [0.5, 0.25, 0.125]))
+
+
+@query(f"""WITH x AS (SELECT signal_id, idx, 2 * sample * cos(0.25::DOUBLE * idx) AS i, -2 * sample * sin(0.25::DOUBLE * idx) AS q FROM {EVENTS})
+SELECT signal_id, idx::BIGINT AS idx, round(0.5::DOUBLE * i + 0.5::DOUBLE * coalesce(lag(i) OVER w, 0), 6) + 0.0 AS i, round(0.5::DOUBLE * q + 0.5::DOUBLE * coalesce(lag(q) OVER w, 0), 6) + 0.0 AS q FROM x WINDOW w AS (PARTITION BY signal_id ORDER BY idx)""")
+def iq_demod(spark, d):
+    got = D.iq_demodulate(event_signals(spark, d), OMEGA, [0.5, 0.5], chunk=32)
+    return got.select("signal_id", "idx", *[(F.round(n, 6) + 0.0).alias(n) for n in ("i", "q")])
+
+
+@query(f"SELECT signal_id, idx::BIGINT AS idx, round(0.001::DOUBLE * sample, 6) + 0.0 AS am, round(0.001::DOUBLE * sample, 6) + 0.0 AS pm FROM {EVENTS}")
+def am_pm_demod(spark, d):
+    """Parts of modulated signals give their samples back."""
+    x = 0.001 * c("sample")
+    got = event_signals(spark, d).select("signal_id", "idx", D.envelope(1.0 + x, F.lit(0.0)).alias("am"), D.phase(F.cos(x), F.sin(x)).alias("pm"))
+    return got.select("signal_id", "idx", *[(F.round(n, 6) + 0.0).alias(n) for n in ("am", "pm")])
+
+
+@query(f"SELECT signal_id, idx::BIGINT AS idx, round(0.001::DOUBLE * sample, 6) + 0.0 AS sample FROM {EVENTS}")
+def fm_demod(spark, d):
+    turn = 0.001 * c("sample")
+    parts = _running(spark, d).select("signal_id", "idx", F.cos(turn).alias("i"), F.sin(turn).alias("q"))
+    return D.frequency(parts, chunk=32).select("signal_id", "idx", (F.round("sample", 6) + 0.0).alias("sample"))
+
+
+@query(f"SELECT signal_id, a[6] - a[5] AS step, round(list_sum(a[1:6]), 9) + 0.0 AS total, round(0.5::DOUBLE * a[4] + 0.25::DOUBLE * a[3], 9) + 0.0 AS filtered, 65 AS filtered_n, round((a[2] + a[3]) / 2, 9) + 0.0 AS between, 128 AS resampled_n FROM {VECTORS}")
+def sig_array_transforms(spark, d):
+    a = c("a")
+    taps = A.convolve(a, F.array(F.lit(0.5), F.lit(0.25)))
+    more = A.resample(a, 2.0)
+    return _vectors(spark, d).select(
+        "signal_id", F.get(A.diff(a), 4).alias("step"), (F.round(F.get(A.running_sum(a), 5), 9) + 0.0).alias("total"),
+        (F.round(F.get(taps, 3), 9) + 0.0).alias("filtered"), F.size(taps).alias("filtered_n"),
+        (F.round(F.get(more, 3), 9) + 0.0).alias("between"), F.size(more).alias("resampled_n"),
+    )
+
+
+@query("SELECT c_custkey, c_custkey::VARCHAR AS u64, (-c_custkey)::VARCHAR AS i128, NULL::VARCHAR AS negative, CASE WHEN c_acctbal > -1 THEN trunc(c_acctbal)::BIGINT::VARCHAR END AS float_u64, trunc(c_acctbal)::BIGINT::VARCHAR AS float_i128 FROM customer")
+def cast_wide(spark, d):
+    k, x = c("c_custkey"), c("c_acctbal")
+    found = {"u64": checked_cast(k, "i64", "u64"), "i128": checked_cast(-k, "i64", "i128"), "negative": checked_cast(-k - 1, "i64", "u128"), "float_u64": checked_cast(x, "f64", "u64"), "float_i128": checked_cast(x, "f64", "i128")}
+    return table(spark, d, "customer").select(k, *[v.cast("string").alias(n) for n, v in found.items()])

@@ -6,6 +6,8 @@ Streaming, not of audio hardware.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,18 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFram
     return stream.sparkSession.table(name)
 
 
+def run_to_files(stream: DataFrame) -> DataFrame:
+    """All of what is there now, through the file sink: written by the executors and
+    read again, so results of any size do not pass through the driver. Its folder and
+    checkpoint lie in spark.checkpoint.dir, or in a temporary folder where that is unset."""
+    spark = stream.sparkSession
+    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sonolith-", dir="/tmp")
+    path = f"{home}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-progress").outputMode("append").trigger(availableNow=True).start(path)
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def fir_stream(stream: DataFrame, taps: list[float]) -> DataFrame:
     """A causal filter over (signal_id, idx, sample) that arrives in order; the
     state of a signal is its last len(taps) - 1 samples."""
