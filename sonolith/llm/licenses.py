@@ -1,8 +1,8 @@
 """Licence scans with a positional rare-token index (DataFrame functions only).
 
-Each file's licence words are ranked by inverse document frequency over the whole
-corpus; the postings of its rarest ones (template, position) are intersected by
-relative position, and a template is reported only where its key phrase stands.
+Each file's licence words weigh by their inverse document frequency over the whole
+corpus; their postings (template, position) are intersected by relative position,
+and a template is reported only where its key phrase stands.
 
 Defined results: null or empty text has no words and no label; repeated rows give
 repeated results; an empty table gives no rows; other columns are ignored.
@@ -57,10 +57,12 @@ def _phrase_stats(s: Column, phrase: str, n_words: Column) -> tuple[Column, Colu
     return F.when(has, places.cast("long")).otherwise(0), F.when(has, (spaces(F.substring(s, F.lit(1), at)) - 1).cast("long")), F.when(has, (n_words - words_after - len(phrase.split())).cast("long"))
 
 
-def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rarest: int = 8, least_share: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rarest: int | None = 8, least_share: float = 0.6) -> DataFrame:
     """One row per row of docs: the kept columns, n_words, n_base, first_word,
     last_word, base_labels, labels (with the templates') and score, the share of
-    the best verified template's IDF mass found at one relative position."""
+    the best verified template's IDF mass found at one relative position. rarest: only
+    so many distinct words of a file count, which loses notices that stand beside
+    others; None: all of them."""
     vocabulary = _vocabulary()
     s = F.trim(F.regexp_replace(F.lower(whole(text)), WORD_GAP, " "))
     rows = docs.select(*keep, s.alias("__s"))
@@ -87,7 +89,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     return _labelled(docs.sparkSession, rows, each, keep, rarest, least_share)
 
 
-def _labelled(spark, rows: DataFrame, each: DataFrame, keep, rarest: int, least_share: float) -> DataFrame:
+def _labelled(spark, rows: DataFrame, each: DataFrame, keep, rarest: int | None, least_share: float) -> DataFrame:
     total = rows.count()
     # The vocabulary of the templates bounds these counts.
     seen = {r["word"]: r["df"] for r in each.select("__row", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("df")).collect()}
@@ -95,10 +97,13 @@ def _labelled(spark, rows: DataFrame, each: DataFrame, keep, rarest: int, least_
     postings = [(w, t, p) for t, (_, notice, _) in enumerate(TEMPLATES) for p, w in enumerate(notice.split()) if w not in COMMON]
     index = spark.createDataFrame(postings, "word string, template int, place int")
     mass = index.join(idf, "word").groupBy("template").agg(F.sum("idf").alias("mass"))
-    # A file's rarest distinct words; their number bounds what is ranked in a file.
     held = F.broadcast(idf)
-    top = each.select("__row", "word").distinct().join(held, "word").groupBy("__row").agg(F.slice(F.sort_array(F.collect_list(F.struct("idf", "word")), False), 1, rarest).alias("top")).select("__row", F.explode("top").alias("t")).select("__row", "t.word", "t.idf")
-    at = each.join(top, ["__row", "word"]).join(F.broadcast(index), "word")
+    at = each.join(held, "word")
+    if rarest is not None:
+        top = each.select("__row", "word").distinct().join(held, "word").groupBy("__row").agg(F.slice(F.sort_array(F.collect_list(F.struct("idf", "word")), False), 1, rarest).alias("top")).select("__row", F.explode("top").alias("t")).select("__row", "t.word", "t.idf")
+        at = each.join(top, ["__row", "word"])
+    # A word has at most as many postings as places in the notices, so rows grow with the hits alone.
+    at = at.join(F.broadcast(index), "word")
     aligned = at.groupBy("__row", "template", (F.col("at") - F.col("place")).alias("offset")).agg(F.sum("idf").alias("got")).groupBy("__row", "template").agg(F.max("got").alias("got"))
     names = spark.createDataFrame([(t, label, key) for t, (label, _, key) in enumerate(TEMPLATES)], "template int, label string, phrase string")
     scored = aligned.join(F.broadcast(mass), "template").join(F.broadcast(names), "template").join(rows.where("__hits is not null").select("__row", "__phrases"), "__row")

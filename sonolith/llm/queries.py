@@ -19,7 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_webp_media": lambda spark, d: webp.report(docs(spark, d)),
         "op5_decontaminate": lambda spark, d: decontaminate.report(docs(spark, d), table(spark, d, "benchmark")),
         "op6_hidden_markov_lm": lambda spark, d: markov.report(docs(spark, d)),
-        "op7_license_scan": lambda spark, d: licenses.scan(docs(spark, d)),
+        "op7_license_scan": lambda spark, d: licenses.scan(docs(spark, d), rarest=None),
         "op8_main_text": lambda spark, d: html.report(table(spark, d, "pages")),
         "op9_chat_format": lambda spark, d: chat.report(table(spark, d, "conversations")),
         "op10_jaccard_join": lambda spark, d: jaccard.report(docs(spark, d)),

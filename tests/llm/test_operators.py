@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sonolith.llm import chat, decontaminate, html, jaccard, language, licenses, markov, mixing, secrets
+from sonolith.llm import chat, decontaminate, html, jaccard, language, licenses, markov, mixing, queries, secrets
 
 WORDS = [a + b for a in "ba ce di fo gu ha je ki lo mu na pe ri so tu".split() for b in "l n r s t".split()]
 
@@ -250,6 +250,14 @@ def test_license_templates_by_position(spark):
     assert got[0]["score"] > 0.9 and got[3]["score"] == 0
 
 
+def test_two_notices_in_one_file(spark, tmp_path):
+    pairs = list(itertools.combinations(licenses.TEMPLATES, 2))
+    texts = [f"{a[1]}\n\nriver stone lamp\n\n{b[1]}" for a, b in pairs] + ["river stone lamp"] * 1000
+    docs_of(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in queries.queries()["op7_license_scan"](spark, str(tmp_path)).collect()}
+    assert [(a[0], b[0]) for k, (a, b) in enumerate(pairs) if not {a[0], b[0]} <= got[k]] == []
+
+
 # Pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
