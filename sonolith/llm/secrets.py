@@ -2,8 +2,9 @@
 
 A document is a repository of its owner (`source` in the `documents` table).
 Every candidate's value is hashed; the hash is counted over distinct owners and
-distinct repositories of the whole corpus. A value that many owners hold is a
-copied example; one that few hold and that looks random is live.
+distinct repositories of the whole corpus. A value that many of the corpus's owners
+hold is a copied example, however many repositories of few owners hold it; one that
+few hold and that looks random is live.
 
 Defined results: null text counts as empty; null owners are one owner of their
 own; repeated rows give repeated results (and count once as a repository when
@@ -13,6 +14,7 @@ all their columns agree); an empty table gives no rows; other columns are ignore
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,10 +74,11 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
-def scan(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source", copied_owners: int = 3, copied_repos: int = 25, min_symbols: int = 6) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source", copied_owners: int = 3, min_symbols: int = 6, copied_share: float = 0.1) -> DataFrame:
     """docs with `secrets`: array of (start, kind, end, status, n_owners, n_repos),
-    for one row of output per row of input. status is copied (many owners or
-    repositories), placeholder (fewer than min_symbols distinct characters) or live.
+    for one row of output per row of input. status is copied (at least
+    copied_owners owners and copied_share of all owners), placeholder (fewer than
+    min_symbols distinct characters) or live.
     Columns of docs other than the three named are not carried.
     """
     rows = docs.select(F.col(repo).alias("repo"), F.col(owner).alias("owner"), candidates(whole(text)).alias("found"))
@@ -83,7 +86,8 @@ def scan(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str =
     rows = rows.withColumn("key", F.when(F.size("found") > 0, F.sha2(F.to_json(F.struct("repo", "owner", "found")), 256)))
     rows = stable(rows, "secrets")
     each = rows.where("key is not null").dropDuplicates(["key"]).select("key", "repo", "owner", F.explode("found").alias("s")).select("key", "repo", "owner", "s.*")
-    status = F.when((F.col("n_owners") >= copied_owners) | (F.col("n_repos") >= copied_repos), "copied").when(F.col("symbols") < min_symbols, "placeholder").otherwise("live")
+    least = max(copied_owners, ceil(copied_share * rows.select("owner").distinct().count()))
+    status = F.when(F.col("n_owners") >= least, "copied").when(F.col("symbols") < min_symbols, "placeholder").otherwise("live")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)
     judged = each.join(ownership(each), "hash").withColumn("status", status).where((F.col("rank") < 4) | (F.col("status") == "live"))
     by_key = judged.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", kind.alias("kind"), "status", "n_owners", "n_repos"))).alias("secrets"))

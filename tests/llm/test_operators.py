@@ -61,6 +61,22 @@ def test_ownership(spark):
     assert clean[9] == "[REDACTED]" and clean[0] == rows[0][1] and clean[11] == "bare [REDACTED] end"
 
 
+def test_one_owner_is_no_breadth(spark):
+    """A credential of one owner, or of few of many owners, is live in however many documents it stands."""
+    hot, few, wide = "password=Qw3rTy9LkJh2", "k3J9xPq27LmZw81RtYv5", "token=Hx4vNq8RzKd7"
+    rows = [(i, f"note {i} {hot} end", "en", "s0", 1) for i in range(30)]
+    rows += [(100 + i, f"note {i} {few} end", "en", f"s{i}", 1) for i in range(4)]
+    rows += [(200 + i, f"note {i} {wide if i < 20 else 'none'} end", "en", f"s{i}", 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in secrets.report(df).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    for i, text, *_ in rows:
+        live, copied = hot in text or few in text, wide in text
+        assert (got[i]["n_live"], got[i]["n_copied"]) == (int(live), int(copied))
+        assert clean[i] == text.replace(hot, "[REDACTED]").replace(few, "[REDACTED]")
+    assert got[100]["spans"] == "opaque:7:27"
+
+
 # Languages
 
 
