@@ -153,12 +153,26 @@ def _with_found(docs: DataFrame, model: Model, text: str, name: str) -> DataFram
     return docs.withColumn(name, run(text))
 
 
+def coverage_floors(docs: DataFrame, model: Model) -> dict[str, float]:
+    """For each language, the coverage below which a text is not of it: half the median
+    of all labelled rows that are predicted as labelled, or their lowest hundredth where
+    they differ by more than that."""
+    found = _with_found(docs.where(F.col("lang").isNotNull()).select("lang", "text"), model, "text", "__found")
+    agreed = found.select("lang", "__found.lang_pred", "__found.coverage").where("lang = lang_pred")
+    spread = agreed.groupBy("lang").agg(F.percentile_approx("coverage", [0.01, 0.5], 10000).alias("q")).collect()
+    return {r["lang"]: min(r["q"][0], r["q"][1] / 2) for r in spread}
+
+
 def keep_known(docs: DataFrame, least_coverage: float = 0.2) -> DataFrame:
     """docs whose language is known: not `und`, and holding a share of the text's
-    n-grams that prose of that language exceeds by far; same columns."""
+    n-grams near that of the labelled rows of that language (`coverage_floors`), and
+    least_coverage in any case; same columns."""
     name = fresh(docs, "__found")
-    found = _with_found(docs, train(docs), "text", name)
-    return found.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.coverage") >= least_coverage)).select(*columns(docs))
+    model = train(docs)
+    floors = [F.when(F.col(f"{name}.lang_pred") == lang, F.lit(floor)) for lang, floor in coverage_floors(docs, model).items()]
+    least = F.greatest(F.lit(least_coverage), F.coalesce(*floors, F.lit(least_coverage)))
+    found = _with_found(docs, model, "text", name)
+    return found.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.coverage") >= least)).select(*columns(docs))
 
 
 def held_out(key: str = "doc_id"):

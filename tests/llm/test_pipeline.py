@@ -1,7 +1,10 @@
 """The pipeline against a plain version of its stages over planted cases."""
 
+import os
 import random
 
+import pytest
+
 import corpus_pipeline
 from sonolith.llm import mixing
 
@@ -54,3 +57,23 @@ def test_stages_and_run(spark, tmp_path):
     whole = {(r["doc_id"], r["copies"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == {(i, r["copies"]) for i, r in mix.items()}
     assert mixing.MAX_REPEATS == 3
+
+
+FOLDER = "/root/testdata/sf0.01"
+FOREIGN = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+    "sw": "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa",
+    "it": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах",
+}
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_texts_of_languages_never_learned_are_dropped(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang", "source")
+    ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    planted = [(-1 - k, text, lang, "s") for k, (text, lang) in enumerate((t, label) for t in FOREIGN.values() for label in (None, "en"))]
+    both = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["language_id"](spark, both, FOLDER).select("doc_id").collect()}
+    assert kept == ids
