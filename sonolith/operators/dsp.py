@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from fractions import Fraction
 
@@ -22,6 +22,33 @@ def dft(rows: DataFrame, bins: int, n: int) -> DataFrame:
     return each.groupBy("signal_id", "k").agg((F.sum(F.col("sample") * F.cos(turn)) + 0.0).alias("re"), (-F.sum(F.col("sample") * F.sin(turn)) + 0.0).alias("im"))
 
 
+def frames(rows: DataFrame, n: int) -> DataFrame:
+    """rows with `frame`, and idx counted from its start: consecutive frames of n samples."""
+    return rows.select("signal_id", F.floor(F.col("idx") / n).cast("long").alias("frame"), (F.col("idx") % n).alias("idx"), "sample")
+
+
+def framed_dft(rows: DataFrame, n: int) -> DataFrame:
+    """All n bins of each frame of n samples, by sums; missing samples of the last frame are 0."""
+    each = frames(rows, n).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    turn = 2 * math.pi * F.col("k") * F.col("idx") / n
+    return each.groupBy("signal_id", "frame", "k").agg((F.sum(F.col("sample") * F.cos(turn)) + 0.0).alias("re"), (-F.sum(F.col("sample") * F.sin(turn)) + 0.0).alias("im"))
+
+
+def framed_fft(rows: DataFrame, n: int) -> DataFrame:
+    """All n bins of each frame of n samples by an FFT over gathered frames; missing samples of the last frame are 0."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.zeros((len(batch), n))
+            for row, at, samples in zip(range(len(batch)), batch["at"], batch["samples"], strict=True):
+                x[row, np.asarray(at, int)] = samples
+            got = np.fft.fft(x, axis=1)
+            yield pd.DataFrame({"signal_id": batch["signal_id"].repeat(n), "frame": batch["frame"].repeat(n), "k": np.tile(np.arange(n), len(batch)), "re": got.real.ravel(), "im": got.imag.ravel()})
+
+    held = frames(rows, n).groupBy("signal_id", "frame").agg(F.collect_list(F.struct("idx", F.col("sample").cast("double").alias("sample"))).alias("x"))
+    return held.select("signal_id", "frame", F.col("x.idx").alias("at"), F.col("x.sample").alias("samples")).mapInPandas(run, "signal_id long, frame long, k long, re double, im double")
+
+
 def fft(rows: DataFrame) -> DataFrame:
     """All bins of each signal by an FFT, as a grouped Arrow function; a signal must fit one task."""
 

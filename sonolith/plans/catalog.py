@@ -342,6 +342,29 @@ def windowed(spark, d):
     return rows.select("signal_id", "idx", (F.round(c("sample") * at(D.hann(8)), 6) + 0.0).alias("hann"), (F.round(c("sample") * at(D.hamming(8)), 6) + 0.0).alias("hamming"))
 
 
+# dft8, fft8 and windowed see each user's first eight samples only, as their SQL does; these take
+# all samples in consecutive frames of eight.
+_FRAMED = f"SELECT signal_id, (idx // 8)::BIGINT AS frame, k::BIGINT AS k, round(sum(sample * cos(2 * pi() * k * (idx % 8) / 8)), 4) + 0.0 AS re, round(-sum(sample * sin(2 * pi() * k * (idx % 8) / 8)), 4) + 0.0 AS im FROM {EVENTS}, (SELECT unnest(range(8)) AS k) GROUP BY signal_id, idx // 8, k"
+
+
+@query(_FRAMED)
+def dft8_frames(spark, d):
+    got = D.framed_dft(event_signals(spark, d), 8)
+    return got.select("signal_id", "frame", "k", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
+
+
+@query(_FRAMED)
+def fft8_frames(spark, d):
+    got = D.framed_fft(event_signals(spark, d), 8)
+    return got.select("signal_id", "frame", "k", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
+
+
+@query(f"SELECT signal_id, (idx // 8)::BIGINT AS frame, (idx % 8)::BIGINT AS idx, round(sample * (0.5 - 0.5 * cos(2 * pi() * (idx % 8) / 7)), 6) + 0.0 AS hann, round(sample * (0.54 - 0.46 * cos(2 * pi() * (idx % 8) / 7)), 6) + 0.0 AS hamming FROM {EVENTS}")
+def windowed_frames(spark, d):
+    at = lambda w: F.element_at(F.array(*map(F.lit, w)), (c("idx") + 1).cast("int"))
+    return D.frames(event_signals(spark, d), 8).select("signal_id", "frame", "idx", (F.round(c("sample") * at(D.hann(8)), 6) + 0.0).alias("hann"), (F.round(c("sample") * at(D.hamming(8)), 6) + 0.0).alias("hamming"))
+
+
 @query("SELECT i::BIGINT AS idx, CASE i % 3 WHEN 0 THEN 1.0 WHEN 1 THEN -2.0 ELSE 0.5 END::DOUBLE AS sample, (i * i)::BIGINT AS square FROM (SELECT unnest(range(1000)) AS i)")
 def gen_cycle(spark, d):
     return D.cycle(spark, 1000, [1.0, -2.0, 0.5]).withColumn("square", c("idx") * c("idx"))

@@ -43,6 +43,15 @@ def test_query(spark, engine, name):
     assert got == want and got
 
 
+@needs_data
+def test_frames_cover_every_event(spark):
+    n = spark.read.parquet(f"{FOLDER}/events.parquet").count()
+    assert catalog.QUERIES["windowed_frames"](spark, FOLDER).count() == n
+    spectra = [catalog.QUERIES[name](spark, FOLDER) for name in ("dft8_frames", "fft8_frames")]
+    frames = catalog.QUERIES["windowed_frames"](spark, FOLDER).select("signal_id", "frame").distinct().count()
+    assert [x.count() for x in spectra] == [8 * frames] * 2
+
+
 @needs_data
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
