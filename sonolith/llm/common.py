@@ -35,6 +35,23 @@ def stable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that `join_one` broadcasts are fewer than this.
+HOT_KEYS = 20_000
+
+
+def join_one(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with facts, a stored table of one row a key, where `count` is the number
+    of rows that hold the key, and total that of all rows.
+
+    A key held by more than 1 / HOT_KEYS of the rows is one of fewer than HOT_KEYS, so
+    these are broadcast and their rows stay where they are; the others are shuffled.
+    """
+    many = F.col(count) > max(4096, total // HOT_KEYS)
+    hot = facts.where(many)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(~many), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def columns(df: DataFrame) -> list[Column]:
     """All columns by their exact names, dots and backticks included."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

@@ -3,9 +3,11 @@
 Documents with equal shingle sets form a class, and classes are joined. Each set is
 embedded by minhash; in every run a bucket's path chooses coordinates, and its sets
 are split on their values there. Buckets that are small, or as deep as paths go, are
-compared by brute force, in blocks where they are large, so no bucket is gathered
-whole. A link is counted in the first bucket in which its sets meet, without listing
-pairs. Runs repeat until a link at the threshold is missed with less than 1 - RECALL.
+compared in blocks where they are large, so no bucket is gathered whole: first by
+sketches of a byte a coordinate, which leave only members with a likely partner, then
+these by brute force of their whole sets. A link is counted in the first bucket in
+which its sets meet, without listing pairs. Runs repeat until a link at the threshold
+is missed with less than 1 - RECALL; sketches lose one with less than SKETCH_LOSS.
 
 Defined results: null text is empty; texts under five words have one shingle of all
 their words; texts without words are copies of each other; ids may repeat or be null
@@ -17,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -24,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonolith.llm.common import bounded_batches, columns, fresh, stable
+from sonolith.llm.common import bounded_batches, columns, fresh, join_one, stable
 
 SHINGLE, RECALL = 5, 0.999
 #: Similarity 4/5: inter / union >= 4 / 5 when 9 * inter >= 4 * (sum of sizes).
 LEVEL = 0.8
-COORDINATES, SMALL, DEPTH, BLOCK = 64, 128, 4, 512
+COORDINATES, SMALL, DEPTH, BLOCK = 64, 128, 4, 1024
+SKETCH_LOSS = 1e-5
 BITMAP = 1 << 26
 _WORD = re.compile(r"\w+")
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -79,6 +83,21 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
+def least_matches(level: float = LEVEL, loss: float = SKETCH_LOSS) -> int:
+    """Equal coordinates that two sets at the level have but for a chance of `loss`."""
+    below, t = 0.0, 0
+    while True:
+        below += comb(COORDINATES, t) * level**t * (1 - level) ** (COORDINATES - t)
+        if below >= loss:
+            return t
+        t += 1
+
+
+def sketch(signs: np.ndarray) -> bytes:
+    """The low bytes of the minima: unlike sets agree in one of 256."""
+    return (signs & np.uint32(255)).astype(np.uint8).tobytes()
+
+
 def digest(s: np.ndarray) -> bytes:
     return blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -176,34 +195,91 @@ def brute_force(leaf: int, keys: list[bytes], weights: np.ndarray, sets: list[np
     return out
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (leaf, bi, bj): brute force of each block pair."""
-    names = ["key", "root", "links"]
-    group, at = [], None
+def likely(sketches: np.ndarray, sizes: np.ndarray, sides: np.ndarray | None, most: int = 1 << 14) -> np.ndarray:
+    """Which members have a partner that may be at the level; sides as in `brute_force`."""
+    a = b = np.arange(len(sketches))
+    if sides is not None:
+        a, b = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+    out, least = np.zeros(len(sketches), bool), least_matches()
+    if not len(a) or not len(b):
+        return out
+    step = max(1, most // len(b))
+    for k in range(0, len(a), step):
+        rows = a[k : k + step]
+        if len(rows) * len(b) <= 1024:
+            equal = (sketches[rows][:, None] == sketches[b][None]).sum(2)
+        else:  # a coordinate at a time
+            equal = np.zeros((len(rows), len(b)), np.uint8)
+            for x, y in zip(sketches[rows].T, sketches[b].T, strict=True):
+                equal += x[:, None] == y
+        low, high = np.minimum(sizes[rows, None], sizes[None, b]), np.maximum(sizes[rows, None], sizes[None, b])
+        near = (equal >= least) & (5 * low >= 4 * high)
+        if sides is None:
+            near[np.arange(len(rows)), rows] = False
+        out[rows] |= near.any(1)
+        out[b] |= near.any(0)
+    return out
+
+
+def _blocks(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows (leaf, n, key, ...) with their block `own`, once for each pair of blocks
+    (bi, bj) of their leaf, sorted by (leaf, bi, bj) within partitions."""
+    names = [c for c in rows.columns if c != "n"]
+    rows = rows.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key", F.lit(11)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(*names, "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+    return rows.repartition(parts, "leaf", "bi", "bj").sortWithinPartitions("leaf", "bi", "bj")
 
-    def done() -> list:
-        if len(group) < 2:
-            return []
-        keys, weights, sets, leaves, own = zip(*group, strict=True)
-        sides = None if at[1] == at[2] else np.array([0 if o == at[1] else 1 for o in own])
-        return brute_force(at[0], list(keys), np.array(weights, np.int64), [np.frombuffer(s, np.uint32) for s in sets], [np.asarray(x, np.int64) for x in leaves], sides)
 
+def _groups(batches: Iterator[pd.DataFrame], names: tuple[str, ...], work) -> Iterator[list]:
+    """The results of work(place, rows) for each block pair, a list for each batch."""
+    group, at = [], None
     for batch in batches:
         out = []
-        for leaf, bi, bj, key, weight, held, leaves, own in zip(*(batch[c] for c in ("leaf", "bi", "bj", "key", "weight", "held", "leaves", "own")), strict=True):
+        for leaf, bi, bj, *rest in zip(*(batch[c] for c in ("leaf", "bi", "bj", *names)), strict=True):
             if at != (leaf, bi, bj):
-                out += done()
+                if len(group) > 1:
+                    out += work(at, group)
                 group, at = [], (leaf, bi, bj)
-            group.append((bytes(key), weight, held, leaves, own))
+            group.append(rest)
         if out:
-            yield pd.DataFrame(out, columns=names)
-    if out := done():
-        yield pd.DataFrame(out, columns=names)
+            yield out
+    if len(group) > 1 and (out := work(at, group)):
+        yield out
+
+
+def _sides(at: tuple, own: tuple) -> np.ndarray | None:
+    return None if at[1] == at[2] else np.array([0 if o == at[1] else 1 for o in own])
+
+
+def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(leaf, key) of the members with a likely partner."""
+
+    def work(at: tuple, group: list) -> list:
+        keys, sketches, sizes, own = zip(*group, strict=True)
+        held = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, COORDINATES)
+        return [(at[0], bytes(keys[k])) for k in np.flatnonzero(likely(held, np.array(sizes, np.int64), _sides(at, own)))]
+
+    for out in _groups(batches, ("key", "sketch", "size", "own"), work):
+        yield pd.DataFrame(out, columns=["leaf", "key"])
+
+
+def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Brute force of each block pair."""
+
+    def work(at: tuple, group: list) -> list:
+        keys, weights, sets, leaves, own = zip(*group, strict=True)
+        return brute_force(at[0], [bytes(k) for k in keys], np.array(weights, np.int64), [np.frombuffer(s, np.uint32) for s in sets], [np.asarray(x, np.int64) for x in leaves], _sides(at, own))
+
+    for out in _groups(batches, ("key", "weight", "held", "leaves", "own"), work):
+        yield pd.DataFrame(out, columns=["key", "root", "links"])
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node -> least node of its component, for the nodes of the edges (u, v), by
-    alternating large and small stars; every round is written to the shared folder."""
+    alternating large and small stars; every round is written to the shared folder.
+    The number of rounds grows with the logarithm of the edges; RuntimeError beyond."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -222,6 +298,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
             break
         before = mark
         now = stable(star(star(now, True), False), "jaccard-stars")
+    else:
+        raise RuntimeError(f"the components are not settled after {rounds} rounds")
     return now.select(F.col("u").alias("key"), F.col("v").alias("root"))
 
 
@@ -240,12 +318,58 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
         hashes = _Hashes()
         for batch in batches:
             sets = [shingles(t, hashes) for t in batch]
-            yield pd.DataFrame({"key": [digest(s) for s in sets], "n": [len(s) for s in sets], "sign": [signature(s).tobytes() for s in sets]})
+            signs = [signature(s) for s in sets]
+            yield pd.DataFrame({"key": [digest(s) for s in sets], "size": [len(s) for s in sets], "sign": [s.tobytes() for s in signs], "sketch": [sketch(s) for s in signs]})
 
-    rows = docs.select(F.col(key).alias("id"), F.pandas_udf(sign, "key binary, n long, sign binary")(text).alias("s")).select("id", "s.*")
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("text_hash"), F.pandas_udf(sign, "key binary, size long, sign binary, sketch binary")(text).alias("s")).select("id", "text_hash", "s.*")
     rows = stable(rows, "jaccard-rows")
-    reps = stable(rows.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("sign").alias("sign")), "jaccard-classes")
+    # The least text of a class stands for it; all its texts have one set.
+    reps = stable(rows.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"), F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("sign").alias("sign"), F.first("sketch").alias("sketch")), "jaccard-classes")
+    kept = _met(reps)
+    pairs = _blocks(kept.join(reps.select("key", "sketch", "size"), "key"), parts)
+    alive = stable(pairs.mapInPandas(_sketched, "leaf long, key binary").distinct(), "jaccard-likely")
+    alive = _first_of_equals(alive, alive.groupBy("leaf").agg(*_members()))
+    lists = stable(alive.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("leaf", "n"))).alias("at")), "jaccard-lists")
+
+    # A bitmap of fixed size lets each task pass over most texts without a likely partner.
+    slot = F.pmod("text_hash", F.lit(BITMAP))
+    wanted = lists.join(reps.select("key", "text_hash", "weight"), "key")
+    maps = wanted.select(slot.alias("x")).groupBy(F.expr("x div 32768").alias("b")).agg(F.expr("bitmap_construct_agg(x % 32768)").alias("m"))
+    bits = np.zeros(BITMAP // 8, np.uint8)
+    for r in maps.collect():  # BITMAP / 32768 rows of 4 KB at most
+        bits[r["b"] * 4096 : (r["b"] + 1) * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    held = spark.sparkContext.broadcast(bits)
+
+    def sets(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        hashes, bits = _Hashes(), held.value
+        for texts, marks in batches:
+            at = marks.to_numpy(np.int64) % BITMAP
+            out = []
+            for t, likely_met in zip(texts, (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist(), strict=True):
+                s = shingles(t, hashes) if likely_met else None
+                out.append((None, None) if s is None else (digest(s), np.unique(s.astype(np.uint32)).tobytes()))
+            yield pd.DataFrame(out, columns=["key", "held"])
+
+    full = docs.select(F.pandas_udf(sets, "key binary, held binary")(text, F.xxhash64(text)).alias("s")).select("s.*").where("held is not null").groupBy("key").agg(F.first("held").alias("held"))
+    each = full.join(wanted.select("key", "at", "weight"), "key")
+    each = each.select("key", "held", "weight", F.col("at.leaf").alias("leaves"), F.explode("at").alias("a")).select("key", "held", "weight", "leaves", "a.leaf", "a.n")
+    found = stable(_blocks(each, parts).mapInPandas(_compare, "key binary, root binary, links long"), "jaccard-links")
+    return _labelled(rows, reps, found, key)
+
+
+def _members() -> list:
+    """The number of a leaf's members, and hashes of their set."""
+    return [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("one"), F.bit_xor(F.xxhash64("key", F.lit(3))).alias("two")]
 
+
+def _first_of_equals(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """rows (leaf, key) with n, in the first only of the leaves with equal members."""
+    first = leaves.groupBy("n", "one", "two").agg(F.min("leaf").alias("leaf")).select("leaf", "n")
+    return rows.join(first, "leaf").select("leaf", "key", "n")
+
+
+def _met(reps: DataFrame) -> DataFrame:
+    """(leaf, key, n): the buckets to compare, by paths of at most DEPTH choices."""
     chosen = root_choices()
 
     def root(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,60 +387,28 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
                 row, paths = split(part["leaf"].to_numpy(np.int64).view(np.uint64), signs)
                 yield pd.DataFrame({"leaf": _signed(paths), "key": part["key"].to_numpy(object)[row]})
 
-    now = stable(reps.where("n > 0").select("key", "sign").mapInPandas(root, "leaf long, key binary"), "jaccard-paths-1")
-    ready = None
+    now = stable(reps.where("size > 0").select("key", "sign").mapInPandas(root, "leaf long, key binary"), "jaccard-paths-1")
+    ready = leaves = None
     for depth in range(1, DEPTH + 1):
-        sizes = now.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("key", F.lit(3))).alias("xor")).where("n > 1")
-        met = now.join(sizes, "leaf")
-        small = met if depth == DEPTH else met.where(F.col("n") <= SMALL)
-        ready = small if ready is None else ready.unionByName(small)
+        sizes = stable(now.groupBy("leaf").agg(*_members()).where("n > 1"), f"jaccard-sizes-{depth}")
+        met = join_one(now, sizes.select("leaf", "n"), "leaf", "n", now.count())
+        done = F.lit(True) if depth == DEPTH else F.col("n") <= SMALL
+        ready = met.where(done) if ready is None else ready.unionByName(met.where(done))
+        leaves = sizes.where(done) if leaves is None else leaves.unionByName(sizes.where(done))
         if depth < DEPTH:
-            large = met.where(F.col("n") > SMALL).select("leaf", "key").join(reps.select("key", "sign"), "key")
+            large = met.where(~done).select("leaf", "key").join(reps.select("key", "sign"), "key")
             now = stable(large.mapInPandas(deeper, "leaf long, key binary").distinct(), f"jaccard-paths-{depth + 1}")
-    ready = stable(ready, "jaccard-leaves")
-    # Of the buckets with equal members the first stays.
-    first = ready.groupBy("n", "sum", "xor").agg(F.min("leaf").alias("leaf")).select("leaf")
-    kept = ready.select("leaf", "key", "n").join(first, "leaf", "left_semi")
-    lists = stable(kept.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("leaf", "n"))).alias("at")), "jaccard-lists")
-
-    # A bitmap of fixed size lets each task drop most sets that meet no other.
-    slot = F.pmod(F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long"), F.lit(BITMAP))
-    maps = lists.select(slot.alias("x")).groupBy(F.expr("x div 32768").alias("b")).agg(F.expr("bitmap_construct_agg(x % 32768)").alias("m"))
-    bits = np.zeros(BITMAP // 8, np.uint8)
-    for r in maps.collect():  # BITMAP / 32768 rows of 4 KB at most
-        bits[r["b"] * 4096 : (r["b"] + 1) * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
-    held = spark.sparkContext.broadcast(bits)
-
-    return _joined(spark, docs, text, key, rows, reps, lists, held, parts)
-
+    return stable(_first_of_equals(ready.select("leaf", "key"), leaves), "jaccard-leaves")
 
-def _joined(spark, docs, text, key, rows, reps, lists, held, parts) -> DataFrame:
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes, bits = _Hashes(), held.value
-        for texts in batches:
-            out = []
-            for t in texts:
-                s = shingles(t, hashes)
-                own = digest(s)
-                at = int.from_bytes(own[:7], "big") % BITMAP
-                out.append((own, np.unique(s.astype(np.uint32)).tobytes() if bits[at >> 3] >> (at & 7) & 1 else None))
-            yield pd.DataFrame(out, columns=["key", "held"])
 
-    full = docs.select(F.pandas_udf(sets, "key binary, held binary")(text).alias("s")).select("s.*").where("held is not null").groupBy("key").agg(F.first("held").alias("held"))
-    each = full.join(lists, "key").join(reps.select("key", "weight"), "key")
-    each = each.select("key", "held", "weight", F.col("at.leaf").alias("leaves"), F.explode("at").alias("a")).select("key", "held", "weight", "leaves", "a.leaf", F.greatest(F.lit(1), F.ceil(F.col("a.n") / BLOCK)).cast("int").alias("blocks"))
-    each = each.withColumn("own", F.pmod(F.xxhash64("key", F.lit(11)), F.col("blocks")).cast("int"))
-    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("leaf", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "key", "weight", "held", "leaves", "own")
-    dealt = each.repartition(parts, "leaf", "bi", "bj").sortWithinPartitions("leaf", "bi", "bj")
-    found = stable(dealt.mapInPandas(_compare, "key binary, root binary, links long"), "jaccard-links")
+def _labelled(rows: DataFrame, reps: DataFrame, found: DataFrame, key: str) -> DataFrame:
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     group = components(found.select(F.col("key").alias("u"), F.col("root").alias("v")))
     known = reps.select("key", "least", "weight").join(links, "key", "left").join(group, "key", "left")
-    known = stable(known.select("key", "least", F.coalesce("root", "key").alias("root"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-known")
-    names = known.groupBy("root").agg(F.min("least").alias("class_id"))
-    final = known.join(names, "root").select("key", "class_id", "n_links")
-    return rows.select("id", "key").join(final, "key").select(F.col("id").alias(key), "class_id", "n_links")
+    known = stable(known.select("key", "least", "weight", F.coalesce("root", "key").alias("root"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-known")
+    names = known.groupBy("root").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("members"))
+    final = stable(join_one(known, stable(names, "jaccard-names"), "root", "members", known.count()).select("key", "weight", "class_id", "n_links"), "jaccard-final")
+    return join_one(rows.select("id", "key"), final, "key", "weight", rows.count()).select(F.col("id").alias(key), "class_id", "n_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
