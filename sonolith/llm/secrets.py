@@ -19,7 +19,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonolith.llm.common import columns, fresh, stable, whole
+from sonolith.llm.common import columns, fresh, join_one, stable, whole
 
 #: The base patterns, in their listed order.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,6 +35,26 @@ BASE = 3
 SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 
 
+#: Spans that one fold gathers; longer arrays are folded by blocks, so that their cost stays in proportion.
+FOLD = 256
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body and its lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _folds(items: Column) -> Column:
+    """The items in blocks of FOLD."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / FOLD).cast("int")), lambda k: F.slice(items, k * FOLD + 1, FOLD))
+
+
+def _running(values: Column, add) -> Column:
+    """For each block's value, what add makes of 0 and all values before."""
+    start = F.struct(F.lit(0).alias("now"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, start, lambda acc, v: F.struct(add(acc["now"], v).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out")))["out"]
+
+
 def _matches(text: Column, pattern: str, rank: int, group: int = 0) -> Column:
     """Spans of all non-overlapping matches, leftmost first, in code points.
 
@@ -43,25 +63,51 @@ def _matches(text: Column, pattern: str, rank: int, group: int = 0) -> Column:
     """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = (lambda m: F.regexp_extract(m, pattern, group)) if group else (lambda m: m)
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out"))
+    pairs = F.filter(F.zip_with(pieces, found, lambda piece, m: F.struct(F.length(piece).alias("gap"), F.length(m).alias("length"), m.alias("found"))), lambda x: x["found"].isNotNull())
 
     def step(acc, x):
-        begin = acc["at"] + F.length(x["piece"])
-        end = begin + F.length(x["found"])
+        begin = acc["at"] + x["gap"]
+        end = begin + x["length"]
         span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), value(x["found"]).alias("value"))
-        return F.struct(end.alias("at"), F.concat(F.coalesce(acc["out"], F.array().cast(SPAN)), F.array(span)).alias("out"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    def placed(block, at):
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(SPAN).alias("out")), step)["out"]
+
+    def by_blocks(blocks):
+        lengths = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + x["length"]))
+        return F.flatten(F.zip_with(blocks, _running(lengths, lambda now, n: now + n), placed))
 
-    pairs = F.transform(found, lambda m, i: F.struct(F.element_at(pieces, i + 1).alias("piece"), m.alias("found")))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step)["out"]).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), _let(pairs, lambda all_: _let(_folds(all_), by_blocks))).otherwise(F.array().cast(SPAN))
+
+
+def _meets(spans: Column, other: Column) -> Column:
+    """Whether a span overlaps one of spans, which are in order and apart: a binary search."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+
+    def halve(acc, _):
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        before = F.get(spans, middle)["start"] < other["end"]
+        open_ = acc["low"] < acc["high"]
+        return F.struct(F.when(open_ & before, middle + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~before, middle).otherwise(acc["high"]).alias("high"))
+
+    count = F.aggregate(rounds, F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), halve)["low"]
+    return F.coalesce(F.get(spans, count - 1)["end"] > other["start"], F.lit(False))
 
 
 def candidates(text: Column) -> Column:
-    """All candidate spans of a text, sorted by start, then kind."""
-    assign = F.filter(_matches(text, ASSIGN, 0, 2), lambda s: F.length(s["value"]) >= 6)
+    """All candidate spans of a text, sorted by start, then kind. Their cost grows with
+    the text and, but for a sort, with the number of matches."""
+    assign = _matches(text, ASSIGN, 0, 2)
     opaque = F.filter(_matches(text, OPAQUE, 4), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-    named = F.concat(assign, _matches(text, ACCESS, 1), _matches(text, HEX, 2), _matches(text, PROVIDER, 3))
-    apart = F.filter(opaque, lambda o: ~F.exists(named, lambda s: (s["start"] < o["end"]) & (s["end"] > o["start"])))
-    return F.array_sort(F.concat(named, apart))
+    named = F.array(F.filter(assign, lambda s: F.length(s["value"]) >= 6), _matches(text, ACCESS, 1), _matches(text, HEX, 2), _matches(text, PROVIDER, 3))
+    all_ = F.struct(named.alias("named"), opaque.alias("opaque"))
+
+    def apart(x):
+        free = F.filter(x["opaque"], lambda o: ~F.exists(x["named"], lambda kind: (F.size(kind) > 0) & _meets(kind, o)))
+        return F.array_sort(F.concat(F.flatten(x["named"]), free))
+
+    return _let(all_, apart)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -86,10 +132,13 @@ def scan(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str =
     rows = rows.withColumn("key", F.when(F.size("found") > 0, F.sha2(F.to_json(F.struct("repo", "owner", "found")), 256)))
     rows = stable(rows, "secrets")
     each = rows.where("key is not null").dropDuplicates(["key"]).select("key", "repo", "owner", F.explode("found").alias("s")).select("key", "repo", "owner", "s.*")
+    each = stable(each, "secrets-each")
+    held = each.groupBy("hash").agg(F.count(F.lit(1)).alias("n_held"))
+    owned = stable(ownership(each).join(held, "hash"), "secrets-owned")
     least = max(copied_owners, ceil(copied_share * rows.select("owner").distinct().count()))
     status = F.when(F.col("n_owners") >= least, "copied").when(F.col("symbols") < min_symbols, "placeholder").otherwise("live")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)
-    judged = each.join(ownership(each), "hash").withColumn("status", status).where((F.col("rank") < 4) | (F.col("status") == "live"))
+    judged = join_one(each, owned, "hash", "n_held", each.count()).withColumn("status", status).where((F.col("rank") < 4) | (F.col("status") == "live"))
     by_key = judged.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", kind.alias("kind"), "status", "n_owners", "n_repos"))).alias("secrets"))
     # Rows without candidates have no key and take no part in the join.
     full = rows.where("key is not null").select("repo", "owner", "key").join(by_key, "key", "left").select("repo", "owner", "secrets")
@@ -128,14 +177,27 @@ def redact(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
     held = docs.withColumn(own, key)
     marked = scan(held.select(F.col(own).alias("doc_id"), "source", "text")).where(F.exists("secrets", lambda s: s["status"] == "live"))
     marked = marked.select(F.col("doc_id").alias(own), F.filter("secrets", lambda s: s["status"] == "live").alias(spans)).dropDuplicates([own])
-    text = whole("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text, all_ = whole("text"), F.col(spans)
+
+    def masked(block, at):
+        """What stands from `at`, the end of all blocks before, to the end of this one."""
+        part = F.substring(text, at + 1, F.array_max(F.transform(block, lambda s: s["end"])) - at)
+
+        def fold(part):
+            def step(acc, s):
+                gap = F.when(s["start"] >= acc["at"], F.concat(F.substring(part, acc["at"] - at + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise("")
+                return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+
+            return F.aggregate(block, F.struct(at.alias("at"), F.lit("").alias("out")), step)["out"]
+
+        return _let(part, fold)
 
-    def step(acc, s):
-        gap = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+    def by_blocks(blocks):
+        ends = F.transform(blocks, lambda block: F.array_max(F.transform(block, lambda s: s["end"])))
+        return F.array_join(F.zip_with(blocks, _running(ends, F.greatest), masked), "")
 
-    folded = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    rest = F.substring(text, F.array_max(F.transform(all_, lambda s: s["end"])) + 1, F.length(text))
+    folded = F.concat(_let(_folds(all_), by_blocks), rest)
     out = held.join(marked, own, "left").withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(folded))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
