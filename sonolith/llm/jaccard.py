@@ -285,11 +285,13 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         if not large:
             both = both.where("v < u")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = both.join(least, "u")
+        least = stable(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "jaccard-least")
+        joined = join_one(both, least, "u", "n", 2 * e.count())
         if large:
-            return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        return joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("u != m").select("u", F.col("m").alias("v"))).distinct()
+            out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        else:
+            out = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("u != m").select("u", F.col("m").alias("v")))
+        return stable(out.distinct(), "jaccard-stars")
 
     now, before = stable(edges.select("u", "v").where("u != v").distinct(), "jaccard-edges"), None
     for _ in range(rounds):
@@ -297,7 +299,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
-        now = stable(star(star(now, True), False), "jaccard-stars")
+        now = star(star(now, True), False)
     else:
         raise RuntimeError(f"the components are not settled after {rounds} rounds")
     return now.select(F.col("u").alias("key"), F.col("v").alias("root"))
