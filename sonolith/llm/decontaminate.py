@@ -22,8 +22,9 @@ from sonolith.llm.common import columns, fresh, stable, whole
 MASKS = ("1101001011", "1011010011", "1100110101")
 SPAN = 10
 WINDOW, LEAST_WINDOW, LEAST_SHARE = 20, 13, 0.8
-#: Seeds of the benchmark that are broadcast at once; more go in blocks.
-BROADCAST_SEEDS = 1_000_000
+#: Seeds of the benchmark that are broadcast at once, of 40 bytes each whatever the length
+#: of the items; more go in blocks, and beyond so many blocks both sides are shuffled.
+BROADCAST_SEEDS, BLOCKS = 1_000_000, 16
 
 
 def tokens(text: Column) -> Column:
@@ -39,30 +40,46 @@ def _seeds(toks: Column, at: Column, masks: tuple[str, ...]) -> Column:
     return F.array(*out)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, text_hash, item_id, matched (share of equal tokens in the best window), hits; one row per pair."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS, most_blocks: int = BLOCKS) -> DataFrame:
+    """doc_id, text_hash, item_id, matched (share of equal tokens in the best window), hits; one row per pair.
+
+    A benchmark of at most broadcast_seeds * most_blocks seeds is broadcast in blocks
+    of that size; a larger one is joined by a shuffle of the seeds of both sides. The
+    items themselves join what is left once hits are grouped by alignment.
+    """
     items = benchmark.select(F.col(item_key).alias("item_id"), tokens(F.col(item_text)).alias("item")).where(F.size("item") > 0)
+    items = stable(items.select(F.xxhash64("item_id", "item").alias("own"), "item_id", "item").distinct(), "items")
     short = sorted(r[0] for r in items.select(F.size("item").alias("n")).where(F.col("n") < SPAN).distinct().collect())
     masks = (*MASKS, *("1" * n for n in short))
     seeds = items.withColumn("j", F.explode_outer(F.sequence(F.lit(0), F.size("item") - 1)))
     # A contiguous mask stands for whole items of its length only.
     whole_only = F.array(*[F.lit(len(m)) if k >= len(MASKS) else F.lit(0) for k, m in enumerate(masks)])
-    seeds = seeds.select("item_id", "item", "j", F.posexplode(_seeds(F.col("item"), F.col("j"), masks)).alias("k", "seed")).where(F.col("seed").isNotNull() & ((F.get(whole_only, "k") == 0) | (F.get(whole_only, "k") == F.size("item"))))
-    seeds = seeds.select("seed", "item_id", "item", "j", "k").distinct()
-    seeds = stable(seeds, "seeds")
-    blocks = max(1, -(-seeds.count() // BROADCAST_SEEDS))
+    seeds = seeds.select("own", F.size("item").alias("n"), "j", F.posexplode(_seeds(F.col("item"), F.col("j"), masks)).alias("k", "seed")).where(F.col("seed").isNotNull() & ((F.get(whole_only, "k") == 0) | (F.get(whole_only, "k") == F.col("n"))))
+    seeds = stable(seeds.select("seed", "own", "n", "j", "k").distinct(), "seeds")
+    blocks = max(1, -(-seeds.count() // broadcast_seeds))
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), tokens(F.col(text)).alias("toks"))
     least = min(map(len, masks))
     at = rows.withColumn("i", F.explode_outer(F.when(F.size("toks") >= least, F.sequence(F.lit(0), F.size("toks") - least)))).where("i is not null")
     at = at.withColumn("seed", F.explode_outer(_seeds(F.col("toks"), F.col("i"), masks))).where("seed is not null")
-    # Each block of seeds has a checked size; a larger benchmark takes more passes.
-    part = lambda b: seeds if blocks == 1 else seeds.where(F.pmod("seed", F.lit(blocks)) == b)
-    hits = reduce(DataFrame.unionByName, [at.join(F.broadcast(part(b)), "seed") for b in range(blocks)])
-    shift = F.col("i") - F.col("j")
-    low, high = F.greatest(F.lit(0), shift), F.least(F.size("toks"), shift + F.size("item"))
-    # Only the aligned part of a text leaves the join; hits of one alignment meet before they are verified.
-    hits = hits.select("doc_id", "text_hash", "item_id", "item", shift.alias("shift"), F.slice("toks", low + 1, high - low).alias("part"))
-    lines = hits.groupBy("doc_id", "text_hash", "item_id", "shift").agg(F.first("item").alias("item"), F.first("part").alias("part"), F.count(F.lit(1)).alias("hits"))
+    shift = (F.col("i") - F.col("j")).alias("shift")
+    # Only the aligned part of a text goes on; hits of one alignment meet before they are verified.
+    low, high = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("toks"), F.col("shift") + F.col("n"))
+    part = F.slice("toks", low + 1, high - low).alias("part")
+    alignment = ("doc_id", "text_hash", "own", "n", "shift")
+    if blocks <= most_blocks:
+        block = lambda b: seeds if blocks == 1 else seeds.where(F.pmod("seed", F.lit(blocks)) == b)
+        hits = reduce(DataFrame.unionByName, [at.join(F.broadcast(block(b)), "seed") for b in range(blocks)])
+        hits = hits.select("doc_id", "text_hash", "own", "n", "toks", shift).select(*alignment, part)
+        lines = hits.groupBy(*alignment).agg(F.first("part").alias("part"), F.count(F.lit(1)).alias("hits"))
+    else:
+        hits = at.select("doc_id", "text_hash", "i", "seed").join(seeds, "seed").select("doc_id", "text_hash", "own", "n", shift)
+        lines = hits.groupBy(*alignment).agg(F.count(F.lit(1)).alias("hits"))
+        lines = stable(lines, "alignments")
+        hit = lines.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
+        alike = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
+        texts = rows.join(hit, alike, "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.first("toks").alias("toks"))
+        lines = lines.join(texts, alike).select(*alignment, part, "hits")
+    lines = lines.join(items, "own").drop("own", "n")
     item = F.slice("item", F.greatest(F.lit(1), 1 - F.col("shift")), F.size("part"))
     same = F.transform(F.zip_with(item, "part", lambda x, y: x == y), lambda x: x.cast("int"))
     lines = lines.withColumn("same", same).withColumn("size", F.least(F.lit(WINDOW), F.size("part")))
