@@ -29,7 +29,8 @@ from sonolith.llm.common import bounded_batches
 
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET, HISTORY = 4096, 512
-WINDOWS = "conv_id long, window long, formatted string, fresh int, targets array<int>"
+WINDOWS = "conv_id string, window long, formatted string, fresh int, targets array<int>"
+DIGESTS = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
 _MARK, _ESCAPED, _WORD = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|"), re.compile(r"\w+|[^\w\s]")
 _TURN = re.compile(rf"{re.escape(START)}(.*?)\n(.*?){re.escape(END)}\n", re.S)
 
@@ -118,6 +119,7 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     """Windows in order within each conversation: formatted text, `fresh` (offset
     where new turns begin), `targets` (begin, end, begin, ... of the loss mask)."""
     bounded_batches(turns.sparkSession)
+    kind = turns.select(F.col(conv).alias("conv_id")).schema["conv_id"].dataType
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dealt = rows.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
@@ -125,13 +127,15 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
         maker = Windower(budget, history, count)
         names = ["conv_id", "window", "formatted", "fresh", "targets"]
         for batch in batches:
-            out = [w for c, r, t in zip(batch["conv_id"].astype(object), batch["role"], batch["text"], strict=True) for w in maker.add(None if pd.isna(c) else int(c), r, t)]
+            out = [w for c, r, t in zip(batch["conv_id"], batch["role"], batch["text"], strict=True) for w in maker.add(None if pd.isna(c) else c, r, t)]
             if out:
-                yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+                yield pd.DataFrame(out, columns=names)
         if last := list(maker.finish()):
-            yield pd.DataFrame(last, columns=names).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(last, columns=names)
 
-    return dealt.mapInPandas(run, WINDOWS)
+    # Ids travel as text: a column of numbers with nulls would lose digits on its way through pandas.
+    made = dealt.select(F.col("conv_id").cast("string"), "role", "text").mapInPandas(run, WINDOWS)
+    return made.withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
 def parse(formatted: str) -> list[tuple[int, int, str, str]]:
@@ -139,8 +143,13 @@ def parse(formatted: str) -> list[tuple[int, int, str, str]]:
     return [(m.start(), m.end(), unescape_role(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of each conversation, from its windows alone."""
+def read_back(formatted: DataFrame, in_order: bool = False) -> DataFrame:
+    """Digests of each conversation, from its windows alone. in_order: the rows come as
+    `windows` makes them; otherwise they are dealt by conversation and sorted."""
+    kind = formatted.schema["conv_id"].dataType
+    if not in_order:
+        parts = int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        formatted = formatted.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "window")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, None
@@ -148,8 +157,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
         row = lambda: (now[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5])
         for batch in batches:
             out = []
-            for c, text, fresh, targets in zip(batch["conv_id"].astype(object), batch["formatted"], batch["fresh"], batch["targets"], strict=True):
-                c = (None if pd.isna(c) else int(c),)
+            for c, text, fresh, targets in zip(batch["conv_id"], batch["formatted"], batch["fresh"], batch["targets"], strict=True):
+                c = (None if pd.isna(c) else c,)
                 if c != now:
                     if now is not None:
                         out.append(row())
@@ -165,11 +174,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 state[4] += len(text)
                 state[5] += 1
             if out:
-                yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+                yield pd.DataFrame(out, columns=names)
         if now is not None:
-            yield pd.DataFrame([row()], columns=names).astype({"conv_id": "Int64"})
+            yield pd.DataFrame([row()], columns=names)
 
-    return formatted.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+    made = formatted.select(F.col("conv_id").cast("string"), "window", "formatted", "fresh", "targets").mapInPandas(run, DIGESTS)
+    return made.withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
 def report(conversations: DataFrame) -> DataFrame:
@@ -177,4 +187,4 @@ def report(conversations: DataFrame) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(probe)
-    return read_back(windows(rows))
+    return read_back(windows(rows), in_order=True)
