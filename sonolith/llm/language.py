@@ -28,7 +28,8 @@ from sonolith.llm.common import bounded_batches, columns, crc_mod, fresh
 SIZES = (2, 3, 4)
 #: Training rows per language, as an expected number; the sample's only bound.
 SAMPLE = 4000
-SLOTS, PROBES = 1 << 21, 3
+#: The filter has SLOTS slots, or more where it takes that many for each n-gram that it holds.
+SLOTS, PROBES, ROOM = 1 << 21, 3, 4
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 _LETTER = np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000)
@@ -57,8 +58,8 @@ def grams(points: np.ndarray) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def _slots(codes: np.ndarray) -> list[np.ndarray]:
-    shift = np.uint64(64 - SLOTS.bit_length() + 1)
+def _slots(codes: np.ndarray, slots: int) -> list[np.ndarray]:
+    shift = np.uint64(64 - slots.bit_length() + 1)
     spread = codes ^ (codes >> np.uint64(29))
     return [(spread * np.uint64(m)) >> shift for m in MIX[:PROBES]]
 
@@ -66,21 +67,26 @@ def _slots(codes: np.ndarray) -> list[np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    slots: np.ndarray  # uint64 masks
+    slots: np.ndarray  # uint64 masks, (slots, one for each 64 languages)
     false_rate: np.ndarray
 
+    def masks(self, codes: np.ndarray) -> np.ndarray:
+        """For each n-gram, the languages that hold it as bits: one probe answers for all."""
+        mask = None
+        for at in _slots(codes, len(self.slots)):
+            mask = self.slots[at] if mask is None else mask & self.slots[at]
+        return mask
+
     def scores(self, codes: np.ndarray) -> np.ndarray:
         """Share of the n-grams that each language holds, without the expected false positives."""
         if not len(codes):
             return np.zeros(len(self.languages))
-        mask = None
-        for at in _slots(codes):
-            mask = self.slots[at] if mask is None else mask & self.slots[at]
+        mask = self.masks(codes)
         if len(self.languages) <= 8:
-            sets = np.bincount(mask.astype(np.int64), minlength=256)
+            sets = np.bincount(mask[:, 0].astype(np.int64), minlength=256)
             hits = np.array([sets[(np.arange(len(sets)) >> k) & 1 == 1].sum() for k in range(len(self.languages))], float)
         else:
-            hits = np.array([((mask >> np.uint64(k)) & np.uint64(1)).sum() for k in range(len(self.languages))], float)
+            hits = np.array([(mask[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)).sum() for k in range(len(self.languages))], float)
         return np.clip((hits / len(codes) - self.false_rate) / (1 - self.false_rate), 0, 1)
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
@@ -96,17 +102,18 @@ class Model:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, least_share: float = 0.25, least_count: int = 3) -> Model:
-    """A model of at most 64 languages, learned from about `sample` rows of each.
+    """A model of all languages of the labels, learned from about `sample` rows of each.
 
     Rows are taken by a hash of their id, so the sample does not depend on order.
-    What reaches the driver is bounded by the sample, not by the corpus.
+    What reaches the driver, and the model's size, is bounded by the sample and the
+    number of languages, not by the corpus.
     """
     bounded_batches(labelled.sparkSession)
     usable = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.zeros(SLOTS, np.uint64), np.zeros(0))
+        return Model([], np.zeros((SLOTS, 1), np.uint64), np.zeros(0))
     rate = F.coalesce(*[F.when(F.col("lang") == name, F.lit(min(1.0, sample / sizes[name]))) for name in languages], F.lit(0.0))
     taken = usable.where(F.pmod(F.xxhash64(F.col("key"), F.lit(17)), F.lit(1 << 20)) < rate * (1 << 20))
 
@@ -124,16 +131,17 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     totals = pdf.groupby("bit")["n"].sum()
     pdf["rate"] = pdf["n"] / pdf["bit"].map(totals)
     pdf = pdf[pdf["rate"] >= least_share * pdf.groupby("code")["rate"].transform("max")]
-    slots = np.zeros(SLOTS, np.uint64)
-    for at in _slots(pdf["code"].to_numpy(np.int64).view(np.uint64)):
-        np.bitwise_or.at(slots, at, np.uint64(1) << pdf["bit"].to_numpy(np.uint64))
-    fill = np.array([((slots >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(languages))])
+    size = max(SLOTS, 1 << (ROOM * pdf["code"].nunique()).bit_length())
+    slots = np.zeros((size, -(-len(languages) // 64)), np.uint64)
+    bit = pdf["bit"].to_numpy(np.uint64)
+    for at in _slots(pdf["code"].to_numpy(np.int64).view(np.uint64), size):
+        np.bitwise_or.at(slots, (at, (bit // np.uint64(64)).astype(np.int64)), np.uint64(1) << bit % np.uint64(64))
+    fill = np.array([(slots[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)).mean() for k in range(len(languages))])
     return Model(languages, slots, fill**PROBES)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and coverage, in place of columns of these names.
-    The model's size is fixed by SLOTS."""
+    """docs with lang_pred, score and coverage, in place of columns of these names."""
     found = fresh(docs, "__found")
     new = ("lang_pred", "score", "coverage")
     out = _with_found(docs, model, text, found)
