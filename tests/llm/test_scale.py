@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from sonolith.llm import chat, decontaminate, jaccard, secrets
+from sonolith.llm import chat, decontaminate, html, jaccard, language, markov, secrets
 from tests.llm.test_operators import base_spans, docs_of, prose
 
 
@@ -102,3 +102,128 @@ def test_components_say_when_they_are_not_settled(spark):
     assert {r["root"] for r in jaccard.components(path).collect()} == {0}
     with pytest.raises(RuntimeError):
         jaccard.components(path, rounds=1)
+
+
+# Pages: the ratios computed plainly over generated trees
+
+
+def _tree(rng, depth=0):
+    """(tag, attributes, children); children are trees, or strings and ("a", string) in leaves."""
+    if depth > 3 or rng.random() < 0.3:
+        tag = rng.choice(["p", "li", "h2", "td", "div", "pre"])
+        said = lambda: prose(rng, rng.choice((1, 3, 12, 60))) + rng.choice(("", ".", ", so; yes!"))
+        return tag, rng.choice(("", "", "", "share-holder-report")), [rng.choice((said(), ("a", said()))) for _ in range(rng.randrange(1, 4))]
+    return rng.choice(["div", "section", "ul", "blockquote", "nav", "aside"]), rng.choice(("", "", "", "cookie-bar", "ad")), [_tree(rng, depth + 1) for _ in range(rng.randrange(1, 5))]
+
+
+def _markup(tree):
+    tag, name, children = tree
+    inner = "".join(_markup(c) if isinstance(c, tuple) and len(c) == 3 else f"<a href='#'>{c[1]}</a>" if isinstance(c, tuple) else c for c in children)
+    return f"<{tag}{f' class={name!r}' if name else ''}>{inner}</{tag}>"
+
+
+def _leaves(tree, path=(), skipped=False, inside=False, doubtful=False):
+    tag, name, children = tree
+    path, inside = (*path, tag), inside or tag == "article"
+    skipped = skipped or tag in ("nav", "aside") or name in ("cookie-bar", "ad")
+    if name == "share-holder-report":
+        path, doubtful = (*path, "?"), True
+    if isinstance(children[0], tuple) and len(children[0]) == 3:
+        return [x for c in children for x in _leaves(c, path, skipped, inside, doubtful)]
+    text = "".join(c if isinstance(c, str) else c[1] for c in children).strip()
+    linked = all(isinstance(c, tuple) for c in children)
+    heading = tag == "h2"
+    return [] if skipped else [((*path, "a") if linked else path, text, inside, linked, doubtful, heading)]
+
+
+def _plain(tree):
+    leaves = _leaves(tree)
+    if not leaves:
+        return ""
+    order = list(dict.fromkeys(x[0] for x in leaves))
+    texts = [[x[1] for x in leaves if x[0] == p] for p in order]
+    long = [sum(map(len, t)) / len(t) for t in texts]
+    dots = [sum(len(re.findall(r"[^\w\s]", x)) for x in t) / len(t) + 1e-9 for t in texts]
+    near = lambda v, k: v[k] if len(v) == 1 else 0.8 * v[k] + 0.1 * (v[max(k - 1, 0)] + v[min(k + 1, len(v) - 1)])
+    fused = [(near(long, k) * near(dots, k)) ** 0.5 for k in range(len(order))]
+    spread = float(np.std(fused))
+    high = lambda p, f: fused[order.index(p)] >= min(f * spread, max(fused)) - 1e-9
+    marked = any(x[2] for x in leaves)
+    kept = [x[2] and (high(x[0], 0.5) if x[4] else not x[3] or high(x[0], 0.1)) if marked else high(x[0], 0.5) for x in leaves]
+    for k in range(len(leaves) - 2, -1, -1):
+        kept[k] = kept[k] or leaves[k][5] and (leaves[k][2] or not marked) and kept[k + 1]
+    return "\n".join(x[1] for x, ok in zip(leaves, kept, strict=True) if ok)
+
+
+@pytest.mark.parametrize("marked", [False, True])
+def test_pages_match_plain_ratios(marked):
+    rng, dropped = random.Random(marked), 0
+    for _ in range(300):
+        body = ("body", "", [_tree(rng) for _ in range(3)] + [("article", "", [_tree(rng, 1) for _ in range(4)])] * marked)
+        want = _plain(body)
+        assert html.extract(_markup(body)) == want
+        dropped += len(want.split("\n")) < len([x for x in _leaves(body) if x[2] or not marked])
+    assert dropped > 10
+
+
+def test_deep_and_broken_pages():
+    deep = html.extract("<div>x, y. " * 30_000)
+    assert deep.count("\n") == 29_999
+    assert html.extract('<article><p title="a>Hello there, friend.</p><p>Second, one.</p></article>') == "Hello there, friend.\nSecond, one."
+    assert html.extract("<article><p>One, two.</p><svg/><p>Three, four.</p><template><iframe src=x><p>Five, six.</p></article>") == "One, two.\nThree, four.\nFive, six."
+    report = "<article><p>One, two; three.</p><div class='share-holder-report'><p>Those who hold shares, all of them, agreed.</p></div><div class='share-buttons'><p>Tell others, now.</p></div></article>"
+    assert html.extract(report) == "One, two; three.\nThose who hold shares, all of them, agreed."
+
+
+# Languages and the word model without caps
+
+
+def test_more_than_64_languages(spark):
+    rng = random.Random(12)
+    syllables = {f"l{k:02d}": ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=2)) + rng.choice("aeiou") for _ in range(4)] for k in range(70)}
+    rows = [(i, " ".join("".join(rng.choices(s, k=3)) for _ in range(30)), lang, "s", 1) for i, (lang, s) in enumerate(list(syllables.items()) * 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = language.train(df)
+    assert len(model.languages) == 70 and model.slots.shape[1] == 2
+    assert sum(model.predict(r[1])[0] == r[2] for r in rows) / len(rows) > 0.98
+
+
+def test_scores_match_exact_sets(spark):
+    """The filter's shares against sets of n-grams, kept by the same rule."""
+    rng = random.Random(15)
+    syllables = {"aa": "tor vek lun mir".split(), "bb": "tor pel shi mio".split(), "cc": "gru dax wyn lun".split()}
+    rows = [(i, " ".join("".join(rng.choices(s, k=rng.randint(1, 3))) for _ in range(rng.randint(1, 40))), lang, "s", 1) for i, (lang, s) in enumerate(list(syllables.items()) * 30)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    counts = {lang: {} for lang in syllables}
+    for _, text, lang, _, _ in rows:
+        for g in language.grams(language.letters(text)).tolist():
+            counts[lang][g] = counts[lang].get(g, 0) + 1
+    counts = {lang: {g: n for g, n in c.items() if n >= 3} for lang, c in counts.items()}
+    rates = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    sets = {lang: {g for g, r in c.items() if r >= 0.25 * max(x.get(g, 0) for x in rates.values())} for lang, c in rates.items()}
+    for text in [r[1] for r in rows[:40]] + ["tor", "xyz qq", "Vek-LUN 3 mio"]:
+        own = language.grams(language.letters(text))
+        exact = [sum(g in sets[lang] for g in own.tolist()) / len(own) for lang in model.languages]
+        assert model.scores(own) == pytest.approx(exact, abs=1e-3)
+        if sum(exact):
+            lang, score, coverage = model.predict(text)
+            assert (lang, score, coverage) == (model.languages[int(np.argmax(exact))], pytest.approx(max(exact) / sum(exact), abs=1e-3), pytest.approx(max(exact), abs=1e-3))
+
+
+def test_stretches_of_a_long_text_are_exact(spark, monkeypatch):
+    rng = random.Random(9)
+    model, _ = markov.fit(docs_of(spark, [prose(rng, n) for n in (5, 70, 200)] * 4))
+    ids = [model.symbols(markov.words(prose(rng, n)))[0] for n in (1000, 130, 64)]
+    whole = [(markov.forward(model, markov.Blocks([x]))[0], markov.expected(model, markov.Blocks([x]))) for x in ids]
+    monkeypatch.setattr(markov, "TOKENS_AT_ONCE", 100)
+    for x, (likely, sums) in zip(ids, whole, strict=True):
+        assert markov.likelihood(model, [x]) == pytest.approx(likely)
+        assert markov.counts_of(model, [x]) == pytest.approx(sums)
+    parts = list(markov._gathered(iter(ids + ids[1:]), len))
+    assert [len(p) for p in parts] == [1, 1, 1, 1, 1] and sum(map(len, parts)) == 5
+
+
+def test_ties_leave_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(markov, "FREQUENT", 64)
+    model, rest = markov.fit(docs_of(spark, [" ".join(f"w{k}" for k in range(1000))]))
+    assert 30 < len(model.index) < 110 and len(model.index) + rest.count() == 1000
