@@ -1,7 +1,14 @@
-"""Bitwise operators and physical representation of integers and floats."""
+"""Bitwise operators and physical representation of integers and floats.
+
+The bits of 128-bit integers are BINARY(16), big endian, since DECIMAL(38, 0) does not
+hold them all: `to_bits` gives them, `from_bits` takes them back where the value has 38
+digits at most and fails otherwise, and `binary_op` works on them.
+"""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -86,9 +93,35 @@ def binary_op(name: str):
     return F.pandas_udf(run, "binary")
 
 
+def _wide_bits(t: Num):
+    """DECIMAL(38, 0) to the 16 bytes of its two's complement, as an Arrow UDF."""
+
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else (int(v) & (1 << 128) - 1).to_bytes(16, "big") for v in x], dtype=object)
+
+    return F.pandas_udf(run, "binary")
+
+
+def _wide_value(t: Num):
+    """The DECIMAL(38, 0) of 16 bytes, as an Arrow UDF."""
+
+    def run(b: pd.Series) -> pd.Series:
+        out = []
+        for v in b:
+            n = None if v is None else int.from_bytes(bytes(v), "big", signed=t.kind == "i")
+            if n is not None and abs(n) >= 10**38:
+                raise OverflowError("a 128-bit value has more than 38 digits")
+            out.append(None if n is None else Decimal(n))
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "decimal(38,0)")
+
+
 def to_bits(x: Column, t) -> Column:
     """The unsigned bit view. NaN gives the canonical NaN of the JVM's raw view."""
     t = num(t)
+    if t.bits == 128:
+        return _wide_bits(t)(x.cast("decimal(38,0)"))
     if t.name == "f64":
         return _back(F.reflect(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), x).cast("bigint"), num("u64"))
     if t.name == "f32":
@@ -98,6 +131,8 @@ def to_bits(x: Column, t) -> Column:
 
 def from_bits(b: Column, t) -> Column:
     t = num(t)
+    if t.bits == 128:
+        return _wide_value(t)(b)
     if t.name == "f64":
         return F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), _as_signed(b, num("u64"))).cast("double")
     if t.name == "f32":
@@ -116,6 +151,8 @@ def bulk_bits(t="f64"):
 
 
 def _hex(x: Column, t: Num) -> Column:
+    if t.bits == 128:
+        return F.hex(to_bits(x, t))
     signed = _as_signed(to_bits(x, t), t.unsigned)
     return F.substring(F.lpad(F.hex(signed), 16, "0"), 17 - 2 * t.bytes, 2 * t.bytes)
 
@@ -134,6 +171,8 @@ def to_le_bytes(x: Column, t) -> Column:
 
 def from_be_bytes(b: Column, t) -> Column:
     t = num(t)
+    if t.bits == 128:
+        return from_bits(b, t)
     return from_bits(F.conv(F.hex(b), 16, 10).cast("decimal(20,0)" if t.bits == 64 else "bigint").cast(t.unsigned.spark), t)
 
 

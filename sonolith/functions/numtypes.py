@@ -7,6 +7,7 @@ DECIMAL(20,0); 128-bit ones in DECIMAL(38,0), which holds values of up to 38 dig
 from __future__ import annotations
 
 import math
+import struct
 import sys
 from dataclasses import dataclass
 from functools import cached_property
@@ -90,7 +91,22 @@ class FloatConstants:
     def exponent_mask(self) -> int:
         return ((1 << self.exponent_bits) - 1) << self.significand_bits
 
-    pi, e, tau = math.pi, math.e, 2 * math.pi
+    def _narrowed(self, x: float) -> float:
+        return struct.unpack("<f", struct.pack("<f", x))[0] if self.significand_bits == 23 else x
+
+    @property
+    def pi(self) -> float:
+        return self._narrowed(math.pi)
+
+    @property
+    def e(self) -> float:
+        return self._narrowed(math.e)
+
+    @property
+    def tau(self) -> float:
+        """Twice the type's own pi."""
+        return 2 * self.pi
+
     nan, infinity, neg_infinity = math.nan, math.inf, -math.inf
 
 

@@ -323,5 +323,6 @@ def fract(x: Column, t="f64") -> Column:
 
 
 def constant(name: str, t="f64") -> Column:
-    """A named constant of a float type (see FloatConstants)."""
-    return F.lit(getattr(CONSTANTS[num(t).name], name))
+    """A named constant of a float type (see FloatConstants): its floats in that type, its counts as integers."""
+    value = getattr(CONSTANTS[num(t).name], name)
+    return F.lit(value).cast(num(t).spark) if isinstance(value, float) else F.lit(value)

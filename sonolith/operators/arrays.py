@@ -131,7 +131,8 @@ def negate(a: Column) -> Column:
 
 
 def convolve(a: Column, b: Column, mode: str = "full") -> Column:
-    """Linear convolution: full (n + m - 1), causal (first n) or same (centred n)."""
+    """Linear convolution: full (n + m - 1), causal (first n) or same (centred n). Costs
+    n * m steps a row: for short vectors; `rows.convolve` takes long signals."""
     n, m = F.size(a), F.size(b)
     at = lambda k: F.aggregate(F.sequence(F.greatest(F.lit(0), k - m + 1), F.least(k, n - 1)), F.lit(0.0), lambda acc, i: acc + F.get(a, i).cast("double") * F.get(b, k - i).cast("double"))
     full = F.when((n > 0) & (m > 0), F.transform(F.sequence(F.lit(0), n + m - 2), at)).otherwise(F.array().cast("array<double>"))
@@ -160,6 +161,7 @@ def diff(a: Column) -> Column:
 
 
 def running_sum(a: Column) -> Column:
+    """Sums so far. Copies the array for each sample: for short vectors; `rows.running_sum` takes long signals."""
     start = F.array().cast("array<double>")
     return F.aggregate(a, start, lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) > 0, F.get(acc, F.size(acc) - 1)).otherwise(0.0) + x.cast("double"))))
 

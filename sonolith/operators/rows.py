@@ -32,14 +32,15 @@ def to_arrays(rows: DataFrame) -> DataFrame:
 
 
 def reductions(rows: DataFrame) -> DataFrame:
-    """min, max, argmin, argmax, mean, norms and length of each signal, in one aggregation."""
+    """min, max, argmin, argmax, mean, norms and length of each signal, in one
+    aggregation. NaN is above all numbers; ties go to the lowest index."""
     x = F.col("sample").cast("double")
     return rows.groupBy("signal_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("sample").alias("min"),
         F.max("sample").alias("max"),
         F.min_by("idx", F.when(F.col("sample").isNotNull(), F.struct("sample", "idx"))).alias("argmin"),
-        F.min_by("idx", F.when(F.col("sample").isNotNull(), F.struct(-F.col("sample"), F.col("idx")))).alias("argmax"),
+        F.max_by("idx", F.when(F.col("sample").isNotNull(), F.struct(F.col("sample"), -F.col("idx")))).alias("argmax"),
         F.avg(x).alias("mean"),
         F.sqrt(F.sum(x * x)).alias("norm_l2"),
         F.sum(F.abs(x)).alias("norm_l1"),
@@ -58,7 +59,17 @@ def inner(a: DataFrame, b: DataFrame) -> DataFrame:
     return pointwise(a, b, lambda x, y: x * y).groupBy("signal_id").agg(F.sum("sample").alias("inner"))
 
 
-def broadcast_join(a: DataFrame, b: DataFrame, policy: str, fill: float = 0.0) -> DataFrame:
+def _latched(rows: DataFrame, names: tuple[str, ...], chunk: int) -> DataFrame:
+    """Missing samples hold the one before: within a chunk, or the last of earlier chunks."""
+    held = rows.withColumn("chunk", F.floor(F.col("idx") / chunk))
+    ends = held.groupBy("signal_id", "chunk").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("idx"))).alias(c) for c in names])
+    earlier = Window.partitionBy("signal_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select("signal_id", "chunk", *[F.last(c, ignorenulls=True).over(earlier).alias(f"{c}_start") for c in names])
+    by = Window.partitionBy("signal_id", "chunk").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    return held.join(starts, ["signal_id", "chunk"]).select("signal_id", "idx", *[F.coalesce(F.last(c, ignorenulls=True).over(by), f"{c}_start").alias(c) for c in names])
+
+
+def broadcast_join(a: DataFrame, b: DataFrame, policy: str, fill: float = 0.0, chunk: int = CHUNK) -> DataFrame:
     """signal_id, idx, a, b at the longer length, by zeropad, fill, latch or tile."""
     a, b = (x.select("signal_id", "idx", F.col("sample").alias(n)) for x, n in ((a, "a"), (b, "b")))
     if policy == "tile":
@@ -70,19 +81,19 @@ def broadcast_join(a: DataFrame, b: DataFrame, policy: str, fill: float = 0.0) -
         return both.select("signal_id", "idx", "a", "b")
     joined = a.join(b, ["signal_id", "idx"], "full")
     if policy == "latch":
-        held = Window.partitionBy("signal_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-        return joined.select("signal_id", "idx", *[F.last(c, ignorenulls=True).over(held).alias(c) for c in ("a", "b")])
+        return _latched(joined, ("a", "b"), chunk)
     value = F.lit(0.0 if policy == "zeropad" else fill)
     return joined.select("signal_id", "idx", F.coalesce("a", value).alias("a"), F.coalesce("b", value).alias("b"))
 
 
 def haloed(rows: DataFrame, before: int, after: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """rows dealt to chunks of a signal, each with its neighbours' nearest samples
-    (own = false). Windows by (signal_id, chunk) then see what they need."""
+    """rows dealt to chunks of a signal, each with the samples `before` and `after` it
+    (own = false), from as many chunks as these reach into. Windows by (signal_id,
+    chunk) then see what they need; a chunk shorter than its edges is repeated often."""
     at = F.floor(F.col("idx") / chunk)
-    inside = F.col("idx") % chunk
-    places = F.array_compact(F.array(at, F.when(inside >= chunk - before, at + 1), F.when((inside < after) & (at > 0), at - 1)))
-    return rows.withColumn("chunk", F.explode(places)).withColumn("own", F.col("chunk") == at)
+    last = at if not before else F.floor((F.col("idx") + before) / chunk)
+    first = at if not after else F.greatest(F.lit(0), F.floor((F.col("idx") - after) / chunk))
+    return rows.withColumn("chunk", F.explode(F.sequence(first, last))).withColumn("own", F.col("chunk") == at)
 
 
 def fir(rows: DataFrame, taps: list[float], chunk: int = CHUNK) -> DataFrame:
@@ -140,12 +151,16 @@ def upsample(rows: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
     return steps.select("signal_id", (F.col("idx") * k + F.col("j")).alias("idx"), (F.col("sample") + (F.col("next") - F.col("sample")) * (F.col("j") / k)).alias("sample"))
 
 
-def resample(rows: DataFrame, factor: float) -> DataFrame:
-    """floor(n * factor) samples by linear interpolation, as joins on both neighbours."""
-    sizes = rows.groupBy("signal_id").agg(F.max("idx").alias("last"))
-    grid = sizes.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") + 1) * factor) - 1))).where(F.floor((F.col("last") + 1) * factor) > 0)
-    grid = grid.withColumn("low", F.floor(F.col("idx") / factor)).withColumn("part", F.col("idx") / factor - F.col("low"))
-    left = rows.select("signal_id", F.col("idx").alias("low"), F.col("sample").alias("l"))
-    right = rows.select("signal_id", (F.col("idx") - 1).alias("low"), F.col("sample").alias("r"))
-    got = grid.join(left, ["signal_id", "low"]).join(right, ["signal_id", "low"], "left")
-    return got.select("signal_id", "idx", (F.col("l") + (F.coalesce("r", "l") - F.col("l")) * F.col("part")).alias("sample"))
+def resample(rows: DataFrame, factor: float, chunk: int = CHUNK) -> DataFrame:
+    """floor(n * factor) samples by linear interpolation; each sample gives those up to
+    its next neighbour, so no row and no task holds a signal."""
+    ends = rows.groupBy("signal_id").agg(F.max("idx").alias("last"))
+    ends = ends.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / chunk))))
+    by = Window.partitionBy("signal_id", "chunk").orderBy("idx")
+    ahead = haloed(rows, 0, 1, chunk).withColumn("next", F.coalesce(F.lead("sample", 1).over(by), F.col("sample"))).where("own")
+    low = F.col("idx")
+    # Rounding may move a place by one: a candidate belongs to the sample that its own place names.
+    around = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor(low * factor) - 1), F.ceil((low + 1) * factor) + 1)
+    each = ahead.join(ends, ["signal_id", "chunk"]).withColumn("at", F.explode(around))
+    each = each.where((F.floor(F.col("at") / factor) == low) & (F.col("at") < F.floor((F.col("last") + 1) * factor)))
+    return each.select("signal_id", F.col("at").alias("idx"), (F.col("sample") + (F.col("next") - F.col("sample")) * (F.col("at") / factor - low)).alias("sample"))

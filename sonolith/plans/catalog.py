@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -454,3 +455,135 @@ def cast_wide(spark, d):
     k, x = c("c_custkey"), c("c_acctbal")
     found = {"u64": checked_cast(k, "i64", "u64"), "i128": checked_cast(-k, "i64", "i128"), "negative": checked_cast(-k - 1, "i64", "u128"), "float_u64": checked_cast(x, "f64", "u64"), "float_i128": checked_cast(x, "f64", "i128")}
     return table(spark, d, "customer").select(k, *[v.cast("string").alias(n) for n, v in found.items()])
+
+
+# Whole arrays: every element of the array forms, as rows
+
+
+def _elements(df: DataFrame, keys: tuple[str, ...], **arrays) -> DataFrame:
+    """A row for each place of the arrays (null beyond an array's end)."""
+    held = df.select(*keys, *[a.alias(n) for n, a in arrays.items()])
+    each = held.select(*keys, F.posexplode(F.arrays_zip(*arrays)).alias("idx", "at"))
+    return each.select(*keys, c("idx").cast("bigint").alias("idx"), *[c(f"at.{n}").alias(n) for n in arrays])
+
+
+def _places(n: int) -> str:
+    return f"{VECTORS} v, range({n}) t(i)"
+
+
+@query(f"SELECT signal_id, i::BIGINT AS idx, a[i + 1] + b[i + 1] AS added, a[i + 1] - b[i + 1] AS taken, a[i + 1] * b[i + 1] AS product, a[i + 1] / b[i + 1] AS quotient FROM {_places(64)}")
+def sig_pointwise_all(spark, d):
+    a, b = c("a"), c("b")
+    return _elements(_vectors(spark, d), ("signal_id",), added=A.sig_add(a, b), taken=A.sig_sub(a, b), product=A.sig_mul(a, b), quotient=A.sig_div(a, b))
+
+
+@query(f"SELECT signal_id, i::BIGINT AS idx, a[i + 1] + 2.0::DOUBLE AS added, a[i + 1] - 2.0::DOUBLE AS taken, a[i + 1] * 2.0::DOUBLE AS product, a[i + 1] / 4.0::DOUBLE AS quotient, -a[i + 1] AS negated FROM {_places(64)}")
+def sig_scalar_all(spark, d):
+    a = c("a")
+    found = {n: A.scale(a, F.lit(s), o) for n, o, s in (("added", "add", 2.0), ("taken", "sub", 2.0), ("product", "mul", 2.0), ("quotient", "div", 4.0))}
+    return _elements(_vectors(spark, d), ("signal_id",), **found, negated=A.negate(a))
+
+
+@query(f"SELECT signal_id, i::BIGINT AS idx, round(list_inner_product(a, b) / list_inner_product(b, b) * b[i + 1], 9) + 0.0 AS projected FROM {_places(64)}")
+def sig_project_all(spark, d):
+    return _elements(_vectors(spark, d), ("signal_id",), projected=A.project(c("a"), c("b"))).withColumn("projected", F.round("projected", 9) + 0.0)
+
+
+@query(f"SELECT signal_id, i::BIGINT AS idx, CASE WHEN i < 4 THEN a[i + 3] END AS viewed, CASE WHEN i < 64 THEN a[i + 1] ELSE 9.0::DOUBLE END AS resized, CASE WHEN i < 64 THEN a[i + 1] WHEN i = 64 THEN 1.0::DOUBLE END AS appended FROM {_places(70)}")
+def sig_build_all(spark, d):
+    a = c("a")
+    return _elements(_vectors(spark, d), ("signal_id",), viewed=A.view(a, 2, 4), resized=A.resize(a, 70, F.lit(9.0)), appended=A.append(a, F.lit(1.0)))
+
+
+@query(f"""SELECT signal_id, i::BIGINT AS idx, CASE WHEN i < 63 THEN a[i + 2] - a[i + 1] END AS step, CASE WHEN i < 64 THEN round(list_sum(a[1:i + 1]), 9) + 0.0 END AS total,
+CASE WHEN i < 65 THEN round(0.5::DOUBLE * coalesce(a[i + 1], 0) + 0.25::DOUBLE * coalesce(CASE WHEN i > 0 THEN a[i] END, 0), 9) + 0.0 END AS filtered,
+round(CASE WHEN i % 2 = 0 THEN a[i // 2 + 1] ELSE (a[i // 2 + 1] + coalesce(a[i // 2 + 2], a[i // 2 + 1])) / 2 END, 9) + 0.0 AS finer FROM {_places(128)}""")
+def sig_transforms_all(spark, d):
+    a = c("a")
+    got = _elements(_vectors(spark, d), ("signal_id",), step=A.diff(a), total=A.running_sum(a), filtered=A.convolve(a, F.array(F.lit(0.5), F.lit(0.25))), finer=A.resample(a, 2.0))
+    return got.select("signal_id", "idx", "step", *[(F.round(n, 9) + 0.0).alias(n) for n in ("total", "filtered", "finer")])
+
+
+@query("SELECT vec_id AS signal_id, r::INTEGER AS r, k::INTEGER AS k, embedding[r * 8 + k + 1]::DOUBLE AS item FROM embeddings, range(8) x(r), range(8) y(k)")
+def nd_index_all(spark, d):
+    """Every element of an 8 x 8 array in flat storage."""
+    side = F.sequence(F.lit(0), F.lit(7))
+    held = embedding_signals(spark, d).withColumn("r", F.explode(side)).withColumn("k", F.explode(side))
+    return held.select("signal_id", "r", "k", A.strided(c("samples"), [c("r"), c("k")], [F.lit(8), F.lit(1)]).alias("item"))
+
+
+@query("SELECT count(*)::BIGINT AS n, count(DISTINCT embedding)::BIGINT AS n_distinct, count(*) FILTER (embedding = list_reverse(embedding))::BIGINT AS n_even FROM embeddings")
+def sig_equality(spark, d):
+    """Signals are equal, and have one digest, when all their samples are."""
+    return _vectors(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(A.digest(c("a"))).alias("n_distinct"), F.count_if(c("a") == c("b")).alias("n_even"))
+
+
+@query(f"SELECT signal_id, idx::BIGINT AS idx, round(sum(sample) OVER (PARTITION BY signal_id ORDER BY idx ROWS 99 PRECEDING) * 0.01::DOUBLE, 6) + 0.0 AS sample FROM {EVENTS}")
+def sig_convolve_long(spark, d):
+    """More taps than a chunk has samples."""
+    return R.fir(event_signals(spark, d), [0.01] * 100, chunk=32).select("signal_id", "idx", (F.round("sample", 6) + 0.0).alias("sample"))
+
+
+@query(f"""WITH e AS (SELECT signal_id, idx, CASE WHEN idx % 7 = 3 THEN 'nan'::DOUBLE ELSE sample END AS sample FROM {EVENTS})
+SELECT signal_id, isnan(max(sample)) AS is_nan, CASE WHEN isnan(max(sample)) THEN min(idx) FILTER (isnan(sample)) ELSE arg_min(idx, (-sample, idx)) END::BIGINT AS argmax, arg_min(idx, (sample, idx)) FILTER (NOT isnan(sample))::BIGINT AS argmin FROM e GROUP BY signal_id""")
+def reduce_nan(spark, d):
+    """NaN is above all numbers."""
+    holed = event_signals(spark, d).withColumn("sample", F.when(c("idx") % 7 == 3, F.lit(float("nan"))).otherwise(c("sample")))
+    return R.reductions(holed).select("signal_id", F.isnan("max").alias("is_nan"), "argmax", "argmin")
+
+
+@query(f"""WITH e AS {EVENTS}, g AS (SELECT signal_id, unnest(range(floor(n * 0.4::DOUBLE)::BIGINT)) AS idx FROM (SELECT signal_id, count(*) AS n FROM e GROUP BY signal_id))
+SELECT g.signal_id, g.idx::BIGINT AS idx, round(l.sample + (coalesce(r.sample, l.sample) - l.sample) * (g.idx / 0.4::DOUBLE - floor(g.idx / 0.4::DOUBLE)), 6) + 0.0 AS sample
+FROM g JOIN e l ON l.signal_id = g.signal_id AND l.idx = floor(g.idx / 0.4::DOUBLE) LEFT JOIN e r ON r.signal_id = g.signal_id AND r.idx = floor(g.idx / 0.4::DOUBLE) + 1""")
+def sig_resample_down(spark, d):
+    return R.resample(event_signals(spark, d), 0.4, chunk=32).select("signal_id", "idx", (F.round("sample", 6) + 0.0).alias("sample"))
+
+
+@query(f"SELECT signal_id, (idx // 2)::BIGINT AS idx, sample + sample * 3.0::DOUBLE AS sample, 50.0::DOUBLE AS rate FROM {EVENTS} WHERE idx % 2 = 0")
+def rate_pipelines(spark, d):
+    """Two chains of one rate, added; their rate is known before they run."""
+    events = event_signals(spark, d)
+    half = D.Pipeline(Fraction(100)).decimate(2)
+    loud = D.Pipeline(Fraction(100)).then("gain", lambda x: D.gain(x, 3.0)).decimate(2)
+    return D.mixed((half, events), (loud, events)).withColumn("rate", F.lit(float(loud.rate)))
+
+
+@query("SELECT c_custkey, TRUE AS is_nan, c_acctbal < 'inf'::DOUBLE AS below, c_acctbal > '-inf'::DOUBLE AS above, TRUE AS tau_is_twice_pi, 3.1415927410125732::DOUBLE AS narrow_pi, 6::INTEGER AS digits FROM customer")
+def float_specials(spark, d):
+    x = c("c_acctbal")
+    twice = S.constant("tau", "f32") == S.constant("pi", "f32") * F.lit(2.0).cast("float")
+    return table(spark, d, "customer").select("c_custkey", F.isnan(S.constant("nan")).alias("is_nan"), (x < S.constant("infinity")).alias("below"), (x > S.constant("neg_infinity")).alias("above"), twice.alias("tau_is_twice_pi"), S.constant("pi", "f32").cast("double").alias("narrow_pi"), S.constant("digits", "f32").alias("digits"))
+
+
+@query("SELECT c_custkey, lpad(printf('%X', c_custkey), 32, '0') AS u128, repeat('F', 24) || lpad(printf('%X', 4294967296 - c_custkey), 8, '0') AS i128, (-c_custkey)::VARCHAR AS again FROM customer WHERE c_custkey > 0")
+def bytes_wide(spark, d):
+    """128-bit integers as bytes, and back."""
+    k = c("c_custkey")
+    held = B.to_be_bytes(-k, "i128")
+    again = B.from_le_bytes(B.to_le_bytes(-k, "i128"), "i128")
+    return table(spark, d, "customer").where(k > 0).select(k, F.hex(B.to_be_bytes(k, "u128")).alias("u128"), F.hex(held).alias("i128"), again.cast("string").alias("again"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '3FF0000000000000' WHEN 1 THEN 'C000000000000000' WHEN 2 THEN '3FE0000000000000' ELSE '4009000000000000' END AS f64_be, CASE event_id % 4 WHEN 0 THEN '0000803F' WHEN 1 THEN '000000C0' WHEN 2 THEN '0000003F' ELSE '00004840' END AS f32_le FROM events")
+def bytes_float(spark, d):
+    """The bytes of 1, -2, 1/2 and 25/8 in their order."""
+    x = F.element_at(F.array(*map(F.lit, (1.0, -2.0, 0.5, 3.125))), (c("event_id") % 4 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", F.hex(B.to_be_bytes(x, "f64")).alias("f64_be"), F.hex(B.to_le_bytes(x.cast("float"), "f32")).alias("f32_le"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_discount + 0.5::DOUBLE AS shifted, (l_orderkey + l_linenumber::BIGINT * 2)::BIGINT AS added FROM lineitem")
+def graph_dialects(spark, d):
+    """Operations by their dialects' names, and integers without regard to the session's settings."""
+    x = G.Context()
+    half = x.value(x.build("core.const", [], [G.Float(64)], {"value": 0.5}).results[0])
+    shifted = x.call("arith.addf", x.argument("l_discount", G.Float(64)), half)
+    added = x.call("add", x.argument("l_orderkey", G.Int(64)), x.call("mul", x.argument("l_linenumber", G.Int(64)), x.constant(2, G.Int(64))))
+    columns = G.lower(G.run_passes(x, [shifted, added]))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", columns[0].alias("shifted"), columns[1].alias("added"))
+
+
+@query("SELECT * FROM (VALUES ('bool', 1::BIGINT, 'boolean'), ('i32', 4, 'int'), ('u64', 8, 'decimal(20,0)'), ('f16', 2, 'float'), ('f64', 8, 'double'), ('matrix', 48, 'array<double>'), ('pair', 12, 'struct<_0:int,_1:double>'), ('open', NULL, 'array<int>')) t(type, bytes, spark)")
+def graph_types(spark, d):
+    """The types' sizes and the Spark types that hold them."""
+    kinds = {"bool": G.Int(1), "i32": G.Int(32), "u64": G.Int(64, False), "f16": G.Float(16), "f64": G.Float(64), "matrix": G.Tensor((2, 3), G.Float(64)), "pair": G.Tuple((G.Int(32), G.Float(64))), "open": G.Tensor((None,), G.Int(32))}
+    return spark.createDataFrame([(n, t.byte_size, t.spark().simpleString()) for n, t in kinds.items()], "type string, bytes long, spark string")
