@@ -8,6 +8,12 @@ columns of `documents`:
 3. decontaminate drops documents that hold benchmark passages;
 4. secret_scan masks live secrets inside the texts;
 5. mix_sources returns the documents of the mix with their number of copies.
+
+Defined results: a document whose text is null, empty or without letters has no known
+language and goes in the first stage; null ids, sources and languages are kept as they
+are, null sources being one source; rows alike in all columns are copies, of which the
+second stage keeps one; extra columns are carried whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
