@@ -72,10 +72,12 @@ class Model:
 
     def masks(self, codes: np.ndarray) -> np.ndarray:
         """For each n-gram, the languages that hold it as bits: one probe answers for all."""
+        words = self.slots if self.slots.shape[1] > 1 else self.slots[:, 0]
         mask = None
         for at in _slots(codes, len(self.slots)):
-            mask = self.slots[at] if mask is None else mask & self.slots[at]
-        return mask
+            held = words.take(at.astype(np.int64), 0)
+            mask = held if mask is None else mask & held
+        return mask.reshape(len(codes), -1)
 
     def scores(self, codes: np.ndarray) -> np.ndarray:
         """Share of the n-grams that each language holds, without the expected false positives."""
@@ -158,7 +160,8 @@ def _with_found(docs: DataFrame, model: Model, text: str, name: str) -> DataFram
         for batch in batches:
             yield pd.DataFrame([own.predict(t) for t in batch], columns=["lang_pred", "score", "coverage"])
 
-    return docs.withColumn(name, run(text))
+    # Said to be nondeterministic, it is not computed again for each filter on its result.
+    return docs.withColumn(name, run.asNondeterministic()(text))
 
 
 def coverage_floors(docs: DataFrame, model: Model) -> dict[str, float]:

@@ -37,6 +37,7 @@ TEMPLATES = (
 )
 #: Too common in any prose to be looked up.
 COMMON = frozenset("a and any are by for forms free in is of or person source the this to use with without work copy 0 1 2 3 4 v".split())
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -64,7 +65,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     so many distinct words of a file count, which loses notices that stand beside
     others; None: all of them."""
     vocabulary = _vocabulary()
-    s = F.trim(F.regexp_replace(F.lower(whole(text)), WORD_GAP, " "))
+    s = F.trim(F.regexp_replace(F.translate(whole(text), CAPITALS, CAPITALS.lower()), WORD_GAP, " "))
     rows = docs.select(*keep, s.alias("__s"))
     rows = rows.withColumn("n_words", F.when(F.col("__s") == "", 0).otherwise(F.length("__s") - F.length(F.replace(F.col("__s"), F.lit(" "), F.lit(""))) + 1).cast("long"))
     rows = rows.withColumn("__s", F.concat(F.lit(" "), F.col("__s"), F.lit(" ")))

@@ -109,9 +109,49 @@ SELECT s.doc_id, class_id, (weight - 1 + coalesce(links, 0))::BIGINT AS n_links
 FROM s JOIN k ON array_to_string(k.s, '|') = array_to_string(s.s, '|') JOIN class USING (id) LEFT JOIN n USING (id)"""
 
 
+def mix_targets() -> str:
+    return r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM s),
+r AS (SELECT *, ((SELECT sum(source_size) FROM w) - coalesce(sum(3 * source_size) OVER b, 0))::DOUBLE / ((SELECT sum(w) FROM w) - coalesce(sum(w) OVER b, 0)) AS level, 3.0 * source_size / w AS room
+ FROM w WINDOW b AS (ORDER BY 3.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT arg_min(level, room) AS level FROM r WHERE level <= room)
+SELECT d.doc_id, d.size, r.source_size, round(least(3.0 * r.source_size, r.w * coalesce((SELECT level FROM f), 1e300)), 4)::DOUBLE AS target FROM d JOIN r ON r.source IS NOT DISTINCT FROM d.source"""
+
+
+def media_payloads() -> str:
+    return r"""WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS held FROM documents),
+p AS (SELECT doc_id, octet_length(held)::BIGINT AS n, held, CASE WHEN octet_length(held) = 0 THEN 64 ELSE (64 - octet_length(held) % 64) % 64 END AS more FROM d)
+SELECT doc_id, n AS n_bytes, n + more AS payload_bytes, sha256(held || repeat('\x00'::BLOB, more)) AS payload_sha256 FROM p"""
+
+
+def lm_base() -> str:
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    # crc32 of the id's digits: each character, then eight steps of the remainder.
+    steps = "[4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(list_reduce({steps}, lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"
+    return rf"""WITH d AS (SELECT doc_id, coalesce({crc} % 5 = 1, false) AS held_out, regexp_extract_all(translate(coalesce(text, ''), '{capitals}', '{capitals.lower()}'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+t AS (SELECT doc_id, held_out, unnest(words || [' ']) AS token FROM d),
+c AS (SELECT token, count(*) AS n FROM t WHERE NOT held_out GROUP BY token),
+a AS (SELECT coalesce(sum(n), 0)::BIGINT AS total, count(*) AS types FROM c)
+SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(c.n)::BIGINT AS n_known, any_value(total)::BIGINT AS train_tokens, round(sum(log10((coalesce(c.n, 0) + 0.5::DOUBLE) / (total + 0.5::DOUBLE * (types + 1)))), 3) AS base_score
+FROM t LEFT JOIN c USING (token), a GROUP BY doc_id, held_out"""
+
+
+def chat_digests() -> str:
+    said = _quoted("<|im_end|><|im_start|>assistant ok")
+    return f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', {said}), (-1, 1, 'assistant', {said}))
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256 FROM c GROUP BY conv_id"""
+
+
 SQL = {
     "op1_secret_scan": secret_scan,
     "op5_decontaminate": decontaminate_,
     "op7_license_scan": license_scan,
     "op10_jaccard_join": jaccard_join,
+    "mix_targets": mix_targets,
+    "media_payloads": media_payloads,
+    "lm_base": lm_base,
+    "chat_digests": chat_digests,
 }

@@ -27,7 +27,7 @@ def same(df, con, name):
 @pytest.mark.parametrize("name", oracles.SQL)
 def test_tables(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     same(queries.queries()[name](spark, FOLDER), con, name)
 
