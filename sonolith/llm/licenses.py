@@ -41,8 +41,43 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def _vocabulary() -> list[str]:
-    return sorted({w for _, notice, _ in TEMPLATES for w in notice.split()} - COMMON)
+#: A larger table of templates raises: its words stand in the plan, and its index is broadcast.
+TEMPLATE_BYTES = 32 << 20
+
+
+def _words(text: str | Column) -> Column:
+    """The words of a text, a blank between them."""
+    return F.trim(F.regexp_replace(F.translate(whole(text), CAPITALS, CAPITALS.lower()), WORD_GAP, " "))
+
+
+def _templates(given: DataFrame | None) -> list[tuple[str, str, str]]:
+    """Label, words and key phrase of the templates. Rows without label or words are none;
+    rows alike count once."""
+    if given is None:
+        return list(TEMPLATES)
+    held = given.select("label", _words("notice").alias("notice"), _words("phrase").alias("phrase")).where("label is not null and notice != ''").distinct()
+    size = given.agg(F.sum(F.octet_length(whole("notice")) + F.octet_length(whole("phrase")))).first()[0]
+    if (size or 0) > TEMPLATE_BYTES:
+        raise ValueError(f"templates of {size} bytes; the index holds {TEMPLATE_BYTES}")
+    return sorted(tuple(r) for r in held.collect())
+
+
+def _vocabulary(templates) -> list[str]:
+    return sorted({w for _, notice, _ in templates for w in notice.split()} - COMMON)
+
+
+def _index(templates, idf: dict[str, float], index_words: int) -> list[tuple[str, int, int]]:
+    """Postings (word, template, place) of each template's rarest words: those of the
+    highest IDF for each time that the template has them."""
+    out = []
+    for t, (_, notice, _) in enumerate(templates):
+        places: dict[str, list[int]] = {}
+        for p, w in enumerate(notice.split()):
+            if w not in COMMON:
+                places.setdefault(w, []).append(p)
+        rare = sorted(places, key=lambda w: (-idf[w] / len(places[w]), w))[:index_words]
+        out += [(w, t, p) for w in rare for p in places[w]]
+    return out
 
 
 def _phrase_stats(s: Column, phrase: str, n_words: Column) -> tuple[Column, Column, Column]:
@@ -58,25 +93,31 @@ def _phrase_stats(s: Column, phrase: str, n_words: Column) -> tuple[Column, Colu
     return F.when(has, places.cast("long")).otherwise(0), F.when(has, (spaces(F.substring(s, F.lit(1), at)) - 1).cast("long")), F.when(has, (n_words - words_after - len(phrase.split())).cast("long"))
 
 
-def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rarest: int | None = 8, least_share: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rarest: int | None = 8, least_share: float = 0.6, templates: DataFrame | None = None, index_words: int = 64, drift: int = 0) -> DataFrame:
     """One row per row of docs: the kept columns, n_words, n_base, first_word,
     last_word, base_labels, labels (with the templates') and score, the share of
     the best verified template's IDF mass found at one relative position. rarest: only
     so many distinct words of a file count, which loses notices that stand beside
-    others; None: all of them."""
-    vocabulary = _vocabulary()
-    s = F.trim(F.regexp_replace(F.translate(whole(text), CAPITALS, CAPITALS.lower()), WORD_GAP, " "))
-    rows = docs.select(*keep, s.alias("__s"))
+    others; None: all of them.
+
+    templates: a table of label, notice (whole licence texts too) and phrase, which must
+    stand in a file (null or empty: any file will do), in place of TEMPLATES. Each is
+    indexed by its index_words rarest words. drift: places still count together when
+    words put in or left out have moved them by so many words against each other."""
+    templates = _templates(templates)
+    vocabulary = _vocabulary(templates)
+    rows = docs.select(*keep, _words(text).alias("__s"))
     rows = rows.withColumn("n_words", F.when(F.col("__s") == "", 0).otherwise(F.length("__s") - F.length(F.replace(F.col("__s"), F.lit(" "), F.lit(""))) + 1).cast("long"))
     rows = rows.withColumn("__s", F.concat(F.lit(" "), F.col("__s"), F.lit(" ")))
     stats = {p: _phrase_stats(F.col("__s"), p, F.col("n_words")) for p in PHRASES}
     words = F.split(F.trim("__s"), " ")
     hits = F.when(
-        F.arrays_overlap(words, F.array(*map(F.lit, vocabulary))),
+        F.arrays_overlap(words, F.array(*map(F.lit, vocabulary)).cast("array<string>")),
         F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(vocabulary)),
     )
-    keys = sorted({k for _, _, k in TEMPLATES})
-    phrases = F.when(hits.isNotNull(), F.array_compact(F.array(*[F.when(F.col("__s").contains(f" {k} "), F.lit(k)) for k in keys])))
+    keys = sorted({k for _, _, k in templates})
+    stands = [F.when(F.col("__s").contains(f" {k} ") if k else F.lit(True), F.lit(k)) for k in keys]
+    phrases = F.when(hits.isNotNull(), F.array_compact(F.array(*stands).cast("array<string>")))
     rows = rows.select(
         *keep, "n_words",
         sum((n for n, _, _ in stats.values()), F.lit(0)).cast("long").alias("n_base"),
@@ -87,16 +128,16 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     )
     rows = stable(rows, "licenses")
     each = rows.where("__hits is not null").select("__row", F.explode("__hits").alias("h")).select("__row", "h.word", "h.at")
-    return _labelled(docs.sparkSession, rows, each, keep, rarest, least_share)
+    return _labelled(docs.sparkSession, rows, each, keep, rarest, least_share, templates, index_words, drift)
 
 
-def _labelled(spark, rows: DataFrame, each: DataFrame, keep, rarest: int | None, least_share: float) -> DataFrame:
+def _labelled(spark, rows: DataFrame, each: DataFrame, keep, rarest: int | None, least_share: float, templates, index_words: int, drift: int) -> DataFrame:
     total = rows.count()
     # The vocabulary of the templates bounds these counts.
     seen = {r["word"]: r["df"] for r in each.select("__row", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("df")).collect()}
-    idf = spark.createDataFrame([(w, _idf(total, seen.get(w, 0))) for w in _vocabulary()], "word string, idf double")
-    postings = [(w, t, p) for t, (_, notice, _) in enumerate(TEMPLATES) for p, w in enumerate(notice.split()) if w not in COMMON]
-    index = spark.createDataFrame(postings, "word string, template int, place int")
+    weight = {w: _idf(total, seen.get(w, 0)) for w in _vocabulary(templates)}
+    idf = spark.createDataFrame(list(weight.items()), "word string, idf double")
+    index = spark.createDataFrame(_index(templates, weight, index_words), "word string, template int, place int")
     mass = index.join(idf, "word").groupBy("template").agg(F.sum("idf").alias("mass"))
     held = F.broadcast(idf)
     at = each.join(held, "word")
@@ -104,9 +145,13 @@ def _labelled(spark, rows: DataFrame, each: DataFrame, keep, rarest: int | None,
         top = each.select("__row", "word").distinct().join(held, "word").groupBy("__row").agg(F.slice(F.sort_array(F.collect_list(F.struct("idf", "word")), False), 1, rarest).alias("top")).select("__row", F.explode("top").alias("t")).select("__row", "t.word", "t.idf")
         at = each.join(top, ["__row", "word"])
     # A word has at most as many postings as places in the notices, so rows grow with the hits alone.
-    at = at.join(F.broadcast(index), "word")
-    aligned = at.groupBy("__row", "template", (F.col("at") - F.col("place")).alias("offset")).agg(F.sum("idf").alias("got")).groupBy("__row", "template").agg(F.max("got").alias("got"))
-    names = spark.createDataFrame([(t, label, key) for t, (label, _, key) in enumerate(TEMPLATES)], "template int, label string, phrase string")
+    at = at.join(F.broadcast(index), "word").withColumn("offset", F.col("at") - F.col("place"))
+    if drift:
+        # Offsets no more than drift apart share one of the overlapping lines; a place counts once in a line.
+        line = F.floor(F.col("offset") / (drift + 1))
+        at = at.withColumn("offset", F.explode(F.array(line, line - 1))).groupBy("__row", "template", "offset", "place").agg(F.max("idf").alias("idf"))
+    aligned = at.groupBy("__row", "template", "offset").agg(F.sum("idf").alias("got")).groupBy("__row", "template").agg(F.max("got").alias("got"))
+    names = spark.createDataFrame([(t, label, key) for t, (label, _, key) in enumerate(templates)], "template int, label string, phrase string")
     scored = aligned.join(F.broadcast(mass), "template").join(F.broadcast(names), "template").join(rows.where("__hits is not null").select("__row", "__phrases"), "__row")
     scored = scored.withColumn("share", F.least(F.lit(1.0), F.col("got") / F.col("mass"))).where(F.array_contains("__phrases", F.col("phrase")) & (F.col("share") >= least_share))
     found = scored.groupBy("__row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))

@@ -274,6 +274,27 @@ def test_two_notices_in_one_file(spark, tmp_path):
     assert [(a[0], b[0]) for k, (a, b) in enumerate(pairs) if not {a[0], b[0]} <= got[k]] == []
 
 
+def test_license_templates_as_a_table(spark):
+    """Whole licence texts, with the rest of a file around them, words put in, and near misses."""
+    rng = random.Random(21)
+    words = [f"{a}{b}" for a in ("grant", "warrant", "liab", "copy", "notic", "sublic") for b in ("s", "ed", "ing", "able", "ion", "or", "ant")] + ["the", "of", "and", "to"] * 6
+    made = {f"lic-{k}": rng.choices(words, k=900) for k in range(4)}
+    phrases = {n: " ".join(w[400:404]) for n, w in made.items()} | {"lic-3": None}
+    table = spark.createDataFrame([(n, " ".join(w).upper(), phrases[n]) for n, w in made.items()] * 2 + [(None, "grants", "grants"), ("empty", "", None)], "label string, notice string, phrase string")
+    prose = lambda k: " ".join(rng.choices(["river", "stone", "lamp", "the", "of"], k=k))
+    inside = {n: [*w[:300], "years", "holder", "name", *w[300:]] for n, w in made.items()}
+    texts = [f"{prose(37)}\n{' '.join(made['lic-0'])}\n{prose(5)}\n{' '.join(made['lic-3'])}"]
+    texts += [" ".join(inside["lic-1"]), " ".join([*made["lic-2"][:400], "x", *made["lic-2"][404:]]), " ".join(sorted(made["lic-3"])), *(prose(50) for _ in range(300)), None, ""]
+    docs = docs_of(spark, texts)
+    got = {k: {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs, rarest=None, templates=table, drift=k).collect()} for k in (0, 3)}
+    assert got[0][0] == ("lic-0,lic-3", 1.0) and got[3][0] == ("lic-0,lic-3", 1.0)
+    assert got[3][1] == ("lic-1", 1.0) and got[0][1][1] < 1
+    assert [got[k][i][0] for k in (0, 3) for i in (2, 3, 4, 304, 305)] == [""] * 10
+    assert len(got[0]) == len(texts)
+    none = licenses.scan(docs, rarest=None, templates=table.where("false")).where("labels != ''")
+    assert none.count() == 0
+
+
 # Pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
