@@ -587,3 +587,24 @@ def graph_types(spark, d):
     """The types' sizes and the Spark types that hold them."""
     kinds = {"bool": G.Int(1), "i32": G.Int(32), "u64": G.Int(64, False), "f16": G.Float(16), "f64": G.Float(64), "matrix": G.Tensor((2, 3), G.Float(64)), "pair": G.Tuple((G.Int(32), G.Float(64))), "open": G.Tensor((None,), G.Int(32))}
     return spark.createDataFrame([(n, t.byte_size, t.spark().simpleString()) for n, t in kinds.items()], "type string, bytes long, spark string")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount < 0.05::DOUBLE THEN l_extendedprice * (1 - l_discount) ELSE l_extendedprice END AS price, list_transform([l_discount, l_tax], lambda r: r * l_extendedprice) AS parts FROM lineitem")
+def graph_functions(spark, d):
+    """A module of functions that call, choose between and map one another."""
+    f64 = G.Float(64)
+    two = {"price": f64, "rate": f64}
+    m = G.Module()
+    m.define("part", lambda rate, price: rate * price, {"rate": f64, "price": f64})
+    m.define("less_part", lambda price, rate: price.context.invoke("part", 1.0 - rate, price)[0], two)
+    m.define("whole", lambda price, rate: price, two)
+
+    def main(price, rate, rates):
+        low = price.context.call("less", rate, price.context.constant(0.05, f64))
+        return *price.context.branch(low, "less_part", "whole", price, rate), price.context.each("part", rates, price)
+
+    m.define("main", main, {**two, "rates": G.Tensor((2,), f64)})
+    m.validate()
+    m.optimize()
+    price, parts = m.columns("main", c("l_extendedprice"), c("l_discount"), F.array("l_discount", "l_tax"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", price.alias("price"), parts.alias("parts"))
