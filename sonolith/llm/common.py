@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +85,21 @@ def whole(text: Column | str) -> Column:
 def crc_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; null ids give null."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
+
+
+#: Bits of a map that is collected and broadcast, whatever the data: 8 MB.
+BITMAP = 1 << 26
+
+
+def bitmap(slots: DataFrame) -> np.ndarray:
+    """The bits at the numbers in `slot`, each from 0 up to BITMAP, as bytes."""
+    maps = slots.groupBy(F.expr("slot div 32768").alias("b")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("m"))
+    bits = np.zeros(BITMAP // 8, np.uint8)
+    for r in maps.toLocalIterator():  # BITMAP / 32768 rows of 4 KB at most
+        bits[r["b"] * 4096 : (r["b"] + 1) * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    return bits
+
+
+def has_bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & np.uint64(BITMAP - 1)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)

@@ -7,7 +7,7 @@ that share a shingle instead of chosen paths. They assume that doc_id is unique.
 
 from __future__ import annotations
 
-from sonolith.llm import decontaminate, licenses, secrets
+from sonolith.llm import decontaminate, licenses, neardup, phrases, secrets
 
 
 def _quoted(text: str) -> str:
@@ -125,11 +125,15 @@ p AS (SELECT doc_id, octet_length(held)::BIGINT AS n, held, CASE WHEN octet_leng
 SELECT doc_id, n AS n_bytes, n + more AS payload_bytes, sha256(held || repeat('\x00'::BLOB, more)) AS payload_sha256 FROM p"""
 
 
+def _crc32(key: str) -> str:
+    """crc32 of an id's digits: each character, then eight steps of the remainder."""
+    steps = f"[4294967295::BIGINT] || flatten(list_transform(string_split({key}::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce({steps}, lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"
+
+
 def lm_base() -> str:
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    # crc32 of the id's digits: each character, then eight steps of the remainder.
-    steps = "[4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
-    crc = f"xor(list_reduce({steps}, lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"
+    crc = _crc32("doc_id")
     return rf"""WITH d AS (SELECT doc_id, coalesce({crc} % 5 = 1, false) AS held_out, regexp_extract_all(translate(coalesce(text, ''), '{capitals}', '{capitals.lower()}'), '[^\x20\x09-\x0D]+') AS words FROM documents),
 t AS (SELECT doc_id, held_out, unnest(words || [' ']) AS token FROM d),
 c AS (SELECT token, count(*) AS n FROM t WHERE NOT held_out GROUP BY token),
@@ -145,11 +149,59 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns, sha256(string_ag
  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256 FROM c GROUP BY conv_id"""
 
 
+def prefix_trie() -> str:
+    # A node is the list of its turns' digests.
+    return f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+ md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d, octet_length(encode(coalesce(text, '')))::BIGINT AS size FROM conversations),
+own AS (SELECT conv_id, list(d ORDER BY pos) AS d, list(size ORDER BY pos) AS size FROM t GROUP BY conv_id),
+h AS (SELECT own.*, coalesce({_crc32("conv_id")} % 9, 0) AS h FROM own),
+conv AS (SELECT h.conv_id, coalesce(b.d[1:h], []) || h.d[h + 1:] AS d, coalesce(b.size[1:h], []) || h.size[h + 1:] AS size FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 5),
+pre AS (SELECT conv_id, len(d) AS turns, d[1:k] AS node, k AS depth, size[k] AS size FROM (SELECT *, unnest(range(len(d) + 1)) AS k FROM conv)),
+n AS (SELECT node, depth, min(conv_id) AS conv_id, count(*)::BIGINT AS n, any_value(size) AS size, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (turns = depth), '') AS ends FROM pre GROUP BY node, depth),
+kids AS (SELECT node[1:depth - 1] AS node, count(*)::BIGINT AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0)::BIGINT AS n_children FROM n LEFT JOIN kids ON kids.node = n.node),
+up AS (SELECT node[1:k] AS node, n_children = 0 AS leaf, CASE WHEN depth > 0 THEN (n - 1) * size ELSE 0 END AS saved FROM (SELECT *, unnest(range(depth + 1)) AS k FROM f)),
+s AS (SELECT node, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY node)
+SELECT f.conv_id, f.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n AS n_convs, f.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN s ON s.node = f.node LEFT JOIN n p ON f.depth > 0 AND p.node = f.node[1:f.depth - 1]"""
+
+
+def phrase_mining() -> str:
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    least, longest, top = phrases.LEAST, phrases.LONGEST, phrases.TOP
+    inner = "unnest(flatten(list_transform(range(2, len(w)), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1]))))"
+    return rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{capitals}', '{capitals.lower()}'), '[.,;:!?
+-]')) AS piece FROM documents),
+s AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM s GROUP BY lang),
+g AS (SELECT lang, w[i:i + k - 1] AS w FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM s, range(1, {longest + 1}) x(k))),
+f AS (SELECT lang, w, count(*)::BIGINT AS a FROM g GROUP BY lang, w HAVING count(*) >= {least}),
+inside AS (SELECT lang, w, max(a) AS longer FROM (SELECT lang, {inner} AS w, a FROM f WHERE len(w) > 2) GROUP BY lang, w),
+c AS (SELECT lang, w, a, unnest(range(1, len(w))) AS k FROM f LEFT JOIN inside USING (lang, w) WHERE len(w) > 1 AND NOT coalesce(100 * longer >= 100 * a, false)),
+cut AS (SELECT c.*, l.a AS l, r.a AS r, n, (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score FROM c JOIN n USING (lang) JOIN f l ON l.lang = c.lang AND l.w = c.w[1:k] JOIN f r ON r.lang = c.lang AND r.w = c.w[k + 1:]),
+low AS (SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, n, score::BIGINT AS score FROM cut QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n, score FROM low QUALIFY rank <= {top}"""
+
+
+def near_vectors() -> str:
+    good = "len(x) > 0 AND len(list_filter(x, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(x, lambda v: v != 0)) > 0"
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+g AS (SELECT * FROM v WHERE {good}),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id != b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= {neardup.LEVEL}),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+class AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM class LEFT JOIN n USING (vec_id)"""
+
+
 SQL = {
     "op1_secret_scan": secret_scan,
     "op5_decontaminate": decontaminate_,
     "op7_license_scan": license_scan,
     "op10_jaccard_join": jaccard_join,
+    "op11_conversation_trie": prefix_trie,
+    "op12_phrase_mining": phrase_mining,
+    "op13_embedding_near_dup": near_vectors,
     "mix_targets": mix_targets,
     "media_payloads": media_payloads,
     "lm_base": lm_base,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonolith.llm import chat, decontaminate, html, jaccard, language, licenses, markov, mixing, oracles, secrets, webp
+from sonolith.llm import chat, decontaminate, html, jaccard, language, licenses, markov, mixing, neardup, oracles, phrases, secrets, trie, webp
 from sonolith.llm.common import table
 
 
@@ -24,6 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_main_text": lambda spark, d: html.report(table(spark, d, "pages")),
         "op9_chat_format": lambda spark, d: chat.report(table(spark, d, "conversations")),
         "op10_jaccard_join": lambda spark, d: jaccard.report(docs(spark, d)),
+        "op11_conversation_trie": lambda spark, d: trie.report(table(spark, d, "conversations")),
+        "op12_phrase_mining": lambda spark, d: phrases.report(docs(spark, d)),
+        "op13_embedding_near_dup": lambda spark, d: neardup.report(table(spark, d, "embeddings")),
         # The parts of op3, op4, op6 and op9 that SQL can express.
         "mix_targets": lambda spark, d: mixing.report(docs(spark, d)).select("doc_id", "size", "source_size", F.round("target", 4).alias("target")),
         "media_payloads": lambda spark, d: webp.report(docs(spark, d)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256"),
