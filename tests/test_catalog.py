@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from sonolith.plans import catalog
+from sonolith.plans import catalog, signals  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events embeddings".split()
