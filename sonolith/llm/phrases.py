@@ -145,6 +145,9 @@ def _distinct(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _counted(cols: list[np.ndarray]) -> pd.DataFrame:
     at, n = _distinct(cols)
+    # Rows of one first word follow each other, which shuffles with fewer bytes.
+    order = np.argsort(cols[0][at], kind="stable")
+    at, n = at[order], n[order]
     return pd.DataFrame({w: c[at].view(np.int64) for w, c in zip(WORDS, cols, strict=False)} | {"n": n})
 
 
