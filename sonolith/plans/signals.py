@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from sonolith.operators import filters as I
 from sonolith.operators import spectral as P
 from sonolith.plans.catalog import EVENTS, ORACLES, QUERIES, _typed, _typed_sql, c, query  # noqa: F401
-from sonolith.sources.tables import event_signals
+from sonolith.sources.seekable import Store
+from sonolith.sources.tables import event_signals, table
+from sonolith.streaming import chunks, reorder
 
 CASCADE = I.butterworth(4, 0.1)
 
@@ -75,3 +77,32 @@ SELECT n.signal_id, m::BIGINT AS idx, round(sum(e.sample * w), 5) + 0.0 AS sampl
 def sig_resample_sinc(spark, d):
     """Two samples for three, through a windowed sinc that removes what would alias."""
     return P.resample_sinc(event_signals(spark, d), 2, 3).select("signal_id", "idx", (F.round(c("sample"), 5) + 0.0).alias("sample"))
+
+
+@query(f"SELECT signal_id, idx::BIGINT AS idx, 0.5::DOUBLE * sample + 0.25::DOUBLE * coalesce(lag(sample, 1) OVER w, 0) + 0.125::DOUBLE * coalesce(lag(sample, 2) OVER w, 0) AS sample FROM {EVENTS} WINDOW w AS (PARTITION BY signal_id ORDER BY idx)")
+def stream_fir_late(spark, d):
+    """A causal filter over events that arrive up to two days late, in order of their time."""
+    rows = table(spark, d, "events").select(c("user_id").cast("long").alias("signal_id"), c("ts").cast("timestamp").alias("ts"), c("event_id").cast("long").alias("tie"), c("value").alias("sample"))
+    stream = reorder.arrivals(rows, chunks.shared_path(spark, "arrivals"), 6, "pmod(xxhash64(tie), 172800)", 172_800)
+    return chunks.run_to_files(reorder.fir_late(stream, [0.5, 0.25, 0.125], "2 days"))
+
+
+def _stored(spark, d) -> Store:
+    """The event signals in a store, in two appends."""
+    store, rows = Store(spark, chunks.shared_path(spark, "signals")), event_signals(spark, d)
+    store.append(rows.where(c("idx") < 48), 0, chunk=16)
+    store.append(rows.where(c("idx") >= 48), 1, chunk=16)
+    return store
+
+
+@query(f"SELECT signal_id, idx::BIGINT AS idx, sample, (idx >= 40)::INTEGER AS part FROM {EVENTS}")
+def source_seek(spark, d):
+    """A stored signal set read to index 40, and from there on."""
+    store = _stored(spark, d)
+    return store.seek(0, 40).withColumn("part", F.lit(0)).unionByName(store.seek(40).withColumn("part", F.lit(1)))
+
+
+@query(f"SELECT signal_id, idx::BIGINT AS idx, sample FROM {EVENTS}")
+def source_stream(spark, d):
+    """A stored signal set followed as a stream of its appends."""
+    return chunks.run_to_files(_stored(spark, d).follow())

@@ -39,18 +39,22 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFram
     return stream.sparkSession.table(name)
 
 
-def run_to_files(stream: DataFrame) -> DataFrame:
-    """All of what is there now, through the file sink: written by the executors and
-    read again, so results of any size do not pass through the driver. Its folder and
-    checkpoint lie in spark.checkpoint.dir, or in a temporary folder where that is unset
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in spark.checkpoint.dir, or in a temporary folder where that is unset
     and one machine does all the work."""
-    spark = stream.sparkSession
     home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not home:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         home = tempfile.mkdtemp(prefix="sonolith-", dir="/tmp")
-    path = f"{home}/stream-{uuid.uuid4().hex}"
+    return f"{home}/{name}-{uuid.uuid4().hex}"
+
+
+def run_to_files(stream: DataFrame) -> DataFrame:
+    """All of what is there now, through the file sink: written by the executors and
+    read again, so results of any size do not pass through the driver."""
+    spark = stream.sparkSession
+    path = shared_path(spark, "stream")
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-progress").outputMode("append").trigger(availableNow=True).start(path)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
