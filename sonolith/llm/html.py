@@ -40,7 +40,7 @@ RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea
 FOREIGN = frozenset("template iframe svg noscript".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: Regions that hold no article text, by tag, role, or a word of class or id.
-SKIP_TAGS = frozenset("head script style noscript template iframe svg nav footer aside form menu button select textarea dialog object canvas math audio video xmp".split())
+SKIP_TAGS = frozenset("head script style noscript template iframe svg nav footer aside form menu button select textarea dialog canvas audio video xmp".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 SKIP_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead comment comments disqus reply replies respond cookie cookies consent gdpr notice alert popup modal newsletter subscribe subscription signup login share sharing social related recommended widget pagination pager toolbar copyright disclaimer adsbygoogle".split())
 #: Words that leave a region's name as telling as it is without them.
@@ -48,6 +48,8 @@ NEUTRAL = frozenset("area articles aside bar block body bottom box btn button bu
 #: Words beside which a header is the article's own, and prefixes that only tell of a region elsewhere.
 OWN_HEADER = frozenset("article post entry story content".split())
 TELLING = re.compile(r"(?:^|[-_])(?:no|has|with|without|hide|show)[-_]|(?:^|[-_])(?:open|closed|enabled|disabled)$")
+#: Words that tell even of an article that it is none of the page's own.
+FOREIGN_ARTICLE = frozenset("ad ads advert adverts advertisement advertising sponsored promo comment comments disqus reply replies respond related recommended".split())
 CLOSES = {"p": BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -56,11 +58,11 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NO, DOUBTFUL, YES = range(3)
 
 
-def _named(name: str) -> int:
-    """What one class or id tells of its region."""
+def _named(name: str, inside: bool = False) -> int:
+    """What one class or id tells of its region. A header inside an article holds its title."""
     words = set(re.split(r"[^a-z]+", name))
     found = words & SKIP_WORDS
-    if not found or TELLING.search(name) or found <= {"header"} and words & OWN_HEADER:
+    if not found or TELLING.search(name) or found <= {"header"} and (inside or words & OWN_HEADER):
         return NO
     return YES if words <= SKIP_WORDS | NEUTRAL | {""} else DOUBTFUL
 
@@ -69,15 +71,19 @@ def _skips(tag: str, attrs: str, inside: bool) -> int:
     """inside: within an article, whose own header holds its title."""
     if tag in SKIP_TAGS or tag == "header" and not inside:
         return YES
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body"):
         return NO
+    own = tag in ("article", "main")
     sure = NO
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name == "role" and value in SKIP_ROLES or name == "aria-hidden" and value == "true":
             return YES
-        if name in ("class", "id") and not (inside and tag == "header"):
-            sure = max([sure, *map(_named, value.split())])
+        if name in ("class", "id") and own:
+            words = [set(re.split(r"[^a-z]+", x)) for x in value.split() if not TELLING.search(x)]
+            sure = max([sure, *(YES for w in words if w & FOREIGN_ARTICLE and w <= FOREIGN_ARTICLE | NEUTRAL | {""})])
+        elif name in ("class", "id") and not (inside and tag == "header"):
+            sure = max([sure, *(_named(x, inside) for x in value.split())])
         if name == "style" and "display:none" in value.replace(" ", ""):
             return YES
     if sure < YES and re.search(r"(?:^|\s)hidden(?:\s|$|/)", _ATTR.sub("", attrs)):
@@ -158,7 +164,7 @@ class Page:
 
     def end(self, tag: str) -> None:
         if self.open[tag]:
-            if tag in BLOCK or self.state[-1][3]:
+            if tag in BLOCK:
                 self.flush()
             while self.pop() != tag:
                 pass
@@ -181,7 +187,7 @@ class Page:
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             return
         sure = _skips(tag, attrs, self.state[-1][4] > 0)
-        if sure:
+        if sure == DOUBTFUL:
             self.flush()
         self.push(tag, sure)
 

@@ -324,6 +324,21 @@ def test_html_regions(page, want):
     assert html.extract(page).split("\n") == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>Own, text. Here it is.</p></article><article class='comment'><p>Nice post, thanks.</p></article>", "Own, text. Here it is."),
+        (f"<main><article><p>{LONG}</p><article id='comment-12'><p>{LONG}</p></article></article></main>", LONG.strip()),
+        (f"<article class='post comments-open widget'><p>{LONG}</p></article>", LONG.strip()),
+        (f"<article><div class='header'><h1>Title of it</h1></div><p>{LONG}</p></article>", f"Title of it\n{LONG.strip()}"),
+        ("<article><p>Let <math><mi>x</mi></math> be, well</p><p>A <object>fallback</object> stays.</p></article>", "Let x be, well\nA fallback stays."),
+        ("<article><p>A <button>Click</button> b, <span class='ad'>Buy</span>c.<script>x</script> D.</p></article>", "A b, c. D."),
+    ],
+)
+def test_html_articles_of_others_headers_and_inline_parts(page, want):
+    assert html.extract(page) == want
+
+
 def test_html_without_markup_of_the_article():
     body = "<div id='c'>" + "".join(f"<p>Sentence {k}, with some words; and more, of it. Then the end.</p>" for k in range(5)) + "</div><div><span>Tag</span></div><ul><li>x</li><li>y</li></ul>"
     got = html.extract(PAGE % body).split("\n")
