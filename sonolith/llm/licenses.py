@@ -93,12 +93,10 @@ def _phrase_stats(s: Column, phrase: str, n_words: Column) -> tuple[Column, Colu
     return F.when(has, places.cast("long")).otherwise(0), F.when(has, (spaces(F.substring(s, F.lit(1), at)) - 1).cast("long")), F.when(has, (n_words - words_after - len(phrase.split())).cast("long"))
 
 
-def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rarest: int | None = 8, least_share: float = 0.6, templates: DataFrame | None = None, index_words: int = 64, drift: int = 0) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least_share: float = 0.6, templates: DataFrame | None = None, index_words: int = 64, drift: int = 0) -> DataFrame:
     """One row per row of docs: the kept columns, n_words, n_base, first_word,
     last_word, base_labels, labels (with the templates') and score, the share of
-    the best verified template's IDF mass found at one relative position. rarest: only
-    so many distinct words of a file count, which loses notices that stand beside
-    others; None: all of them.
+    the best verified template's IDF mass found at one relative position.
 
     templates: a table of label, notice (whole licence texts too) and phrase, which must
     stand in a file (null or empty: any file will do), in place of TEMPLATES. Each is
@@ -128,10 +126,10 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     )
     rows = stable(rows, "licenses")
     each = rows.where("__hits is not null").select("__row", F.explode("__hits").alias("h")).select("__row", "h.word", "h.at")
-    return _labelled(docs.sparkSession, rows, each, keep, rarest, least_share, templates, index_words, drift)
+    return _labelled(docs.sparkSession, rows, each, keep, least_share, templates, index_words, drift)
 
 
-def _labelled(spark, rows: DataFrame, each: DataFrame, keep, rarest: int | None, least_share: float, templates, index_words: int, drift: int) -> DataFrame:
+def _labelled(spark, rows: DataFrame, each: DataFrame, keep, least_share: float, templates, index_words: int, drift: int) -> DataFrame:
     total = rows.count()
     # The vocabulary of the templates bounds these counts.
     seen = {r["word"]: r["df"] for r in each.select("__row", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("df")).collect()}
@@ -141,9 +139,6 @@ def _labelled(spark, rows: DataFrame, each: DataFrame, keep, rarest: int | None,
     mass = index.join(idf, "word").groupBy("template").agg(F.sum("idf").alias("mass"))
     held = F.broadcast(idf)
     at = each.join(held, "word")
-    if rarest is not None:
-        top = each.select("__row", "word").distinct().join(held, "word").groupBy("__row").agg(F.slice(F.sort_array(F.collect_list(F.struct("idf", "word")), False), 1, rarest).alias("top")).select("__row", F.explode("top").alias("t")).select("__row", "t.word", "t.idf")
-        at = each.join(top, ["__row", "word"])
     # A word has at most as many postings as places in the notices, so rows grow with the hits alone.
     at = at.join(F.broadcast(index), "word").withColumn("offset", F.col("at") - F.col("place"))
     if drift:

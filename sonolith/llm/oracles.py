@@ -24,7 +24,7 @@ def _either_case(words: str) -> str:
     return "".join(f"[{x}{x.upper()}]" if x.isalpha() else x for x in words)
 
 
-def secret_scan(copied_owners: int = 3, copied_repos: int = 25, min_symbols: int = 6) -> str:
+def secret_scan(copied_owners: int = 3, copied_share: float = 0.1, min_symbols: int = 6) -> str:
     names = _either_case("password|passwd|secret|token|api_?key")
     assign = rf"""(?:{names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     # A bare value starts a run of its letters and dots, and ends at the first dot.
@@ -41,8 +41,9 @@ c AS (SELECT doc_id, owner, rank, start, start + CASE rank WHEN 4 THEN length(va
  WHERE CASE rank WHEN 0 THEN length(value) >= 6 WHEN 4 THEN length(value) >= 20 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') ELSE true END),
 e AS (SELECT * FROM c WHERE rank < 4 UNION ALL
  SELECT * FROM c o WHERE rank = 4 AND NOT EXISTS (SELECT 1 FROM c s WHERE s.rank < 4 AND s.doc_id = o.doc_id AND s.start < o.stop AND s.stop > o.start)),
-h AS (SELECT value, count(DISTINCT coalesce('x' || owner, '')) AS owners, count(DISTINCT doc_id) AS repos FROM e GROUP BY value),
-j AS (SELECT doc_id, rank, start, stop, kind, CASE WHEN owners >= {copied_owners} OR repos >= {copied_repos} THEN 'copied' WHEN len(list_distinct(string_split(value, ''))) < {min_symbols} THEN 'placeholder' ELSE 'live' END AS status
+h AS (SELECT value, count(DISTINCT coalesce('x' || owner, '')) AS owners FROM e GROUP BY value),
+b AS (SELECT greatest({copied_owners}, ceil({copied_share}::DOUBLE * count(DISTINCT coalesce('x' || owner, '')))) AS breadth FROM d),
+j AS (SELECT doc_id, rank, start, stop, kind, CASE WHEN owners >= (SELECT breadth FROM b) THEN 'copied' WHEN len(list_distinct(string_split(value, ''))) < {min_symbols} THEN 'placeholder' ELSE 'live' END AS status
  FROM e JOIN h USING (value) JOIN (VALUES {kinds}) k(rank, kind) USING (rank)),
 g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
@@ -51,7 +52,7 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
  coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
 
 
-def license_scan(rarest: int = 8, least_share: float = 0.6) -> str:
+def license_scan(least_share: float = 0.6) -> str:
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     places = [(w, t, p) for t, (_, notice, _) in enumerate(licenses.TEMPLATES) for p, w in enumerate(notice.split()) if w not in licenses.COMMON]
     templates = [(t, label, f" {key} ") for t, (label, _, key) in enumerate(licenses.TEMPLATES)]
@@ -65,8 +66,7 @@ vocabulary AS (SELECT DISTINCT word FROM place),
 hit AS (SELECT w.* FROM w JOIN vocabulary USING (word)),
 idf AS (SELECT word, ln(((SELECT count(*) FROM d) + 1)::DOUBLE / (coalesce(df, 0) + 1)) + 0.01 AS idf FROM vocabulary LEFT JOIN (SELECT word, count(DISTINCT doc_id) AS df FROM hit GROUP BY word) USING (word)),
 mass AS (SELECT template, sum(idf) AS mass FROM place JOIN idf USING (word) GROUP BY template),
-top AS (SELECT doc_id, word, idf FROM (SELECT DISTINCT doc_id, word FROM hit) JOIN idf USING (word) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, word DESC) <= {rarest}),
-lined AS (SELECT doc_id, template, pos - place AS off, sum(idf) AS got FROM hit JOIN top USING (doc_id, word) JOIN place USING (word) GROUP BY ALL),
+lined AS (SELECT doc_id, template, pos - place AS off, sum(idf) AS got FROM hit JOIN idf USING (word) JOIN place USING (word) GROUP BY ALL),
 scored AS (SELECT doc_id, template, least(1.0, max(got) / any_value(mass)) AS share FROM lined JOIN mass USING (template) GROUP BY doc_id, template),
 more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM scored JOIN template USING (template) JOIN d USING (doc_id)
  WHERE share >= {least_share} AND contains(' ' || array_to_string(words, ' ') || ' ', phrase) GROUP BY doc_id)
@@ -171,7 +171,8 @@ def phrase_mining() -> str:
     least, longest, top = phrases.LEAST, phrases.LONGEST, phrases.TOP
     inner = "unnest(flatten(list_transform(range(2, len(w)), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1]))))"
     return rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{capitals}', '{capitals.lower()}'), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 s AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
 n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM s GROUP BY lang),
 g AS (SELECT lang, w[i:i + k - 1] AS w FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM s, range(1, {longest + 1}) x(k))),

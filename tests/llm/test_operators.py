@@ -286,12 +286,12 @@ def test_license_templates_as_a_table(spark):
     texts = [f"{prose(37)}\n{' '.join(made['lic-0'])}\n{prose(5)}\n{' '.join(made['lic-3'])}"]
     texts += [" ".join(inside["lic-1"]), " ".join([*made["lic-2"][:400], "x", *made["lic-2"][404:]]), " ".join(sorted(made["lic-3"])), *(prose(50) for _ in range(300)), None, ""]
     docs = docs_of(spark, texts)
-    got = {k: {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs, rarest=None, templates=table, drift=k).collect()} for k in (0, 3)}
+    got = {k: {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs, templates=table, drift=k).collect()} for k in (0, 3)}
     assert got[0][0] == ("lic-0,lic-3", 1.0) and got[3][0] == ("lic-0,lic-3", 1.0)
     assert got[3][1] == ("lic-1", 1.0) and got[0][1][1] < 1
     assert [got[k][i][0] for k in (0, 3) for i in (2, 3, 4, 304, 305)] == [""] * 10
     assert len(got[0]) == len(texts)
-    none = licenses.scan(docs, rarest=None, templates=table.where("false")).where("labels != ''")
+    none = licenses.scan(docs, templates=table.where("false")).where("labels != ''")
     assert none.count() == 0
 
 

@@ -27,7 +27,7 @@ def same(df, con, name):
 @pytest.mark.parametrize("name", oracles.SQL)
 def test_tables(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     same(queries.queries()[name](spark, FOLDER), con, name)
 
@@ -63,6 +63,21 @@ def test_made_documents(spark, made, name):
     same(REPORTS[name](spark.createDataFrame(made, "doc_id long, text string, source string")), database(made), name)
 
 
+def test_few_owners_hold_a_value_in_many_documents(spark):
+    """Breadth over owners decides, a share of them where there are many: not the number of documents."""
+    held = {"password=Qw3rTy9LkJh2": 1, "k3J9xPq27LmZw81RtYv5": 4, "token=Hx4vNq8RzKd7": 20}
+    docs = [(100 * k + i, f"note {i} {value} end", f"s{i % owners}") for k, (value, owners) in enumerate(held.items()) for i in range(40)]
+    docs += [(1000 + i, f"plain {i}", f"s{i}" if i else None) for i in range(60)]
+    same(secrets.report(spark.createDataFrame(docs, "doc_id long, text string, source string")), database(docs), "op1_secret_scan")
+
+
+def test_two_notices_in_one_text(spark):
+    """More licence words stand in a text than in any notice."""
+    notices = [notice for _, notice, _ in licenses.TEMPLATES]
+    docs = [(100 * i + j, f"{a} and here is more {b}", "s") for i, a in enumerate(notices) for j, b in enumerate(notices)]
+    same(licenses.scan(spark.createDataFrame(docs, "doc_id long, text string, source string")), database(docs), "op7_license_scan")
+
+
 def test_made_benchmark(spark, made):
     rng = random.Random(5)
     items = [(1, "river lamp"), (2, None), (3, "")]
