@@ -8,6 +8,9 @@ of all buckets flies again, in fewer buckets, until each source has few open
 documents: two, which may be large, and a ladder of documents of falling size that
 do not fly. The landing settles those on an outcome near the target. A document too
 long for such a landing is drawn before the last flight, and the others make up for it.
+A source of few documents that still misses its target by more than NEAR changes the
+copies of one or two of them at a time, between none and MAX_REPEATS; its documents so
+give up their place in the number of documents for the tokens.
 
 Defined results: null text has size 0; null sources form the last source; sizes
 of 0 are never taken; repeated rows are mixed as rows of their own; an empty table
@@ -27,6 +30,8 @@ WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEATS = 3
 #: Expected documents of a bucket in which probabilities fly together.
 BUCKET = 1000
+#: Share of a target by which a source may miss it before more than single copies change.
+NEAR = 0.005
 #: Documents of a source, each of half the size of the one before or less, kept for its landing.
 LADDER = 12
 
@@ -132,19 +137,55 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
-def _flight(final: bool, held: int):
+def repair(copies: np.ndarray, size: np.ndarray, miss: float, near: float, most: int = MAX_REPEATS) -> np.ndarray:
+    """Copies (0 to most) changed for one or two units at a time until their tokens, which
+    miss the expected ones by `miss`, do so by `near` at most or no change brings them
+    nearer. For sources whose few units leave no near outcome of single copies."""
+    copies = copies.copy()
+    while abs(miss) > near:
+        unit, step = (x.ravel() for x in np.meshgrid(np.arange(len(size)), np.concatenate([np.arange(-most, 0), np.arange(1, most + 1)]), indexing="ij"))
+        good = (copies[unit] + step >= 0) & (copies[unit] + step <= most)
+        unit, step = unit[good], step[good]
+        if not len(unit):
+            break
+        gain = step * size[unit]
+        order = np.argsort(gain, kind="stable")
+        unit, step, gain = unit[order], step[order], gain[order]
+        ways = [(abs(miss + gain[k]), abs(step[k]), (k,)) for k in [int(np.abs(miss + gain).argmin())]]
+        # The second change that best makes up for each first one, on either side of the exact place.
+        at = np.searchsorted(gain, -miss - gain)
+        for shift in (-1, 0):
+            other = np.clip(at + shift, 0, len(gain) - 1)
+            off = np.where(unit[other] == unit, np.inf, np.abs(miss + gain + gain[other]))
+            k = int(off.argmin())
+            ways.append((off[k], abs(step[k]) + abs(step[other[k]]), (k, int(other[k]))))
+        off, _, taken = min(ways)
+        if off >= abs(miss):
+            break
+        for k in taken:
+            copies[unit[k]] += step[k]
+            miss += gain[k]
+    return copies
+
+
+def _flight(final: bool, held: int, near: float = NEAR):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["size", "h", "p"], ascending=False).reset_index(drop=True)
         p, size = part["p"].to_numpy(float), part["size"].to_numpy(float)
         rng = np.random.default_rng([len(p), int(part["h"].iloc[0]) & 0xFFFFFFFF, int(part["h"].iloc[-1]) & 0xFFFFFFFF])
-        flying = np.ones(len(p), bool)
+        flying, expected = np.ones(len(p), bool), float(p @ size)
         if final:
             p = settle_heavy(p, size, rng)
         if held:
             still = np.flatnonzero((p > 0) & (p < 1))
             flying[still[ladder(size[still])]] = False
         p[flying] = fly(p[flying], size[flying], rng)
-        return part.assign(p=land(p, size) if final else p)
+        if not final:
+            return part.assign(p=p)
+        p = land(p, size)
+        whole_copies = part["whole"].to_numpy(np.int64)
+        copies = repair(whole_copies + np.round(p).astype(np.int64), size, float(p @ size) - expected, near * float(part["target"].iloc[0]))
+        return part.assign(p=p, whole=copies - np.round(p).astype(np.int64))
 
     return run
 
