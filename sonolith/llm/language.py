@@ -23,13 +23,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonolith.llm.common import bounded_batches, columns, crc_mod, fresh
+from sonolith.llm.common import bounded_batches, columns, crc_mod, fresh, stable
 
 SIZES = (2, 3, 4)
 #: Training rows per language, as an expected number; the sample's only bound.
 SAMPLE = 4000
 #: The filter has SLOTS slots, or more where it takes that many for each n-gram that it holds.
 SLOTS, PROBES, ROOM = 1 << 21, 3, 4
+#: Different n-grams of a task's buffer in training, and of the languages' n-grams that reach the driver.
+COUNTED, MODEL_GRAMS = 1 << 21, 4_000_000
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 _LETTER = np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000)
@@ -103,12 +105,18 @@ class Model:
         return self.languages[best], float(share[best] / share.sum()) if share.sum() > 0 else 0.0, float(share[best])
 
 
+def _summed(name: str, held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    values, place = np.unique(np.concatenate([v for v, _ in held]), return_inverse=True)
+    n = np.bincount(place, np.concatenate([n for _, n in held]), len(values)).astype(np.int64)
+    return pd.DataFrame({"lang": name, "code": values.view(np.int64), "n": n})
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, least_share: float = 0.25, least_count: int = 3) -> Model:
     """A model of all languages of the labels, learned from about `sample` rows of each.
 
     Rows are taken by a hash of their id, so the sample does not depend on order.
-    What reaches the driver, and the model's size, is bounded by the sample and the
-    number of languages, not by the corpus.
+    What reaches the driver, and the model's size, is bounded by MODEL_GRAMS, whatever
+    the sample's texts are.
     """
     bounded_batches(labelled.sparkSession)
     usable = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
@@ -120,13 +128,24 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     taken = usable.where(F.pmod(F.xxhash64(F.col("key"), F.lit(17)), F.lit(1 << 20)) < rate * (1 << 20))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Counts text by text, summed for each language as far as a bounded buffer goes."""
         for batch in batches:
             for name, part in batch.groupby("lang"):
-                codes = np.concatenate([grams(letters(t)) for t in part["text"]])
-                values, n = np.unique(codes, return_counts=True)
-                yield pd.DataFrame({"lang": name, "code": values.view(np.int64), "n": n})
+                held, size = [], 0
+                for text in part["text"]:
+                    held.append(np.unique(grams(letters(text)), return_counts=True))
+                    size += len(held[-1][0])
+                    if size > COUNTED:
+                        yield _summed(name, held)
+                        held, size = [], 0
+                if held:
+                    yield _summed(name, held)
 
     counts = taken.select("lang", "text").mapInPandas(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = stable(counts.where(F.col("n") >= least_count), "language-grams")
+    # What goes to the driver is bounded: of more n-grams, the less frequent stay out of the model.
+    while counts.where(F.col("n") >= least_count).count() > MODEL_GRAMS:
+        least_count *= 2
     pdf = counts.where(F.col("n") >= least_count).toPandas()
     index = {name: k for k, name in enumerate(languages)}
     pdf["bit"] = pdf["lang"].map(index).astype(np.int64)
