@@ -143,15 +143,36 @@ class System:
         return np.linalg.matrix_power(self.a, n)
 
 
-def scan(places: np.ndarray, ends: np.ndarray, carry: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start states at the sorted places, and the state after the last, where one place carries
-    a state over as carry @ s + its end state, and places left out as carry @ s. start holds at places[0]."""
+    # What `scanned` asks of a system:
+
+    @property
+    def rest(self) -> np.ndarray:
+        return np.zeros(self.states)
+
+    def ends(self, x: np.ndarray) -> np.ndarray:
+        return self.from_rest(x)[1]
+
+    def finish(self, x: np.ndarray, start: np.ndarray) -> np.ndarray:
+        return self.from_rest(x)[0] + start @ self.echoes(x.shape[1]).T
+
+    def over(self, map_: np.ndarray, n: int) -> np.ndarray:
+        """The map followed by n samples of 0."""
+        return self.power(n) @ map_
+
+    def then(self, map_: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+        """The map followed by n samples whose own map is `end`."""
+        return self.over(map_, n) + end
+
+
+def scan(system, places: np.ndarray, ends: np.ndarray, span: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The map up to each of the sorted places, of `span` samples each, and that after the
+    last. Places left out are samples of 0. start holds at places[0]."""
     out, s = np.empty_like(ends), start
-    for k, v in enumerate(ends):
+    for k, end in enumerate(ends):
         if k and places[k] - places[k - 1] > 1:
-            s = np.linalg.matrix_power(carry, int(places[k] - places[k - 1]) - 1) @ s
+            s = system.over(s, (int(places[k] - places[k - 1]) - 1) * span)
         out[k] = s
-        s = carry @ s + v
+        s = system.then(s, end, span)
     return out, s
 
 
@@ -159,62 +180,70 @@ def _matrix(arrays: pd.Series, width: int) -> np.ndarray:
     return np.stack(list(arrays)) if len(arrays) else np.zeros((0, width))
 
 
-def iir(rows: DataFrame, cascade: list[Biquad], chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
-    """The signals through a cascade of biquads: signal_id, idx, sample."""
-    system = System(cascade)
-    width, kind = system.states, rows.schema["signal_id"].dataType.simpleString()
-    over_chunk, over_group = system.power(chunk), system.power(chunk * group)
-    echoes = system.echoes(chunk)
-
+def scanned(rows: DataFrame, system, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
+    """The signals through a system whose samples compose as maps of its state: signal_id,
+    idx, sample. system: `rest` is the map of no samples, `ends` those of chunks (rows of
+    equal length), `then` and `over` compose, and `finish` gives results from the maps up
+    to the chunks. Chunks compose within groups, groups over the signal."""
+    width, kind = len(system.rest), rows.schema["signal_id"].dataType.simpleString()
     held = rows.select("signal_id", F.floor(F.col("idx") / chunk).cast("long").alias("chunk"), (F.col("idx") % chunk).cast("int").alias("at"), F.col("sample").cast("double").alias("sample"))
     held = held.groupBy("signal_id", "chunk").agg(F.collect_list("at").alias("at"), F.collect_list(F.coalesce("sample", F.lit(0.0))).alias("samples"))
 
-    def filtered(batches: Iterator[pd.DataFrame], whole: bool) -> Iterator[pd.DataFrame]:
+    def matrices(batches: Iterator[pd.DataFrame], whole: bool) -> Iterator[tuple]:
+        # As many chunks at once as a bounded matrix holds.
+        most = max(1, (1 << 21) // chunk)
         for batch in batches:
-            # As many chunks at once as a bounded matrix holds.
-            most = max(1, (1 << 21) // chunk)
             for k in range(0, len(batch), most):
                 part = batch.iloc[k : k + most]
                 at = [np.asarray(x, np.int64) for x in part["at"]]
                 x = np.zeros((len(part), max(int(a.max()) + 1 for a in at) if whole else chunk))
                 for row, a, samples in zip(x, at, part["samples"], strict=True):
                     row[a] = samples
-                y, ends = system.from_rest(x)
-                out = part[["signal_id", "chunk"]].copy()
-                if not whole:
-                    yield out.assign(end=list(ends))
-                    continue
-                y += _matrix(part["start"], width) @ echoes[: y.shape[1]].T
-                sizes = [len(a) for a in at]
-                idx = np.concatenate([c * chunk + a for c, a in zip(part["chunk"], at, strict=True)])
-                yield pd.DataFrame({"signal_id": part["signal_id"].repeat(sizes).to_numpy(), "idx": idx, "sample": np.concatenate([row[a] for row, a in zip(y, at, strict=True)])})
+                yield part, at, x
+
+    def ended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, _, x in matrices(batches, False):
+            yield part[["signal_id", "chunk"]].assign(end=list(system.ends(x)))
+
+    def finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, at, x in matrices(batches, True):
+            y = system.finish(x, _matrix(part["start"], width))
+            idx = np.concatenate([c * chunk + a for c, a in zip(part["chunk"], at, strict=True)])
+            yield pd.DataFrame({"signal_id": part["signal_id"].repeat([len(a) for a in at]).to_numpy(), "idx": idx, "sample": np.concatenate([row[a] for row, a in zip(y, at, strict=True)])})
 
     def composed(part: pd.DataFrame) -> pd.DataFrame:
-        """One group of chunks as one map: its end state from rest at its first chunk's place."""
+        """One group of chunks as one map."""
         part = part.sort_values("chunk")
-        places, ends = part["chunk"].to_numpy(), _matrix(part["end"], width)
-        _, s = scan(places, ends, over_chunk, np.zeros(width))
+        places = part["chunk"].to_numpy()
         number = int(places[0]) // group
-        s = np.linalg.matrix_power(over_chunk, (number + 1) * group - 1 - int(places[-1])) @ s
+        first = system.over(system.rest, (int(places[0]) - number * group) * chunk)
+        _, s = scan(system, places, _matrix(part["end"], width), chunk, first)
+        s = system.over(s, ((number + 1) * group - 1 - int(places[-1])) * chunk)
         return pd.DataFrame({"signal_id": part["signal_id"].iloc[:1], "group": [number], "end": [s]})
 
     def group_starts(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("group")
-        starts, _ = scan(part["group"].to_numpy(), _matrix(part["end"], width), over_group, np.zeros(width))
+        places = part["group"].to_numpy()
+        first = system.over(system.rest, int(places[0]) * group * chunk)
+        starts, _ = scan(system, places, _matrix(part["end"], width), chunk * group, first)
         return part[["signal_id", "group"]].assign(start=list(starts))
 
     def chunk_starts(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("chunk")
-        places, first = part["chunk"].to_numpy(), part["start"].iloc[0]
-        start = np.linalg.matrix_power(over_chunk, int(places[0]) % group) @ np.asarray(first)
-        starts, _ = scan(places, _matrix(part["end"], width), over_chunk, start)
+        places = part["chunk"].to_numpy()
+        first = system.over(np.asarray(part["start"].iloc[0]), int(places[0]) % group * chunk)
+        starts, _ = scan(system, places, _matrix(part["end"], width), chunk, first)
         return part[["signal_id", "chunk"]].assign(start=list(starts))
 
-    ends = held.mapInPandas(lambda b: filtered(b, False), f"signal_id {kind}, chunk long, end array<double>")
+    ends = held.mapInPandas(ended, f"signal_id {kind}, chunk long, end array<double>")
     ends = ends.withColumn("group", F.floor(F.col("chunk") / group).cast("long"))
     groups = ends.select("signal_id", "group", "chunk", "end").groupBy("signal_id", "group").applyInPandas(composed, f"signal_id {kind}, group long, end array<double>")
     groups = groups.groupBy("signal_id").applyInPandas(group_starts, f"signal_id {kind}, group long, start array<double>")
     starts = ends.join(groups, ["signal_id", "group"]).groupBy("signal_id", "group").applyInPandas(chunk_starts, f"signal_id {kind}, chunk long, start array<double>")
     both = held.join(starts, ["signal_id", "chunk"]).select("signal_id", "chunk", "at", "samples", "start")
-    return both.mapInPandas(lambda b: filtered(b, True), f"signal_id {kind}, idx long, sample double")
+    return both.mapInPandas(finished, f"signal_id {kind}, idx long, sample double")
 
+
+def iir(rows: DataFrame, cascade: list[Biquad], chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
+    """The signals through a cascade of biquads: signal_id, idx, sample."""
+    return scanned(rows, System(cascade), chunk, group)

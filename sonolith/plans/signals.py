@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sonolith.operators import demodulate as M
+from sonolith.operators import dynamics as L
 from sonolith.operators import filters as I
 from sonolith.operators import spectral as P
+from sonolith.operators import tiles as T
 from sonolith.plans.catalog import EVENTS, ORACLES, QUERIES, _typed, _typed_sql, c, query  # noqa: F401
 from sonolith.sources.seekable import Store
 from sonolith.sources.tables import event_signals, table
@@ -106,3 +109,75 @@ def source_seek(spark, d):
 def source_stream(spark, d):
     """A stored signal set followed as a stream of its appends."""
     return chunks.run_to_files(_stored(spark, d).follow())
+
+
+#: Shares whose products don't end, so that no result lies between two rounded ones.
+ATTACK, RELEASE = 1 / 3, 1 / 17
+_DB = "greatest(-200, CASE WHEN sample = 0 THEN -200 ELSE 20 * log10(abs(sample)) END)"
+
+
+def _smoothed(u: str, attack: float, release: float) -> str:
+    """A level that rises at once and falls by its release, then smoothed by its attack, a sample a step."""
+    return f"""WITH RECURSIVE e AS (SELECT signal_id, idx, sample, {u} AS u FROM {EVENTS}), f AS (SELECT DISTINCT signal_id, -1::BIGINT AS idx, 0::DOUBLE AS sample, 0::DOUBLE AS p, 0::DOUBLE AS y FROM e
+UNION ALL SELECT signal_id, idx, sample, p, y + {attack!r}::DOUBLE * (p - y) FROM (SELECT e.signal_id, e.idx, e.sample, greatest(u, f.p + {release!r}::DOUBLE * (u - f.p)) AS p, y FROM f JOIN e ON e.signal_id = f.signal_id AND e.idx = f.idx + 1))
+"""
+
+
+@query(_smoothed("abs(sample)", ATTACK, RELEASE) + "SELECT signal_id, idx, round(y, 6) + 0.0 AS sample FROM f WHERE idx >= 0")
+def sig_envelope(spark, d):
+    """The peak envelope of each user's signal."""
+    return L.envelope(event_signals(spark, d), ATTACK, RELEASE, chunk=64, group=8).select("signal_id", "idx", (F.round("sample", 6) + 0.0).alias("sample"))
+
+
+@query(_smoothed(f"greatest(0, 0.75 * ({_DB} - 30))", ATTACK, RELEASE) + "SELECT signal_id, idx, round(sample * pow(10, (3 - y) / 20), 5) + 0.0 AS sample FROM f WHERE idx >= 0")
+def sig_compress(spark, d):
+    """Samples above 30 decibels go on by a quarter, and all are 3 decibels louder."""
+    return L.compress(event_signals(spark, d), 30.0, 4.0, ATTACK, RELEASE, gain=3.0, chunk=64, group=8).select("signal_id", "idx", (F.round("sample", 5) + 0.0).alias("sample"))
+
+
+_TAPS = "(SELECT k, CASE WHEN k % 2 = 0 THEN 0 ELSE 2 / (pi() * k) * (0.54 + 0.46 * cos(pi() * k / 8)) END AS w FROM range(-8, 9) t(k))"
+
+
+@query(f"""WITH m AS (SELECT signal_id, idx, cos(1.25::DOUBLE * idx + 0.4 + 0.0005::DOUBLE * sample) AS x FROM {EVENTS}),
+q AS (SELECT m.signal_id, m.idx + k AS idx, sum(x * w) AS q FROM m, {_TAPS} t GROUP BY m.signal_id, m.idx + k),
+a AS (SELECT m.signal_id, m.idx, atan2(q, x) AS a FROM m JOIN q USING (signal_id, idx)),
+u AS (SELECT signal_id, idx, a, coalesce(a - lag(a) OVER w, 0) AS step FROM a WINDOW w AS (PARTITION BY signal_id ORDER BY idx)),
+o AS (SELECT signal_id, idx, a - 2 * pi() * sum(round(step / (2 * pi()))) OVER (PARTITION BY signal_id ORDER BY idx ROWS UNBOUNDED PRECEDING) - 1.25::DOUBLE * idx AS p FROM u)
+SELECT signal_id, idx::BIGINT AS idx, round((p - avg(p) OVER (PARTITION BY signal_id)) / 0.0005::DOUBLE, 3) + 0.0 AS sample FROM o""")
+def carrier_pm_demod(spark, d):
+    """Each user's signal on a carrier of unknown phase, and from its samples alone back."""
+    sent = event_signals(spark, d).withColumn("sample", F.cos(1.25 * c("idx") + 0.4 + 0.0005 * c("sample")))
+    return M.pm(sent, 1.25, 0.0005, half=8, chunk=32).select("signal_id", "idx", (F.round("sample", 3) + 0.0).alias("sample"))
+
+
+@query(f"""WITH m AS (SELECT signal_id, idx, (1 + 0.001::DOUBLE * sample) * cos(1.25::DOUBLE * idx + 0.4) AS x FROM {EVENTS}),
+q AS (SELECT m.signal_id, m.idx + k AS idx, sum(x * w) AS q FROM m, {_TAPS} t GROUP BY m.signal_id, m.idx + k)
+SELECT m.signal_id, m.idx::BIGINT AS idx, round((sqrt(x * x + q * q) - 1) / 0.001::DOUBLE, 4) + 0.0 AS sample FROM m JOIN q USING (signal_id, idx)""")
+def carrier_am_demod(spark, d):
+    sent = event_signals(spark, d).withColumn("sample", (1 + 0.001 * c("sample")) * F.cos(1.25 * c("idx") + 0.4))
+    return M.am(sent, 0.001, half=8, chunk=32).select("signal_id", "idx", (F.round("sample", 4) + 0.0).alias("sample"))
+
+
+_MATRIX = "(SELECT vec_id AS row, i - 1 AS col, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) t(i))"
+
+
+def _matrix(spark, d):
+    """All embeddings as one matrix, in tiles of 64 rows and 16 columns."""
+    each = table(spark, d, "embeddings").select(F.lit(0).alias("array_id"), c("vec_id").alias("row"), F.posexplode(c("embedding").cast("array<double>")).alias("col", "x"))
+    return T.from_elements(each, ["row", "col"], "x", (64, 16))
+
+
+@query(f"SELECT a.col::BIGINT AS i, b.col::BIGINT AS j, round(sum(a.x * b.x), 6) + 0.0 AS value FROM {_MATRIX} a JOIN {_MATRIX} b USING (row) GROUP BY a.col, b.col")
+def array_gram(spark, d):
+    """The product of the transposed matrix of all embeddings with itself."""
+    a = _matrix(spark, d)
+    got = T.to_elements(T.matmul(T.transpose(a, (1, 0)), a), (16, 16))
+    return got.select(c("index")[0].alias("i"), c("index")[1].alias("j"), (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query(f"SELECT row::BIGINT AS i, round(sum(x), 6) + 0.0 AS total, max(x) AS high, min(x) AS low FROM {_MATRIX} GROUP BY row")
+def array_reduce(spark, d):
+    """Sums, maxima and minima over the columns of the matrix of all embeddings."""
+    a = _matrix(spark, d)
+    one = lambda op, name: T.to_elements(T.reduce_axis(a, 1, op), (64,)).select(c("index")[0].alias("i"), c("value").alias(name))
+    return one("sum", "total").join(one("max", "high"), "i").join(one("min", "low"), "i").select("i", (F.round("total", 6) + 0.0).alias("total"), "high", "low")
