@@ -65,8 +65,11 @@ def _latched(rows: DataFrame, names: tuple[str, ...], chunk: int) -> DataFrame:
     ends = held.groupBy("signal_id", "chunk").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("idx"))).alias(c) for c in names])
     earlier = Window.partitionBy("signal_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = ends.select("signal_id", "chunk", *[F.last(c, ignorenulls=True).over(earlier).alias(f"{c}_start") for c in names])
+    # A chunk's start goes before its rows, so that no row needs a join.
+    marks = starts.select("signal_id", "chunk", F.lit(-1).cast("long").alias("idx"), *[F.col(f"{c}_start").alias(c) for c in names])
     by = Window.partitionBy("signal_id", "chunk").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return held.join(starts, ["signal_id", "chunk"]).select("signal_id", "idx", *[F.coalesce(F.last(c, ignorenulls=True).over(by), f"{c}_start").alias(c) for c in names])
+    each = held.select("signal_id", "chunk", "idx", *names).unionByName(marks)
+    return each.select("signal_id", "idx", *[F.last(c, ignorenulls=True).over(by).alias(c) for c in names]).where("idx >= 0")
 
 
 def broadcast_join(a: DataFrame, b: DataFrame, policy: str, fill: float = 0.0, chunk: int = CHUNK) -> DataFrame:

@@ -94,18 +94,21 @@ def min_max_clamp(spark, d):
     return table(spark, d, "customer").select("c_custkey", S.minimum(x, F.lit(100.0)).alias("low"), S.maximum(x, F.lit(100.0)).alias("high"), S.clamp(x, F.lit(-500.0), F.lit(5000.0)).alias("clamped"))
 
 
-_INTS = ("i8", "i16", "i32", "i64", "u8", "u16", "u32")
+_WIDE = "(l_orderkey::BIGINT * 100003 - 3000000)"
+_BOUNDS = {"i8": (-128, 127), "i16": (-32768, 32767), "i32": (-2147483648, 2147483647), "u8": (0, 255), "u16": (0, 65535), "u32": (0, 4294967295)}
 
 
-@query("SELECT -128::BIGINT AS i8_min, 127::BIGINT AS i8_max, -32768::BIGINT AS i16_min, 32767::BIGINT AS i16_max, -2147483648::BIGINT AS i32_min, 2147483647::BIGINT AS i32_max, (-9223372036854775808)::BIGINT AS i64_min, 9223372036854775807::BIGINT AS i64_max, 0::BIGINT AS u8_min, 255::BIGINT AS u8_max, 0::BIGINT AS u16_min, 65535::BIGINT AS u16_max, 0::BIGINT AS u32_min, 4294967295::BIGINT AS u32_max, 2.220446049250313e-16::DOUBLE AS epsilon, 52 AS significand_bits, 11 AS exponent_bits, 4503599627370495::BIGINT AS significand_mask, 9218868437227405312::BIGINT AS exponent_mask, 15 AS digits, 53 AS mantissa_digits, -1021 AS min_exp, 1024 AS max_exp, -307 AS min_10_exp, 308 AS max_10_exp, pi() AS pi, 2 * pi() AS tau, 2.718281828459045::DOUBLE AS e, 0::BIGINT AS least_positive_int, -1::BIGINT AS neg_one, 2147483648::BIGINT AS sign_mask32")
+@query(f"""SELECT l_orderkey, l_linenumber, {", ".join(f"greatest({low}, least({high}, {_WIDE}))::BIGINT AS {t}" for t, (low, high) in _BOUNDS.items())},
+{_WIDE} = 9223372036854775807 AS at_i64, (l_extendedprice * 2.220446049250313e-16::DOUBLE)::DOUBLE AS epsilon, l_extendedprice * pi() AS half_turns, l_extendedprice * (2 * pi()) AS turns, l_extendedprice * 2.718281828459045::DOUBLE AS e,
+({_WIDE} & 4503599627370495)::BIGINT AS significand, ({_WIDE} & 9218868437227405312)::BIGINT AS exponent, ({_WIDE} & 2147483648)::BIGINT AS sign32, (-{_WIDE})::BIGINT AS negated, (l_linenumber + 52 + 11 + 15 + 53 - 1021 + 1024 - 307 + 308 + 0)::BIGINT AS limits FROM lineitem""")
 def bounds_consts(spark, d):
-    k = CONSTANTS["f64"]
-    ints = [F.lit(v).cast("bigint").alias(f"{t}_{n}") for t in _INTS for n, v in (("min", num(t).low), ("max", num(t).high))]
-    small = [F.lit(getattr(k, n)).cast("int").alias(n) for n in ("significand_bits", "exponent_bits", "digits", "mantissa_digits", "min_exp", "max_exp", "min_10_exp", "max_10_exp")]
-    masks = [F.lit(getattr(k, n)).cast("bigint").alias(n) for n in ("significand_mask", "exponent_mask")]
-    real = [S.constant(n).alias(n) for n in ("epsilon", "pi", "tau", "e")]
-    more = [F.lit(num("i32").least_positive).cast("bigint").alias("least_positive_int"), S.neg_one("i64").alias("neg_one"), F.lit(num("i32").sign_mask).cast("bigint").alias("sign_mask32")]
-    return spark.range(1).select(*ints, *small, *masks, *real, *more)
+    """A column clamped to the bounds of each type, masked and scaled by the constants."""
+    k, x = CONSTANTS["f64"], c("l_orderkey") * 100003 - 3000000
+    ints = [S.clamp(x, F.lit(num(t).low).cast("bigint"), F.lit(num(t).high).cast("bigint")).alias(t) for t in _BOUNDS]
+    real = [(c("l_extendedprice") * S.constant(n)).alias(a) for n, a in (("epsilon", "epsilon"), ("pi", "half_turns"), ("tau", "turns"), ("e", "e"))]
+    masks = [x.bitwiseAND(F.lit(v).cast("bigint")).alias(n) for n, v in (("significand", k.significand_mask), ("exponent", k.exponent_mask), ("sign32", num("i32").sign_mask))]
+    limits = sum((getattr(k, n) for n in ("significand_bits", "exponent_bits", "digits", "mantissa_digits", "min_exp", "max_exp", "min_10_exp", "max_10_exp")), num("i32").least_positive)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *ints, (x == F.lit(num("i64").high)).alias("at_i64"), *real, *masks, (x * S.neg_one("i64")).alias("negated"), (c("l_linenumber") + F.lit(limits)).cast("bigint").alias("limits"))
 
 
 @query("SELECT c_custkey, -c_acctbal AS negated, abs(c_acctbal) AS size, CASE WHEN c_acctbal < 0 THEN -1.0 ELSE 1.0 END::DOUBLE AS sign, c_acctbal >= 0 AS positive, c_acctbal < 0 AS negative, sign(c_nationkey - 12)::INTEGER AS sign_int FROM customer")
@@ -172,22 +175,11 @@ def cast_to_float(spark, d):
     return table(spark, d, "orders").select("o_orderkey", checked_cast(c("o_orderkey"), "i64", "f64").alias("whole"), checked_cast(c("o_totalprice"), "f64", "f32").cast("double").alias("narrowed"))
 
 
-@query(f"SELECT signal_id, len(a)::INTEGER AS n, a[3] AS first, a[6] AS last, 4 AS view_n, a[64] AS kept, 9.0::DOUBLE AS filled, 70 AS resized_n, 0 AS cleared_n, 65 AS appended_n, a[1] AS head FROM {VECTORS}")
-def sig_build(spark, d):
-    a, view, wide = c("a"), A.view(c("a"), 2, 4), A.resize(c("a"), 70, F.lit(9.0))
-    more = A.append(a, F.lit(1.0))
-    return _vectors(spark, d).select("signal_id", A.length(a).alias("n"), F.get(view, 0).alias("first"), F.get(view, 3).alias("last"), F.size(view).alias("view_n"), F.get(wide, 63).alias("kept"), F.get(wide, 69).alias("filled"), F.size(wide).alias("resized_n"), F.size(A.clear(a)).alias("cleared_n"), F.size(more).alias("appended_n"), F.get(A.build(F.get(a, 0)), 0).alias("head"))
-
-
-@query(f"SELECT signal_id, n, s::DOUBLE AS first FROM (SELECT signal_id, count(*)::BIGINT AS n, any_value(sample) FILTER (idx = 0) AS s FROM {EVENTS} GROUP BY signal_id)")
+@query(f"SELECT signal_id, idx::BIGINT AS idx, sample FROM {EVENTS}")
 def sig_collect(spark, d):
+    """Signals as arrays, and each of their elements."""
     held = R.to_arrays(event_signals(spark, d))
-    return held.select("signal_id", F.size("samples").cast("bigint").alias("n"), F.get("samples", 0).alias("first"))
-
-
-@query("SELECT vec_id AS signal_id, embedding[2 * 8 + 3 + 1]::DOUBLE AS item FROM embeddings")
-def nd_index(spark, d):
-    return embedding_signals(spark, d).select("signal_id", A.strided(c("samples"), [F.lit(2), F.lit(3)], [F.lit(8), F.lit(1)]).alias("item"))
+    return held.select("signal_id", F.posexplode("samples").alias("idx", "sample")).select("signal_id", c("idx").cast("bigint").alias("idx"), "sample")
 
 
 @query(f"SELECT signal_id, list_min(a) AS low, list_max(a) AS high, (list_position(a, list_min(a)) - 1)::BIGINT AS argmin, (list_position(a, list_max(a)) - 1)::BIGINT AS argmax, round(list_avg(a), 9) AS mean FROM {VECTORS}")
@@ -208,30 +200,12 @@ def sig_inner_norms(spark, d):
     return _vectors(spark, d).select("signal_id", (F.round(A.inner(a, b), 9) + 0.0).alias("dot"), F.round(A.norm_l2(a), 9).alias("l2"), F.round(A.norm_l1(a), 9).alias("l1"), A.norm_inf(a).alias("linf"))
 
 
-@query(f"SELECT signal_id, round(acos(greatest(-1.0, least(1.0, list_inner_product(a, b) / (sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(b, b)))))), 9) AS angle, round(list_inner_product(a, b) / list_inner_product(b, b) * b[1], 9) + 0.0 AS projected FROM {VECTORS}")
-def sig_angle_project(spark, d):
-    a, b = c("a"), c("b")
-    return _vectors(spark, d).select("signal_id", F.round(A.angle(a, b), 9).alias("angle"), (F.round(F.get(A.project(a, b), 0), 9) + 0.0).alias("projected"))
-
-
-@query(f"SELECT signal_id, a[5] + b[5] AS added, a[5] - b[5] AS taken, a[5] * b[5] AS product, a[5] / b[5] AS quotient, 64 AS n FROM {VECTORS}")
-def sig_pointwise(spark, d):
-    a, b = c("a"), c("b")
-    return _vectors(spark, d).select("signal_id", *[F.get(f(a, b), 4).alias(n) for n, f in (("added", A.sig_add), ("taken", A.sig_sub), ("product", A.sig_mul), ("quotient", A.sig_div))], F.size(A.sig_add(a, b)).alias("n"))
-
-
 @query(f"SELECT signal_id, NULL::DOUBLE AS dot, TRUE AS refused FROM {VECTORS}")
 def sig_mismatch(spark, d):
     part = A.view(c("b"), 0, 10)
     return _vectors(spark, d).select("signal_id", A.inner(c("a"), part, True).alias("dot"), A.sig_add(c("a"), part, True).isNull().alias("refused"))
 
 
-@query(f"SELECT signal_id, a[2] + 2.0::DOUBLE AS added, a[2] - 2.0::DOUBLE AS taken, a[2] * 2.0::DOUBLE AS product, a[2] / 4.0::DOUBLE AS quotient, -a[2] AS negated FROM {VECTORS}")
-def sig_scalar_ops(spark, d):
-    a = c("a")
-    return _vectors(spark, d).select("signal_id", *[F.get(A.scale(a, F.lit(s), o), 1).alias(n) for n, o, s in (("added", "add", 2.0), ("taken", "sub", 2.0), ("product", "mul", 2.0), ("quotient", "div", 4.0))], F.get(A.negate(a), 1).alias("negated"))
-
-
 def _typed(spark, d, kind: str) -> DataFrame:
     return R.from_series(table(spark, d, "events").where(c("event_type") == kind), "user_id", ["ts", "event_id"], "value")
 
@@ -304,18 +278,6 @@ def sig_cumsum(spark, d):
     return _running(spark, d)
 
 
-@query(f"SELECT signal_id, k::INTEGER AS k, round(sum(sample * cos(2 * pi() * k * idx / 8)), 4) + 0.0 AS re, round(-sum(sample * sin(2 * pi() * k * idx / 8)), 4) + 0.0 AS im FROM {EVENTS}, (SELECT unnest(range(8)) AS k) WHERE idx < 8 GROUP BY signal_id, k")
-def dft8(spark, d):
-    got = D.dft(event_signals(spark, d).where("idx < 8"), 8, 8)
-    return got.select("signal_id", "k", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
-
-
-@query(f"SELECT signal_id, k::BIGINT AS k, round(sum(sample * cos(2 * pi() * k * idx / 8)), 4) + 0.0 AS re, round(-sum(sample * sin(2 * pi() * k * idx / 8)), 4) + 0.0 AS im FROM {EVENTS}, (SELECT unnest(range(8)) AS k) WHERE idx < 8 GROUP BY signal_id, k")
-def fft8(spark, d):
-    got = D.fft(event_signals(spark, d).where("idx < 8"))
-    return got.select("signal_id", "k", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
-
-
 OMEGA = 0.25
 
 
@@ -336,15 +298,7 @@ def moving_stats(spark, d):
     return D.moving(event_signals(spark, d), 4, chunk=32).select("signal_id", "idx", F.round("mean", 6).alias("mean"), F.round("rms", 6).alias("rms"))
 
 
-@query(f"SELECT signal_id, idx::BIGINT AS idx, round(sample * (0.5 - 0.5 * cos(2 * pi() * idx / 7)), 6) + 0.0 AS hann, round(sample * (0.54 - 0.46 * cos(2 * pi() * idx / 7)), 6) + 0.0 AS hamming FROM {EVENTS} WHERE idx < 8")
-def windowed(spark, d):
-    rows = event_signals(spark, d).where("idx < 8")
-    at = lambda w: F.element_at(F.array(*map(F.lit, w)), (c("idx") + 1).cast("int"))
-    return rows.select("signal_id", "idx", (F.round(c("sample") * at(D.hann(8)), 6) + 0.0).alias("hann"), (F.round(c("sample") * at(D.hamming(8)), 6) + 0.0).alias("hamming"))
-
-
-# dft8, fft8 and windowed see each user's first eight samples only, as their SQL does; these take
-# all samples in consecutive frames of eight.
+# All samples in consecutive frames of eight.
 _FRAMED = f"SELECT signal_id, (idx // 8)::BIGINT AS frame, k::BIGINT AS k, round(sum(sample * cos(2 * pi() * k * (idx % 8) / 8)), 4) + 0.0 AS re, round(-sum(sample * sin(2 * pi() * k * (idx % 8) / 8)), 4) + 0.0 AS im FROM {EVENTS}, (SELECT unnest(range(8)) AS k) GROUP BY signal_id, idx // 8, k"
 
 
@@ -366,9 +320,13 @@ def windowed_frames(spark, d):
     return D.frames(event_signals(spark, d), 8).select("signal_id", "frame", "idx", (F.round(c("sample") * at(D.hann(8)), 6) + 0.0).alias("hann"), (F.round(c("sample") * at(D.hamming(8)), 6) + 0.0).alias("hamming"))
 
 
-@query("SELECT i::BIGINT AS idx, CASE i % 3 WHEN 0 THEN 1.0 WHEN 1 THEN -2.0 ELSE 0.5 END::DOUBLE AS sample, (i * i)::BIGINT AS square FROM (SELECT unnest(range(1000)) AS i)")
+@query(f"SELECT signal_id, idx::BIGINT AS idx, sample * CASE idx % 3 WHEN 0 THEN 1.0 WHEN 1 THEN -2.0 ELSE 0.5 END::DOUBLE AS cycled, (idx * idx)::BIGINT AS square FROM {EVENTS}")
 def gen_cycle(spark, d):
-    return D.cycle(spark, 1000, [1.0, -2.0, 0.5]).withColumn("square", c("idx") * c("idx"))
+    """Each user's signal times a generated periodic one, beside a procedural one."""
+    rows = event_signals(spark, d)
+    n = (rows.agg(F.max("idx")).first()[0] or 0) + 1
+    made = D.cycle(spark, n, [1.0, -2.0, 0.5]).withColumnRenamed("sample", "carrier").join(D.generate(spark, n, lambda i: i * i).withColumnRenamed("sample", "square"), "idx")
+    return rows.join(made, "idx").select("signal_id", "idx", (c("sample") * c("carrier")).alias("cycled"), "square")
 
 
 @query(f"SELECT signal_id, (idx // 16)::BIGINT AS chunk, count(*)::BIGINT AS n, max(sample) AS peak FROM {EVENTS} GROUP BY signal_id, idx // 16")
@@ -438,18 +396,6 @@ def fm_demod(spark, d):
     return D.frequency(parts, chunk=32).select("signal_id", "idx", (F.round("sample", 6) + 0.0).alias("sample"))
 
 
-@query(f"SELECT signal_id, a[6] - a[5] AS step, round(list_sum(a[1:6]), 9) + 0.0 AS total, round(0.5::DOUBLE * a[4] + 0.25::DOUBLE * a[3], 9) + 0.0 AS filtered, 65 AS filtered_n, round((a[2] + a[3]) / 2, 9) + 0.0 AS between, 128 AS resampled_n FROM {VECTORS}")
-def sig_array_transforms(spark, d):
-    a = c("a")
-    taps = A.convolve(a, F.array(F.lit(0.5), F.lit(0.25)))
-    more = A.resample(a, 2.0)
-    return _vectors(spark, d).select(
-        "signal_id", F.get(A.diff(a), 4).alias("step"), (F.round(F.get(A.running_sum(a), 5), 9) + 0.0).alias("total"),
-        (F.round(F.get(taps, 3), 9) + 0.0).alias("filtered"), F.size(taps).alias("filtered_n"),
-        (F.round(F.get(more, 3), 9) + 0.0).alias("between"), F.size(more).alias("resampled_n"),
-    )
-
-
 @query("SELECT c_custkey, c_custkey::VARCHAR AS u64, (-c_custkey)::VARCHAR AS i128, NULL::VARCHAR AS negative, CASE WHEN c_acctbal > -1 THEN trunc(c_acctbal)::BIGINT::VARCHAR END AS float_u64, trunc(c_acctbal)::BIGINT::VARCHAR AS float_i128 FROM customer")
 def cast_wide(spark, d):
     k, x = c("c_custkey"), c("c_acctbal")
@@ -582,11 +528,22 @@ def graph_dialects(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", columns[0].alias("shifted"), columns[1].alias("added"))
 
 
-@query("SELECT * FROM (VALUES ('bool', 1::BIGINT, 'boolean'), ('i32', 4, 'int'), ('u64', 8, 'decimal(20,0)'), ('f16', 2, 'float'), ('f64', 8, 'double'), ('matrix', 48, 'array<double>'), ('pair', 12, 'struct<_0:int,_1:double>'), ('open', NULL, 'array<int>')) t(type, bytes, spark)")
+@query("""SELECT l_orderkey, l_linenumber, l_quantity > 20 AS bool, l_orderkey::INTEGER AS i32, l_orderkey::BIGINT::VARCHAR AS u64, l_extendedprice::FLOAT::DOUBLE AS f16, l_extendedprice AS f64, l_discount + l_tax AS matrix, l_linenumber::BIGINT + l_quantity AS pair, 2 * l_linenumber::BIGINT AS open,
+(1 + 4 + 8 + 2 + 8 + 48 + 12)::BIGINT AS bytes FROM lineitem""")
 def graph_types(spark, d):
-    """The types' sizes and the Spark types that hold them."""
-    kinds = {"bool": G.Int(1), "i32": G.Int(32), "u64": G.Int(64, False), "f16": G.Float(16), "f64": G.Float(64), "matrix": G.Tensor((2, 3), G.Float(64)), "pair": G.Tuple((G.Int(32), G.Float(64))), "open": G.Tensor((None,), G.Int(32))}
-    return spark.createDataFrame([(n, t.byte_size, t.spark().simpleString()) for n, t in kinds.items()], "type string, bytes long, spark string")
+    """Columns held as the Spark types of the graph's types, whose sizes are summed."""
+    f64, i32 = G.Float(64), G.Int(32)
+    kinds = {"bool": G.Int(1), "i32": i32, "u64": G.Int(64, False), "f16": G.Float(16), "f64": f64, "matrix": G.Tensor((2, 3), f64), "pair": G.Tuple((i32, f64)), "open": G.Tensor((None,), i32)}
+    to = lambda x, n: x.cast(kinds[n].spark())
+    price, line = c("l_extendedprice"), c("l_linenumber")
+    matrix = to(F.array("l_discount", "l_tax", *[F.lit(0.0)] * 4), "matrix")
+    pair, open_ = to(F.struct(line.alias("_0"), c("l_quantity").alias("_1")), "pair"), to(F.array(line, line), "open")
+    shown = {
+        "bool": to(c("l_quantity") > 20, "bool"), "i32": to(c("l_orderkey"), "i32"), "u64": to(c("l_orderkey"), "u64").cast("string"),
+        "f16": to(price, "f16").cast("double"), "f64": to(price, "f64"), "matrix": F.get(matrix, 0) + F.get(matrix, 1),
+        "pair": pair["_0"].cast("bigint") + pair["_1"], "open": F.aggregate(open_, F.lit(0).cast("bigint"), lambda n, x: n + x),
+    }
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[v.alias(n) for n, v in shown.items()], F.lit(sum(t.byte_size or 0 for t in kinds.values())).cast("bigint").alias("bytes"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount < 0.05::DOUBLE THEN l_extendedprice * (1 - l_discount) ELSE l_extendedprice END AS price, l_discount * l_extendedprice AS discount_part, l_tax * l_extendedprice AS tax_part FROM lineitem")
