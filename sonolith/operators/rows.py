@@ -59,6 +59,26 @@ def inner(a: DataFrame, b: DataFrame) -> DataFrame:
     return pointwise(a, b, lambda x, y: x * y).groupBy("signal_id").agg(F.sum("sample").alias("inner"))
 
 
+def _products(a: DataFrame, b: DataFrame) -> DataFrame:
+    """signal_id, ab, aa, bb: inner products, in one pass over both; unequal lengths raise."""
+    both = pointwise(a, b, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))).select("signal_id", "sample.*")
+    x, y = F.col("x"), F.col("y")
+    return both.groupBy("signal_id").agg(F.sum(x * y).alias("ab"), F.sum(x * x).alias("aa"), F.sum(y * y).alias("bb"))
+
+
+def angle(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The angle of the signals of one id, NULL where one is zero."""
+    size = F.sqrt("aa") * F.sqrt("bb")
+    cosine = F.when(size > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("ab") / size)))
+    return _products(a, b).select("signal_id", F.acos(cosine).alias("angle"))
+
+
+def project(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The part of a along b; NULL samples where b is zero."""
+    share = _products(a, b).select("signal_id", F.when(F.col("bb") > 0, F.col("ab") / F.col("bb")).alias("share"))
+    return b.select("signal_id", "idx", "sample").join(share, "signal_id").select("signal_id", "idx", (F.col("sample") * F.col("share")).alias("sample"))
+
+
 def _latched(rows: DataFrame, names: tuple[str, ...], chunk: int) -> DataFrame:
     """Missing samples hold the one before: within a chunk, or the last of earlier chunks."""
     held = rows.withColumn("chunk", F.floor(F.col("idx") / chunk))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sonolith.operators import demodulate as M
 from sonolith.operators import dynamics as L
 from sonolith.operators import filters as I
+from sonolith.operators import rows as R
 from sonolith.operators import spectral as P
 from sonolith.operators import tiles as T
 from sonolith.plans.catalog import EVENTS, ORACLES, QUERIES, _typed, _typed_sql, c, query  # noqa: F401
@@ -181,3 +182,12 @@ def array_reduce(spark, d):
     a = _matrix(spark, d)
     one = lambda op, name: T.to_elements(T.reduce_axis(a, 1, op), (64,)).select(c("index")[0].alias("i"), c("value").alias(name))
     return one("sum", "total").join(one("max", "high"), "i").join(one("min", "low"), "i").select("i", (F.round("total", 6) + 0.0).alias("total"), "high", "low")
+
+
+@query(f"SELECT signal_id, round(acos(greatest(-1, least(1, sum(a.sample * b.sample) / (sqrt(sum(a.sample * a.sample)) * sqrt(sum(b.sample * b.sample)))))), 9) + 0.0 AS angle, round(sum(a.sample * b.sample) / sum(b.sample * b.sample), 9) + 0.0 AS share FROM {EVENTS} a JOIN (SELECT signal_id, idx, sample + idx AS sample FROM {EVENTS}) b USING (signal_id, idx) GROUP BY signal_id")
+def sig_angle_rows(spark, d):
+    """The angle of two signals held as rows, and the share of the second that the first projects to."""
+    rows = event_signals(spark, d)
+    other = rows.withColumn("sample", c("sample") + c("idx"))
+    share = R.project(rows, other).join(other.withColumnRenamed("sample", "b"), ["signal_id", "idx"]).where("b != 0").groupBy("signal_id").agg(F.max(c("sample") / c("b")).alias("share"))
+    return R.angle(rows, other).join(share, "signal_id").select("signal_id", (F.round("angle", 9) + 0.0).alias("angle"), (F.round("share", 9) + 0.0).alias("share"))
