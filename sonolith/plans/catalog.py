@@ -565,3 +565,30 @@ def graph_functions(spark, d):
     m.optimize()
     price, parts = m.columns("main", c("l_extendedprice"), c("l_discount"), F.array("l_discount", "l_tax"))
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", price.alias("price"), F.get(parts, 0).alias("discount_part"), F.get(parts, 1).alias("tax_part"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_discount AS d, exp(l_discount) AS e1, exp(l_tax) AS e2, l_discount < 0.05::DOUBLE AS low FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(2.0::DOUBLE * q * (CASE WHEN low THEN 1.0::DOUBLE - d ELSE 1.0::DOUBLE END) * (e1 + e2), 6) + 0.0 AS by_quantity,
+round(CASE WHEN low THEN -(q * q * (e1 + e2)) ELSE 0.0::DOUBLE END, 6) + 0.0 AS by_rate, round(q * q * (CASE WHEN low THEN 1.0::DOUBLE - d ELSE 1.0::DOUBLE END) * e1, 6) + 0.0 AS by_first, round(q * q * (CASE WHEN low THEN 1.0::DOUBLE - d ELSE 1.0::DOUBLE END) * e2, 6) + 0.0 AS by_second FROM x""")
+def graph_derivatives(spark, d):
+    """Derivatives through a call, a branch and a map, by the adjoints of their functions."""
+    f64 = G.Float(64)
+    two = {"quantity": f64, "rate": f64}
+    m = G.Module()
+    m.define("part", lambda rate, quantity: rate * quantity, {"rate": f64, "quantity": f64})
+    m.define("less_part", lambda quantity, rate: quantity.context.invoke("part", 1.0 - rate, quantity)[0], two)
+    m.define("whole", lambda quantity, rate: quantity, two)
+    m.define("grown", lambda rate, quantity: rate.context.call("exp", rate) * quantity, {"rate": f64, "quantity": f64})
+
+    def slopes(quantity, rate, rates):
+        g = quantity.context
+        (kept,) = g.branch(g.call("less", rate, g.constant(0.05, f64)), "less_part", "whole", quantity, rate)
+        out = kept * g.call("sum", g.each("grown", rates, quantity))
+        return tuple(G.gradient(out, [quantity, rate, rates]))
+
+    m.define("slopes", slopes, {**two, "rates": G.Tensor((2,), f64)})
+    m.validate()
+    m.optimize()
+    quantity, rate, rates = m.columns("slopes", c("l_quantity"), c("l_discount"), F.array("l_discount", "l_tax"))
+    shown = {"by_quantity": quantity, "by_rate": rate, "by_first": F.get(rates, 0), "by_second": F.get(rates, 1)}
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[(F.round(v, 6) + 0.0).alias(n) for n, v in shown.items()])
