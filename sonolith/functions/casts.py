@@ -25,7 +25,10 @@ def _whole_to_decimal(x: Column) -> Column:
 def checked_cast(x: Column, src: str | Num, dst: str | Num) -> Column:
     src, dst = num(src), num(dst)
     if dst.kind == "f":
-        return x.cast(dst.spark)
+        # The optimizer makes of casts from an integer to float and on to double one that keeps all
+        # digits; from a decimal it does not.
+        wide = dst.bits == 32 and src.kind != "f" and 16 < src.bits <= 64
+        return (x.cast("decimal(20,0)") if wide else x).cast(dst.spark)
     if src.kind != "f":
         if dst.bits == 128:
             return F.when(x >= 0, x.cast(dst.spark)) if dst.kind == "u" else x.cast(dst.spark)

@@ -185,9 +185,16 @@ def mul(a: Column, b: Column, t: str = "i128", mode: str = "strict") -> Column:
     x, y = (size(a), size(b)) if t == "i128" else (a, b)
 
     def product(both: Column) -> Column:
-        p, q = _limbs(both["x"], 16), _limbs(both["y"], 16)
-        columns = [sum((p[i] * q[k - i] for i in range(max(0, k - 7), min(7, k) + 1)), _lit(0)) for k in range(15)]
-        return F.array(*_carried([*columns, _lit(0)], 16))
+        p, q = ([F.get(both[n], F.lit(k)) for k in range(8)] for n in ("x", "y"))
+        columns = F.array(*[sum((p[i] * q[k - i] for i in range(max(0, k - 7), min(7, k) + 1)), _lit(0)) for k in range(15)], _lit(0))
+        # A fold carries each sum once; nested expressions would compute those below again for each limb.
+        start = F.struct(_lit(0).alias("carry"), F.array().cast("array<bigint>").alias("out"))
+
+        def step(acc: Column, column: Column) -> Column:
+            total = acc["carry"] + column
+            return F.struct(F.shiftright(total, 16).alias("carry"), F.concat(acc["out"], F.array(total.bitwiseAND(_lit(MASK16)))).alias("out"))
+
+        return F.aggregate(columns, start, step)["out"]
 
     def checked(limbs: Column) -> Column:
         whole = [F.get(limbs, F.lit(k)) for k in range(16)]
@@ -202,7 +209,8 @@ def mul(a: Column, b: Column, t: str = "i128", mode: str = "strict") -> Column:
 
         return _let(value, signed)
 
-    some = F.struct(x.alias("x"), y.alias("y"))
+    sizes = F.struct(x.alias("x"), y.alias("y"))
+    some = _let(sizes, lambda v: F.struct(F.array(*_limbs(v["x"], 16)).alias("x"), F.array(*_limbs(v["y"], 16)).alias("y")))
     return F.when(a.isNotNull() & b.isNotNull(), _let(_let(some, product), checked))
 
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonolith.functions import bits as B
+from sonolith.functions import registry
 from sonolith.functions import scalar as S
+from sonolith.functions import wide as W
 from sonolith.functions.casts import checked_cast
 from sonolith.functions.composite import c_abs, c_mul, complex_of, fixed
 from sonolith.functions.numtypes import CONSTANTS, num
@@ -592,3 +595,126 @@ def graph_derivatives(spark, d):
     quantity, rate, rates = m.columns("slopes", c("l_quantity"), c("l_discount"), F.array("l_discount", "l_tax"))
     shown = {"by_quantity": quantity, "by_rate": rate, "by_first": F.get(rates, 0), "by_second": F.get(rates, 1)}
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[(F.round(v, 6) + 0.0).alias(n) for n, v in shown.items()])
+
+
+# 128-bit integers of two limbs, casts from every kind of source, user functions
+
+#: Texts of DuckDB for 2^64, the two limbs of a HUGEINT, and a HUGEINT from two limbs.
+LIMB = "18446744073709551616::HUGEINT"
+
+
+def _halves(x: str, name: str) -> str:
+    low = f"(({x}) - (({x}) >> 64) * {LIMB})"
+    return f"(({x}) >> 64)::BIGINT AS {name}_high, CASE WHEN {low} >= 9223372036854775808::HUGEINT THEN {low} - {LIMB} ELSE {low} END::BIGINT AS {name}_low"
+
+
+def _huge(high: str, low: str) -> str:
+    return f"(({high})::HUGEINT * {LIMB} + CASE WHEN ({low}) < 0 THEN ({low})::HUGEINT + {LIMB} ELSE ({low})::HUGEINT END)"
+
+
+def _limb_columns(**wide: Column) -> list[Column]:
+    return [v[half].alias(f"{n}_{half}") for n, v in wide.items() for half in ("high", "low")]
+
+
+@query(f"""WITH x AS (SELECT l_orderkey, l_linenumber, {_huge("l_orderkey - 7000", "l_suppkey * -1000003 + l_linenumber::BIGINT * 100000000000")} AS a, {_huge("l_partkey", "l_linenumber::BIGINT * -1000000007")} AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, {_halves("a + b", "sum")}, {_halves("a - b", "gap")}, {_halves("-a", "minus")}, a < b AS below FROM x""")
+def wide_sums(spark, d):
+    """128-bit integers of two limbs: sums, differences, negation and order."""
+    a = W.of(c("l_orderkey") - 7000, c("l_suppkey") * -1000003 + c("l_linenumber").cast("bigint") * 100000000000)
+    b = W.of(c("l_partkey"), c("l_linenumber").cast("bigint") * -1000000007)
+    held = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", a.alias("a"), b.alias("b"))
+    a, b = c("a"), c("b")
+    found = _limb_columns(sum=W.add(a, b), gap=W.sub(a, b), minus=W.neg(a))
+    return held.select("l_orderkey", "l_linenumber", *found, W.less(a, b).alias("below"))
+
+
+@query(f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_linenumber * 17 AS n, l_partkey::HUGEINT AS small, {_huge("l_orderkey - 7000", "l_suppkey * -1000003")} AS a, {_huge("l_partkey", "l_linenumber::BIGINT * -1000000007")} AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, {_halves("xor(a, b)", "xor")}, {_halves("a & b", "both")}, {_halves("a | b", "any")}, {_halves("a >> n", "right")}, {_halves("small << (l_linenumber * 13)", "left")}, bit_count(a)::INTEGER AS ones FROM x""")
+def wide_bits(spark, d):
+    """Bits and shifts of 128-bit integers, by another count in each row."""
+    a = W.of(c("l_orderkey") - 7000, c("l_suppkey") * -1000003)
+    b = W.of(c("l_partkey"), c("l_linenumber").cast("bigint") * -1000000007)
+    held = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", a.alias("a"), b.alias("b"), W.from_long(c("l_partkey")).alias("small"))
+    a, b = c("a"), c("b")
+    found = _limb_columns(xor=W.bit_xor(a, b), both=W.bit_and(a, b), any=W.bit_or(a, b), right=W.shift_right(a, c("l_linenumber") * 17), left=W.shift_left(c("small"), c("l_linenumber") * 13))
+    return held.select("l_orderkey", "l_linenumber", *found, W.count_ones(a).cast("int").alias("ones"))
+
+
+@query(f"""WITH x AS (SELECT l_orderkey, l_linenumber, -(l_orderkey * 1000000007 + l_linenumber)::HUGEINT * (l_partkey * 1000000007 + l_suppkey)::HUGEINT AS p FROM lineitem)
+SELECT l_orderkey, l_linenumber, {_halves("p", "product")} FROM x""")
+def wide_products(spark, d):
+    a = -(c("l_orderkey") * 1000000007 + c("l_linenumber"))
+    b = c("l_partkey") * 1000000007 + c("l_suppkey")
+    held = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", W.from_long(a).alias("a"), W.from_long(b).alias("b"))
+    held = held.select("l_orderkey", "l_linenumber", W.mul(c("a"), c("b")).alias("product"))
+    return held.select("l_orderkey", "l_linenumber", *_limb_columns(product=c("product")))
+
+
+@query(f"""WITH x AS (SELECT c_custkey, {_huge("c_custkey * 1000003 - 500000000", "c_custkey * -1000000007")} AS a, c_custkey * 7919::HUGEINT + 3 AS b FROM customer)
+SELECT c_custkey, a::VARCHAR AS text, (a // b)::VARCHAR AS quotient, (a % b)::VARCHAR AS remainder, {_halves("a", "parsed")} FROM x""")
+def wide_texts(spark, d):
+    """Quotients, remainders and decimal texts, written and read, stage by stage."""
+    held = table(spark, d, "customer").select("c_custkey", W.of(c("c_custkey") * 1000003 - 500000000, c("c_custkey") * -1000000007).alias("a"), W.from_long(c("c_custkey") * 7919 + 3).alias("b"))
+    held = held.select("c_custkey", W.to_text(c("a")).alias("text"), W.div_rem(c("a"), c("b")).alias("parts"))
+    held = held.select("c_custkey", "text", W.to_text(c("parts")["q"]).alias("quotient"), W.to_text(c("parts")["r"]).alias("remainder"), W.from_text(c("text")).alias("parsed"))
+    return held.select("c_custkey", "text", "quotient", "remainder", *_limb_columns(parsed=c("parsed")))
+
+
+#: The values that casts begin with, by type, as SQL of both engines, and DuckDB's types.
+CAST_SOURCES = {"i8": "c_custkey % 256 - 128", "i16": "c_custkey % 65536 - 700", "i32": "c_custkey * 100000 - 70000000", "i64": "c_custkey * 10000000000 - 7000000000000", "u8": "c_custkey % 256", "u16": "c_custkey % 65536", "u32": "c_custkey * 1000003", "f32": "c_acctbal"}
+CAST_TARGETS = {"i8": "TINYINT", "i16": "SMALLINT", "i32": "INTEGER", "i64": "BIGINT", "i128": "HUGEINT", "u8": "UTINYINT", "u16": "USMALLINT", "u32": "UINTEGER", "u64": "UBIGINT", "u128": "UHUGEINT", "f32": "FLOAT", "f64": "DOUBLE"}
+
+
+def _cast_sql(sources: dict[str, str]) -> str:
+    out = []
+    for s, v in sources.items():
+        held = f"({v})::{CAST_TARGETS[s]}"
+        for t, kind in CAST_TARGETS.items():
+            whole = f"trunc({held})" if s[0] == "f" and t[0] != "f" else held
+            out.append(f"TRY_CAST({whole} AS {kind})::{'DOUBLE' if t[0] == 'f' else 'VARCHAR'} AS {s}_{t}")
+    return f"SELECT c_custkey, {', '.join(out)} FROM customer"
+
+
+@query(_cast_sql(CAST_SOURCES))
+def cast_sources(spark, d):
+    """Narrow, unsigned and single-precision sources to every target."""
+    held = table(spark, d, "customer").select("c_custkey", *[F.expr(v).cast(num(s).spark).alias(s) for s, v in CAST_SOURCES.items()])
+    to = lambda s, t: checked_cast(c(s), s, t).cast("double" if t[0] == "f" else "string").alias(f"{s}_{t}")
+    return held.select("c_custkey", *[to(s, t) for s in CAST_SOURCES for t in CAST_TARGETS])
+
+
+#: u64 near its end on even keys, and 128 bits beyond 64, up to Spark's 38 digits.
+WIDE_SOURCES = {"u64": "CASE WHEN c_custkey % 2 = 0 THEN 18446744073709551615 - c_custkey ELSE c_custkey END", "i128": "CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey * 100000000000000000000000 END", "u128": "CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_custkey * 100000000000000000000000 END"}
+
+
+@query(_cast_sql({s: v.replace("ELSE c_custkey *", "ELSE c_custkey::HUGEINT *") for s, v in WIDE_SOURCES.items()}))
+def cast_wide_sources(spark, d):
+    held = table(spark, d, "customer").select("c_custkey", *[F.expr(v).cast(num(s).spark).alias(s) for s, v in WIDE_SOURCES.items()])
+    to = lambda s, t: checked_cast(c(s), s, t).cast("double" if t[0] == "f" else "string").alias(f"{s}_{t}")
+    return held.select("c_custkey", *[to(s, t) for s in WIDE_SOURCES for t in CAST_TARGETS])
+
+
+def _weighted(value: pd.Series, weight: pd.Series) -> float:
+    return float(((value**2 * weight).sum() / weight.sum()) ** 0.5)
+
+
+def _divisors(n: int):
+    yield from ((k, n // k) for k in range(1, n + 1) if n % k == 0)
+
+
+USER_FUNCTIONS = (registry.register("weighted_rms", "aggregate", _weighted, "double"), registry.register("divisors", "table", _divisors, "divisor int, cofactor int"))
+
+
+@query("SELECT l_partkey, round(sqrt(sum(l_extendedprice * l_extendedprice * l_quantity) / sum(l_quantity)), 6) + 0.0 AS price FROM lineitem GROUP BY l_partkey")
+def user_aggregate(spark, d):
+    """A user's aggregate in SQL; a group is the lines of one part."""
+    registry.install(spark)
+    lines = table(spark, d, "lineitem").select("l_partkey", "l_extendedprice", "l_quantity")
+    return spark.sql("SELECT l_partkey, round(weighted_rms(l_extendedprice, l_quantity), 6) + 0.0D AS price FROM {lines} GROUP BY l_partkey", lines=lines)
+
+
+@query("SELECT p_partkey, k::INTEGER AS divisor, (p_size // k)::INTEGER AS cofactor FROM part, unnest(range(1, p_size + 1)) u(k) WHERE p_size % k = 0")
+def user_table_function(spark, d):
+    """A user's table function in SQL, over every part."""
+    registry.install(spark)
+    return spark.sql("SELECT p_partkey, t.divisor, t.cofactor FROM {parts} p, LATERAL divisors(p.p_size) t", parts=table(spark, d, "part").select("p_partkey", "p_size"))
