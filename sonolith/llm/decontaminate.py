@@ -32,20 +32,37 @@ def tokens(text: Column) -> Column:
 
 
 def _seeds(toks: Column, at: Column, masks: tuple[str, ...]) -> Column:
-    """Hashes of all masks at a position; null where a mask runs over the end."""
+    """(seed, again) of all masks at a position: the hash, null where a mask runs over the end,
+    and whether the position before has the same one."""
+
+    def seed(k: int, mask: str, start: Column) -> Column:
+        return F.xxhash64(F.lit(k), *[F.get(toks, start + j) for j, bit in enumerate(mask) if bit == "1"])
+
     out = []
     for k, mask in enumerate(masks):
-        picked = [F.get(toks, at + j) for j, bit in enumerate(mask) if bit == "1"]
-        out.append(F.when(at + len(mask) <= F.size(toks), F.xxhash64(F.lit(k), *picked)))
+        # Each mask begins with a one, so that only a repeated word needs the hash before.
+        again = (F.get(toks, at - 1) == F.get(toks, at)) & (seed(k, mask, at - 1) == seed(k, mask, at))
+        here = F.when(at + len(mask) <= F.size(toks), seed(k, mask, at))
+        out.append(F.struct(here.alias("seed"), F.coalesce(again, F.lit(False)).alias("again")))
     return F.array(*out)
 
 
+def _hits(same: Column) -> Column:
+    """The seeds that agree within an alignment; an item shorter than the masks agrees whole."""
+    at = lambda i: sum((reduce(lambda x, y: x * y, [F.get(same, i + j) for j, bit in enumerate(mask) if bit == "1"]) for mask in MASKS), F.lit(0))
+    many = F.aggregate(F.sequence(F.lit(0), F.size(same) - SPAN), F.lit(0).cast("long"), lambda n, i: n + at(i))
+    return F.when(F.size(same) >= SPAN, many).otherwise(F.lit(1).cast("long"))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS, most_blocks: int = BLOCKS) -> DataFrame:
     """doc_id, text_hash, item_id, matched (share of equal tokens in the best window), hits; one row per pair.
 
     A benchmark of at most broadcast_seeds * most_blocks seeds is broadcast in blocks
     of that size; a larger one is joined by a shuffle of the seeds of both sides. The
-    items themselves join what is left once hits are grouped by alignment.
+    items themselves join what is left once hits are grouped by alignment. Where a seed
+    repeats at neighbouring places of a text and of an item, only hits at the first place
+    of either run are made: they have every alignment of the two runs, in number the sum
+    of their lengths and not the product.
     """
     items = benchmark.select(F.col(item_key).alias("item_id"), tokens(F.col(item_text)).alias("item")).where(F.size("item") > 0)
     items = stable(items.select(F.xxhash64("item_id", "item").alias("own"), "item_id", "item").distinct(), "items")
@@ -54,13 +71,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     seeds = items.withColumn("j", F.explode_outer(F.sequence(F.lit(0), F.size("item") - 1)))
     # A contiguous mask stands for whole items of its length only.
     whole_only = F.array(*[F.lit(len(m)) if k >= len(MASKS) else F.lit(0) for k, m in enumerate(masks)])
-    seeds = seeds.select("own", F.size("item").alias("n"), "j", F.posexplode(_seeds(F.col("item"), F.col("j"), masks)).alias("k", "seed")).where(F.col("seed").isNotNull() & ((F.get(whole_only, "k") == 0) | (F.get(whole_only, "k") == F.col("n"))))
-    seeds = stable(seeds.select("seed", "own", "n", "j", "k").distinct(), "seeds")
+    seeds = seeds.select("own", F.size("item").alias("n"), "j", F.posexplode(_seeds(F.col("item"), F.col("j"), masks)).alias("k", "at")).select("own", "n", "j", "k", "at.*").where(F.col("seed").isNotNull() & ((F.get(whole_only, "k") == 0) | (F.get(whole_only, "k") == F.col("n"))))
+    # A text's first place of a run meets all of an item's, its others only the item's first.
+    meets = F.explode(F.when(F.col("again"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))
+    seeds = stable(seeds.select("seed", meets.alias("again"), "own", "n", "j").distinct(), "seeds")
     blocks = max(1, -(-seeds.count() // broadcast_seeds))
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), tokens(F.col(text)).alias("toks"))
     least = min(map(len, masks))
     at = rows.withColumn("i", F.explode_outer(F.when(F.size("toks") >= least, F.sequence(F.lit(0), F.size("toks") - least)))).where("i is not null")
-    at = at.withColumn("seed", F.explode_outer(_seeds(F.col("toks"), F.col("i"), masks))).where("seed is not null")
+    at = at.withColumn("at", F.explode_outer(_seeds(F.col("toks"), F.col("i"), masks))).select("*", "at.*").where("seed is not null")
     shift = (F.col("i") - F.col("j")).alias("shift")
     # Only the aligned part of a text goes on; hits of one alignment meet before they are verified.
     low, high = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("toks"), F.col("shift") + F.col("n"))
@@ -68,17 +87,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     alignment = ("doc_id", "text_hash", "own", "n", "shift")
     if blocks <= most_blocks:
         block = lambda b: seeds if blocks == 1 else seeds.where(F.pmod("seed", F.lit(blocks)) == b)
-        hits = reduce(DataFrame.unionByName, [at.join(F.broadcast(block(b)), "seed") for b in range(blocks)])
+        hits = reduce(DataFrame.unionByName, [at.join(F.broadcast(block(b)), ["seed", "again"]) for b in range(blocks)])
         hits = hits.select("doc_id", "text_hash", "own", "n", "toks", shift).select(*alignment, part)
-        lines = hits.groupBy(*alignment).agg(F.first("part").alias("part"), F.count(F.lit(1)).alias("hits"))
+        lines = hits.groupBy(*alignment).agg(F.first("part").alias("part"))
     else:
-        hits = at.select("doc_id", "text_hash", "i", "seed").join(seeds, "seed").select("doc_id", "text_hash", "own", "n", shift)
-        lines = hits.groupBy(*alignment).agg(F.count(F.lit(1)).alias("hits"))
-        lines = stable(lines, "alignments")
+        hits = at.select("doc_id", "text_hash", "i", "seed", "again").join(seeds, ["seed", "again"]).select("doc_id", "text_hash", "own", "n", shift)
+        lines = stable(hits.distinct(), "alignments")
         hit = lines.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
         alike = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
         texts = rows.join(hit, alike, "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.first("toks").alias("toks"))
-        lines = lines.join(texts, alike).select(*alignment, part, "hits")
+        lines = lines.join(texts, alike).select(*alignment, part)
     lines = lines.join(items, "own").drop("own", "n")
     item = F.slice("item", F.greatest(F.lit(1), 1 - F.col("shift")), F.size("part"))
     same = F.transform(F.zip_with(item, "part", lambda x, y: x == y), lambda x: x.cast("int"))
@@ -86,7 +104,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - F.col("size") + 1), lambda k: F.aggregate(F.slice("same", k, F.col("size")), F.lit(0), lambda n, x: n + x)))
     lines = lines.withColumn("matched", best / F.col("size"))
     lines = lines.where((F.col("matched") >= LEAST_SHARE) & (F.col("size") >= F.least(F.lit(LEAST_WINDOW), F.size("item"))))
-    return lines.groupBy("doc_id", "text_hash", "item_id").agg(F.max("matched").alias("matched"), F.sum("hits").alias("hits"))
+    return lines.groupBy("doc_id", "text_hash", "item_id").agg(F.max("matched").alias("matched"), F.sum(_hits(F.col("same"))).alias("hits"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -227,3 +227,62 @@ def test_ties_leave_frequent_words(spark, monkeypatch):
     monkeypatch.setattr(markov, "FREQUENT", 64)
     model, rest = markov.fit(docs_of(spark, [" ".join(f"w{k}" for k in range(1000))]))
     assert 30 < len(model.index) < 110 and len(model.index) + rest.count() == 1000
+
+
+def _plain_overlaps(doc, item):
+    """matched and hits over all alignments that share a seed, by plain loops."""
+    from sonolith.llm import decontaminate as C
+
+    best, hits = 0.0, 0
+    for shift in range(-len(item) + 1, len(doc)):
+        low, high = max(0, shift), min(len(doc), shift + len(item))
+        same = [doc[i] == item[i - shift] for i in range(low, high)]
+        if len(item) < C.SPAN:
+            own = int(len(same) == len(item) and all(same))
+        else:
+            own = sum(all(same[i + j] for j, b in enumerate(m) if b == "1") for m in C.MASKS for i in range(len(same) - C.SPAN + 1))
+        size = min(C.WINDOW, len(same))
+        if own and size >= min(C.LEAST_WINDOW, len(item)):
+            share = max(sum(same[k : k + size]) for k in range(len(same) - size + 1)) / size
+            if share >= C.LEAST_SHARE:
+                best, hits = max(best, share), hits + own
+    return best, hits
+
+
+def test_decontamination_of_repeated_words(spark):
+    """Runs of equal words on either side have all their alignments and hits, by a broadcast and by a shuffle."""
+    import random
+
+    from sonolith.llm import decontaminate as C
+
+    rng = random.Random(4)
+    docs = ["w " * 60, "a b " * 30, "x " + "w " * 25 + "y z " + "w " * 14, "w w w b w w w w w w w w w w " * 3, "w " * 9, "q r s " * 9]
+    docs += [" ".join(rng.choice("wwwwb") for _ in range(50)) for _ in range(12)]
+    items = ["w " * 40, "w " * 15 + "b " + "w " * 12, "b " * 12, "w " * 5, "a b " * 10, " ".join(rng.choice("wwwwwb") for _ in range(30))]
+    held = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {}
+    for d, x in enumerate(docs):
+        for k, y in enumerate(items):
+            found = _plain_overlaps(x.split(), y.split())
+            if found[1]:
+                want[d, k] = found
+    assert want
+    for most in (16, 0):
+        got = {(r["doc_id"], r["item_id"]): (r["matched"], r["hits"]) for r in C.overlaps(held, bench, most_blocks=most).collect()}
+        assert got == want
+
+
+def test_decontamination_grows_with_a_repeated_word(spark):
+    """A text of 20,000 equal words meets an item of 40 at as many alignments as both have words."""
+    from sonolith.llm import decontaminate as C
+
+    held = spark.createDataFrame([(1, "w " * 20_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "w " * 40)], "item_id long, text string")
+    (r,) = C.overlaps(held, bench).collect()
+    assert (r["matched"], r["hits"]) == (1.0, 3 * 19_991 * 31 - _short_windows(C))
+
+
+def _short_windows(C):
+    """Hits of the alignments at a text's ends that have too few words to count."""
+    return sum(2 * 3 * (n - C.SPAN + 1) for n in range(C.SPAN, C.LEAST_WINDOW))
