@@ -32,21 +32,20 @@ def tokens(text: Column) -> Column:
 
 
 def _seeds(toks: Column, at: Column, masks: tuple[str, ...]) -> Column:
-    """(seed, again) of all masks at a position: the hash, null where a mask runs over the end,
-    and whether the position before has the same one."""
-
-    def seed(k: int, mask: str, start: Column) -> Column:
-        return F.xxhash64(F.lit(k), *[F.get(toks, start + j) for j, bit in enumerate(mask) if bit == "1"])
-
+    """Hashes of all masks at a position; null where a mask runs over the end."""
     out = []
     for k, mask in enumerate(masks):
-        # Each mask begins with a one, so that only a repeated word needs the hash before.
-        again = (F.get(toks, at - 1) == F.get(toks, at)) & (seed(k, mask, at - 1) == seed(k, mask, at))
-        here = F.when(at + len(mask) <= F.size(toks), seed(k, mask, at))
-        out.append(F.struct(here.alias("seed"), F.coalesce(again, F.lit(False)).alias("again")))
+        picked = [F.get(toks, at + j) for j, bit in enumerate(mask) if bit == "1"]
+        out.append(F.when(at + len(mask) <= F.size(toks), F.xxhash64(F.lit(k), *picked)))
     return F.array(*out)
 
 
+def _again(toks: Column, at: Column) -> Column:
+    """Whether one word fills the masks at a position and at the one before, whose seeds are
+    then the same. Most texts end the comparison at its first pair of words."""
+    return F.coalesce(reduce(lambda x, y: x & y, [F.get(toks, at + j - 1) == F.get(toks, at + j) for j in range(SPAN)]), F.lit(False))
+
+
 def _hits(same: Column) -> Column:
     """The seeds that agree within an alignment; an item shorter than the masks agrees whole."""
     at = lambda i: sum((reduce(lambda x, y: x * y, [F.get(same, i + j) for j, bit in enumerate(mask) if bit == "1"]) for mask in MASKS), F.lit(0))
@@ -59,9 +58,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
 
     A benchmark of at most broadcast_seeds * most_blocks seeds is broadcast in blocks
     of that size; a larger one is joined by a shuffle of the seeds of both sides. The
-    items themselves join what is left once hits are grouped by alignment. Where a seed
-    repeats at neighbouring places of a text and of an item, only hits at the first place
-    of either run are made: they have every alignment of the two runs, in number the sum
+    items themselves join what is left once hits are grouped by alignment. Where one word
+    repeats in a text and in an item, only hits at the first place of either run are made: they have every alignment of the two runs, in number the sum
     of their lengths and not the product.
     """
     items = benchmark.select(F.col(item_key).alias("item_id"), tokens(F.col(item_text)).alias("item")).where(F.size("item") > 0)
@@ -71,7 +69,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     seeds = items.withColumn("j", F.explode_outer(F.sequence(F.lit(0), F.size("item") - 1)))
     # A contiguous mask stands for whole items of its length only.
     whole_only = F.array(*[F.lit(len(m)) if k >= len(MASKS) else F.lit(0) for k, m in enumerate(masks)])
-    seeds = seeds.select("own", F.size("item").alias("n"), "j", F.posexplode(_seeds(F.col("item"), F.col("j"), masks)).alias("k", "at")).select("own", "n", "j", "k", "at.*").where(F.col("seed").isNotNull() & ((F.get(whole_only, "k") == 0) | (F.get(whole_only, "k") == F.col("n"))))
+    seeds = seeds.select("own", F.size("item").alias("n"), "j", F.posexplode(_seeds(F.col("item"), F.col("j"), masks)).alias("k", "seed"), _again(F.col("item"), F.col("j")).alias("again")).where(F.col("seed").isNotNull() & ((F.get(whole_only, "k") == 0) | (F.get(whole_only, "k") == F.col("n"))))
     # A text's first place of a run meets all of an item's, its others only the item's first.
     meets = F.explode(F.when(F.col("again"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))
     seeds = stable(seeds.select("seed", meets.alias("again"), "own", "n", "j").distinct(), "seeds")
@@ -79,7 +77,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), tokens(F.col(text)).alias("toks"))
     least = min(map(len, masks))
     at = rows.withColumn("i", F.explode_outer(F.when(F.size("toks") >= least, F.sequence(F.lit(0), F.size("toks") - least)))).where("i is not null")
-    at = at.withColumn("at", F.explode_outer(_seeds(F.col("toks"), F.col("i"), masks))).select("*", "at.*").where("seed is not null")
+    at = at.withColumn("again", _again(F.col("toks"), F.col("i")))
+    at = at.withColumn("seed", F.explode_outer(_seeds(F.col("toks"), F.col("i"), masks))).where("seed is not null")
     shift = (F.col("i") - F.col("j")).alias("shift")
     # Only the aligned part of a text goes on; hits of one alignment meet before they are verified.
     low, high = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("toks"), F.col("shift") + F.col("n"))
