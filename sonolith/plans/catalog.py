@@ -597,6 +597,68 @@ def graph_derivatives(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[(F.round(v, 6) + 0.0).alias(n) for n, v in shown.items()])
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_quantity::BIGINT // l_linenumber AS quotient, l_quantity::BIGINT AS again, l_quantity::BIGINT - l_quantity::BIGINT % l_linenumber AS whole, (l_quantity::BIGINT % l_linenumber) ** 2::BIGINT AS square,
+l_quantity::BIGINT // l_linenumber * l_linenumber + l_orderkey AS moved, l_quantity::BIGINT - l_orderkey AS short, l_orderkey * l_orderkey AS other_square, 'add:1 sub:1 mul:0 mul:1' AS places, '' AS left_over, 1::INTEGER AS result, 4::INTEGER AS uses FROM lineitem""")
+def graph_uses(spark, d):
+    """A division with two results. The users of its remainder are found by their places,
+    then all take another value; the values that they had stay in columns lowered before."""
+    i64 = G.Int(64)
+    own = G.Dialect("own", dict(G.STANDARD.ops))
+    own.register("divided", G.Spec(2, lambda a, b: (S.div(a, b, "i64"), S.rem(a, b, "i64"))))
+    x = G.Context(own)
+    quantity, line, key = (x.argument(n, i64) for n in ("l_quantity", "l_linenumber", "l_orderkey"))
+    quotient, remainder = map(x.value, x.build("divided", [quantity, line], [i64, i64]).results)
+    roots = [quotient * line + remainder, quantity - remainder, remainder * remainder]
+    again, whole, square = G.lower(roots)
+    places = " ".join(f"{x.operation(u.op).opcode}:{u.position}" for u in x.uses(remainder.id))
+    x.replace_all_uses(remainder, key)
+    moved, short, other = G.lower(roots)
+    shown = {"quotient": G.lower([quotient])[0], "again": again, "whole": whole, "square": square, "moved": moved, "short": short, "other_square": other}
+    left_over = " ".join(x.operation(u.op).opcode for u in x.uses(remainder.id))
+    facts = {"places": places, "left_over": left_over, "result": x.kind(remainder.id)[1], "uses": len(key.uses)}
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[v.alias(n) for n, v in shown.items()], *[F.lit(v).alias(n) for n, v in facts.items()])
+
+
+def _adjusted(x: Column, shift: int, factor: float, negate: bool, form: str, to: G.Type) -> Column:
+    y = (x + shift) * factor
+    y = -y if negate else y
+    return {"plain": y, "size": F.abs(y)}[form].cast(to.spark())
+
+
+@query("""SELECT l_orderkey, l_linenumber, trunc(abs((l_extendedprice - 3000) * 0.5::DOUBLE))::BIGINT AS whole, (l_extendedprice + 7) * 2.0::DOUBLE AS twice, (-((l_extendedprice + 7) * 2.0::DOUBLE))::FLOAT::DOUBLE AS narrow, 3::INTEGER AS operations FROM lineitem""")
+def graph_attributes(spark, d):
+    """One operation under attributes of each kind; alike in all of them, two become one."""
+    f64 = G.Float(64)
+    own = G.Dialect("own", dict(G.STANDARD.ops))
+    own.register("adjusted", G.Spec(1, _adjusted, infer=lambda types, attrs: attrs["to"]))
+    x = G.Context(own)
+    price = x.argument("l_extendedprice", f64)
+    up = {"shift": 7, "factor": 2.0, "form": "plain"}
+    whole = x.call("adjusted", price, shift=-3000, factor=0.5, negate=True, form="size", to=G.Int(64))
+    twice, same = (x.call("adjusted", price, **up, negate=False, to=f64) for _ in range(2))
+    narrow = x.call("adjusted", price, **up, negate=True, to=G.Float(32))
+    roots = G.run_passes(x, [whole, twice, narrow, same])
+    columns = G.lower(roots)
+    half = (columns[1] + columns[3]) / 2
+    n = len({x.kind(r.id)[0] for r in roots})
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", columns[0].alias("whole"), half.alias("twice"), columns[2].cast("double").alias("narrow"), F.lit(n).alias("operations"))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding, unnest(range(0, 64)) AS k FROM embeddings)
+SELECT vec_id, k::INTEGER AS place, embedding[(k % 16) // 8 * 32 + k % 8 * 4 + k // 16 + 1]::DOUBLE AS value, embedding[k + 1]::DOUBLE AS back FROM e""")
+def graph_layouts(spark, d):
+    """Vectors read as images of 2 by 8 pixels with four channels, moved from pixels to planes and back."""
+    x = G.Context()
+    pixels, planes = (G.Opaque("core", "layout", G.Layout(t)) for t in ("HWC", "CHW"))
+    sizes = (("H", 2), ("W", 8), ("C", 4))
+    held = x.argument("embedding", G.Tensor((64,), G.Float(32)))
+    moved = x.call("relayout", held, sizes=sizes, source=pixels, target=planes)
+    back = x.call("relayout", moved, sizes=sizes, source=planes, target=pixels)
+    value, again = G.lower([moved, back])
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.arrays_zip(value.alias("value"), again.alias("back"))).alias("place", "at"))
+    return rows.select("vec_id", "place", c("at.value").cast("double").alias("value"), c("at.back").cast("double").alias("back"))
+
+
 # 128-bit integers of two limbs, casts from every kind of source, user functions
 
 #: Texts of DuckDB for 2^64, the two limbs of a HUGEINT, and a HUGEINT from two limbs.
