@@ -9,6 +9,13 @@ these by brute force of their whole sets. A link is counted in the first bucket
 which its sets meet, without listing pairs. Runs repeat until a link at the threshold
 is missed with less than 1 - RECALL; sketches lose one with less than SKETCH_LOSS.
 
+A bucket of more than BLOCK sets gives a centre, the shingles that most of some of its
+sets have. Sets within half the threshold's distance of one centre are a core: by the
+triangle inequality, which Jaccard distance keeps, they are all linked, so their links
+are sums and they are never compared with each other. A cluster of near copies is such
+a core but for its outer members, whose cost stays the product of their number and the
+bucket's. The centre decides nothing but the work: any would give the same links.
+
 Defined results: null text is empty; texts under five words have one shingle of all
 their words; texts without words are copies of each other; ids may repeat or be null
 (each row counts); an empty table gives no rows; other columns are ignored.
@@ -35,6 +42,8 @@ LEVEL = 0.8
 COORDINATES, SMALL, DEPTH, BLOCK = 64, 128, 4, 1024
 SKETCH_LOSS = 1e-5
 BITMAP = 1 << 26
+#: Sets of a large bucket that settle its centre, about.
+CENTRED = 64
 _WORD = re.compile(r"\w+")
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -148,9 +157,10 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None, columns: in
     return out.astype(np.int64)
 
 
-def brute_force(leaf: int, keys: list[bytes], weights: np.ndarray, sets: list[np.ndarray], leaves: list[np.ndarray], sides: np.ndarray | None) -> list[tuple[bytes, bytes, int]]:
+def brute_force(leaf: int, keys: list[bytes], weights: np.ndarray, sets: list[np.ndarray], leaves: list[np.ndarray], sides: np.ndarray | None, cores: np.ndarray | None = None) -> list[tuple[bytes, bytes, int]]:
     """(key, least key that it reaches here, linked documents first met here) of the
-    linked members. sides: 0 or 1 where only pairs across two blocks are compared."""
+    linked members. sides: 0 or 1 where only pairs across two blocks are compared.
+    cores: numbers of their cores, below 0 for none; pairs of one core are not counted."""
     n = np.array([len(s) for s in sets])
     if sides is None:
         a = b = np.arange(len(keys))
@@ -171,6 +181,8 @@ def brute_force(leaf: int, keys: list[bytes], weights: np.ndarray, sets: list[np
     earlier = [x[x < leaf] for x in leaves]
     met = overlaps([earlier[k] for k in a], None if sides is None else [earlier[k] for k in b]) > 0
     fresh = near & ~met
+    if cores is not None:
+        fresh &= (cores[a][:, None] != cores[b][None, :]) | (cores[a][:, None] < 0)
     links = np.zeros(len(keys), np.int64)
     links[a] += fresh @ weights[b]
     if sides is not None:
@@ -221,14 +233,32 @@ def likely(sketches: np.ndarray, sizes: np.ndarray, sides: np.ndarray | None, mo
     return out
 
 
-def _blocks(rows: DataFrame, parts: int) -> DataFrame:
-    """Rows (leaf, n, key, ...) with their block `own`, once for each pair of blocks
-    (bi, bj) of their leaf, sorted by (leaf, bi, bj) within partitions."""
-    names = [c for c in rows.columns if c != "n"]
-    rows = rows.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("key", F.lit(11)), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(*names, "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+def _meetings(rows: DataFrame, cores: DataFrame | None) -> DataFrame:
+    """rows (leaf, key, n) as (leaf, key, core, own, meets): their block of the leaf, and the
+    pairs of blocks (bi, bj) that compare them. In a leaf of more than BLOCK members each
+    core has blocks of its own, which don't meet each other. No cores: no such leaf."""
+    zero = F.lit(0).cast("long")
+    alone = [zero.alias("own"), F.array(F.struct(zero.alias("bi"), zero.alias("bj"))).alias("meets")]
+    if cores is None:
+        return rows.select("leaf", "key", F.lit(None).cast("binary").alias("core"), *alone)
+    rows = stable(rows.select("leaf", "key", "n").join(cores, "key", "left"), "jaccard-members")
+    large = rows.where(F.col("n") > BLOCK).withColumn("cell", F.coalesce("core", F.lit(b"")))
+    cells = large.groupBy("leaf", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    cells = stable(cells.groupBy("leaf").agg(F.sum("n").alias("m"), F.collect_list(F.struct("cell", "blocks")).alias("cells")), "jaccard-cells")
+    large = join_one(large, cells, "leaf", "m", large.count())
+    mine = F.element_at(F.filter("cells", lambda x: x["cell"] == F.col("cell")), 1)["blocks"]
+    large = large.withColumn("own", F.xxhash64("cell", F.pmod(F.xxhash64("key", F.lit(11)), mine).cast("int")))
+    others = F.filter("cells", lambda x: (x["cell"] != F.col("cell")) | (F.length("cell") == 0))
+    numbers = F.flatten(F.transform(others, lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda k: F.xxhash64(x["cell"], k))))
+    meets = F.transform(numbers, lambda x: F.struct(F.least("own", x).alias("bi"), F.greatest("own", x).alias("bj")))
+    large = large.select("leaf", "key", "core", "own", meets.alias("meets"))
+    return rows.where(F.col("n") <= BLOCK).select("leaf", "key", "core", *alone).unionByName(large)
+
+
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows with `meets`, once for each of their pairs of blocks, sorted by these within partitions."""
+    names = [c for c in rows.columns if c != "meets"]
+    rows = rows.select(*names, F.explode("meets").alias("at")).select(*names, "at.bi", "at.bj")
     return rows.repartition(parts, "leaf", "bi", "bj").sortWithinPartitions("leaf", "bi", "bj")
 
 
@@ -269,10 +299,12 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Brute force of each block pair."""
 
     def work(at: tuple, group: list) -> list:
-        keys, weights, sets, leaves, own = zip(*group, strict=True)
-        return brute_force(at[0], [bytes(k) for k in keys], np.array(weights, np.int64), [np.frombuffer(s, np.uint32) for s in sets], [np.asarray(x, np.int64) for x in leaves], _sides(at, own))
+        keys, weights, sets, leaves, cores, own = zip(*group, strict=True)
+        known = {c: k for k, c in enumerate({bytes(c) for c in cores if c is not None})}
+        numbers = np.array([-1 if c is None else known[bytes(c)] for c in cores]) if known else None
+        return brute_force(at[0], [bytes(k) for k in keys], np.array(weights, np.int64), [np.frombuffer(s, np.uint32) for s in sets], [np.asarray(x, np.int64) for x in leaves], _sides(at, own), numbers)
 
-    for out in _groups(batches, ("key", "weight", "held", "leaves", "own"), work):
+    for out in _groups(batches, ("key", "weight", "held", "leaves", "core", "own"), work):
         yield pd.DataFrame(out, columns=["key", "root", "links"])
 
 
@@ -328,14 +360,29 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     # The least text of a class stands for it; all its texts have one set.
     reps = stable(rows.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"), F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("sign").alias("sign"), F.first("sketch").alias("sketch")), "jaccard-classes")
     kept = _met(reps)
-    pairs = _blocks(kept.join(reps.select("key", "sketch", "size"), "key"), parts)
+    cores = _cores(docs, text, reps, kept)
+    pairs = _dealt(_meetings(kept, cores).drop("core").join(reps.select("key", "sketch", "size"), "key"), parts)
     alive = stable(pairs.mapInPandas(_sketched, "leaf long, key binary").distinct(), "jaccard-likely")
     alive = _first_of_equals(alive, alive.groupBy("leaf").agg(*_members()))
-    lists = stable(alive.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("leaf", "n"))).alias("at")), "jaccard-lists")
-
-    # A bitmap of fixed size lets each task pass over most texts without a likely partner.
+    lists = _meetings(alive, cores).groupBy("key").agg(F.first("core").alias("core"), F.array_sort(F.collect_list(F.struct("leaf", "own", "meets"))).alias("at"))
+    wanted = stable(lists, "jaccard-lists").join(reps.select("key", "text_hash", "weight"), "key")
+    each = _sets(docs, text, wanted).join(wanted.drop("text_hash"), "key")
+    each = each.select("key", "held", "weight", "core", F.col("at.leaf").alias("leaves"), F.explode("at").alias("a")).select("key", "held", "weight", "core", "leaves", "a.*")
+    found = _dealt(each, parts).mapInPandas(_compare, "key binary, root binary, links long")
+    if cores is not None:
+        # All of a core are linked.
+        own = cores.join(reps.select("key", "weight"), "key")
+        sums = own.groupBy("core").agg(F.sum("weight").alias("all"), F.min("key").alias("root"), F.count(F.lit(1)).alias("n"))
+        sums = stable(sums.where("n > 1"), "jaccard-core-sums")
+        found = found.unionByName(join_one(own, sums, "core", "n", cores.count()).select("key", "root", (F.col("all") - F.col("weight")).alias("links")))
+    return _labelled(rows, reps, stable(found, "jaccard-links"), key)
+
+
+def _sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(key, held) of the wanted keys, by their text_hash, and of a few others: sets of 32-bit hashes.
+    A bitmap of fixed size lets each task pass over most other texts."""
+    spark = docs.sparkSession
     slot = F.pmod("text_hash", F.lit(BITMAP))
-    wanted = lists.join(reps.select("key", "text_hash", "weight"), "key")
     maps = wanted.select(slot.alias("x")).groupBy(F.expr("x div 32768").alias("b")).agg(F.expr("bitmap_construct_agg(x % 32768)").alias("m"))
     bits = np.zeros(BITMAP // 8, np.uint8)
     for r in maps.collect():  # BITMAP / 32768 rows of 4 KB at most
@@ -352,11 +399,58 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
                 out.append((None, None) if s is None else (digest(s), np.unique(s.astype(np.uint32)).tobytes()))
             yield pd.DataFrame(out, columns=["key", "held"])
 
-    full = docs.select(F.pandas_udf(sets, "key binary, held binary")(text, F.xxhash64(text)).alias("s")).select("s.*").where("held is not null").groupBy("key").agg(F.first("held").alias("held"))
-    each = full.join(wanted.select("key", "at", "weight"), "key")
-    each = each.select("key", "held", "weight", F.col("at.leaf").alias("leaves"), F.explode("at").alias("a")).select("key", "held", "weight", "leaves", "a.leaf", "a.n")
-    found = stable(_blocks(each, parts).mapInPandas(_compare, "key binary, root binary, links long"), "jaccard-links")
-    return _labelled(rows, reps, found, key)
+    return docs.select(F.pandas_udf(sets, "key binary, held binary")(text, F.xxhash64(text)).alias("s")).select("s.*").where("held is not null").groupBy("key").agg(F.first("held").alias("held"))
+
+
+def centre(sets: list[np.ndarray]) -> np.ndarray:
+    """What more than half of the sets have."""
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    return values[2 * counts > len(sets)]
+
+
+def _cores(docs: DataFrame, text: str, reps: DataFrame, kept: DataFrame) -> DataFrame | None:
+    """key -> core, for the sets near a centre of a large bucket; None without large buckets."""
+    hot = kept.where(F.col("n") > BLOCK)
+    if hot.isEmpty():
+        return None
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = reps.select("key", "text_hash").join(hot.select("key").distinct(), "key")
+    sets = stable(_sets(docs, text, members).join(members.select("key"), "key", "left_semi"), "jaccard-hot-sets")
+    # About CENTRED sets of each bucket settle its centre.
+    few = hot.where(F.pmod(F.xxhash64("key", F.lit(23)), F.col("n")) < CENTRED).select("leaf", "key").join(sets, "key")
+
+    def settle(at: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        s = centre([np.frombuffer(x, np.uint32) for x in group["held"]])
+        return pd.DataFrame({"leaf": [at[0]], "core": [digest(s)], "middle": [s.tobytes()]})
+
+    centres = stable(few.select("leaf", "held").groupBy("leaf").applyInPandas(settle, "leaf long, core binary, middle binary"), "jaccard-centres")
+    sizes = hot.groupBy("leaf").agg(F.first("n").alias("n"))
+    named = stable(centres.select("leaf", "core").join(sizes, "leaf"), "jaccard-named")
+    met = stable(join_one(hot.select("leaf", "key"), named, "leaf", "n", hot.count()).select("core", "key").distinct(), "jaccard-near")
+    # Each centre goes to as many places as its members fill blocks.
+    spread = met.groupBy("core").agg(F.ceil(F.count(F.lit(1)) / (8 * BLOCK)).cast("int").alias("m"))
+    middles = centres.groupBy("core").agg(F.first("middle").alias("held")).join(spread, "core")
+    middles = middles.select("core", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("k"), F.lit(None).cast("binary").alias("key"), "held")
+    around = join_one(met, stable(spread.withColumn("n", F.col("m") * 8 * BLOCK), "jaccard-spread"), "core", "n", met.count()).join(sets, "key")
+    around = around.select("core", F.pmod(F.xxhash64("key", F.lit(29)), F.col("m")).cast("int").alias("k"), "key", "held")
+    dealt = middles.unionByName(around).repartition(parts, "core", "k").sortWithinPartitions("core", "k", F.col("key").asc_nulls_first())
+    near = dealt.mapInPandas(_around, "key binary, core binary")
+    return stable(near.groupBy("key").agg(F.min("core").alias("core")), "jaccard-cores")
+
+
+def _around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, core) of the sets within half the threshold's distance of their centre, which comes first."""
+    middle = np.zeros(0, np.uint32)
+    for batch in batches:
+        out = []
+        for core, key, held in zip(batch["core"], batch["key"], batch["held"], strict=True):
+            s = np.frombuffer(held, np.uint32)
+            if key is None:
+                middle = s
+            # Similarity 9/10: inter / union >= 9 / 10 when 19 * inter >= 9 * (sum of sizes).
+            elif 19 * np.intersect1d(s, middle, assume_unique=True).size >= 9 * (len(s) + len(middle)):
+                out.append((bytes(key), bytes(core)))
+        yield pd.DataFrame(out, columns=["key", "core"])
 
 
 def _members() -> list:
