@@ -286,20 +286,3 @@ def test_decontamination_grows_with_a_repeated_word(spark):
 def _short_windows(C):
     """Hits of the alignments at a text's ends that have too few words to count."""
     return sum(2 * 3 * (n - C.SPAN + 1) for n in range(C.SPAN, C.LEAST_WINDOW))
-
-
-# Cores of large buckets
-
-
-def test_cores_of_large_buckets_lose_no_link(spark, monkeypatch):
-    rng, words = random.Random(3), [f"w{k}" for k in range(200)]
-    texts = []
-    for k in range(90):
-        t = list(words if k % 3 else words[::-1])
-        for _ in range(rng.choice([0, 1, 2, 7])):
-            t[rng.randrange(len(t))] = f"x{rng.randrange(10**9)}"
-        texts.append(" ".join(t))
-    monkeypatch.setattr(jaccard, "BLOCK", 8)
-    found = {r["doc_id"]: r["n_links"] for r in jaccard.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
-    assert found == {k: sum(len(a & b) * 5 >= len(a | b) * 4 for b in sets) - 1 for k, a in enumerate(sets)}
