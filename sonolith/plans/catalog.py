@@ -597,7 +597,7 @@ def graph_derivatives(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[(F.round(v, 6) + 0.0).alias(n) for n, v in shown.items()])
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_quantity::BIGINT // l_linenumber AS quotient, l_quantity::BIGINT AS again, l_quantity::BIGINT - l_quantity::BIGINT % l_linenumber AS whole, (l_quantity::BIGINT % l_linenumber) ** 2::BIGINT AS square,
+@query("""SELECT l_orderkey, l_linenumber, l_quantity::BIGINT // l_linenumber AS quotient, l_quantity::BIGINT AS again, l_quantity::BIGINT - l_quantity::BIGINT % l_linenumber AS whole, (l_quantity::BIGINT % l_linenumber) * (l_quantity::BIGINT % l_linenumber) AS square,
 l_quantity::BIGINT // l_linenumber * l_linenumber + l_orderkey AS moved, l_quantity::BIGINT - l_orderkey AS short, l_orderkey * l_orderkey AS other_square, 'add:1 sub:1 mul:0 mul:1' AS places, '' AS left_over, 1::INTEGER AS result, 4::INTEGER AS uses FROM lineitem""")
 def graph_uses(spark, d):
     """A division with two results. The users of its remainder are found by their places,
