@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MASK16, MASK32, SIGN = 0xFFFF, 0xFFFFFFFF, -(1 << 63)
+TEN38 = 10**38
 TYPE = "struct<high:bigint,low:bigint>"
 
 
@@ -214,6 +215,35 @@ def mul(a: Column, b: Column, t: str = "i128", mode: str = "strict") -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), _let(_let(some, product), checked))
 
 
+def _short(x: Column) -> Column:
+    """Whether an unsigned value has at most the 38 digits of a decimal."""
+    return less(x, constant(TEN38), "u128")
+
+
+def _dec(x: int) -> Column:
+    return F.lit(str(x)).cast("decimal(38,0)")
+
+
+def _decimal(x: Column) -> Column:
+    """A short unsigned value as DECIMAL(38, 0)."""
+    low = x["low"].cast("decimal(20,0)") + F.when(x["low"] < 0, _dec(1 << 64)).otherwise(_dec(0))
+    return (x["high"].cast("decimal(19,0)") * _dec(1 << 64) + low).cast("decimal(38,0)")
+
+
+def _from_decimal(d: Column) -> Column:
+    low = d % _dec(1 << 64)
+    return of(F.call_function("div", d, _dec(1 << 64)), F.when(low >= _dec(1 << 63), low - _dec(1 << 64)).otherwise(low).cast("bigint"))
+
+
+def _divided_short(x: Column, y: Column) -> Column:
+    """As `_divided`, of decimals: the quotient's digits above 20 first, since Spark's has 32 at most."""
+    ten20 = _dec(10**20)
+    rest = x % y
+    top = (F.call_function("div", F.call_function("div", x, ten20).cast("decimal(38,0)"), y).cast("decimal(18,0)") * ten20).cast("decimal(38,0)")
+    quotient = top + ((x - rest - (top * y).cast("decimal(38,0)")) / y).cast("decimal(38,0)")
+    return _let(F.struct(quotient.cast("decimal(38,0)").alias("q"), rest.cast("decimal(38,0)").alias("r")), lambda v: F.struct(_from_decimal(v["q"]).alias("q"), _from_decimal(v["r"]).alias("r")))
+
+
 def _divided(x: Column, y: Column) -> Column:
     """quotient and remainder of unsigned values, a bit a step."""
     start = F.struct(constant(0).alias("q"), constant(0).alias("r"))
@@ -251,32 +281,40 @@ def div_rem(a: Column, b: Column, t: str = "i128", mode: str = "strict") -> Colu
         fits = ~(equal(a, constant(-(1 << 127))) & equal(b, constant(-1)))
         return F.struct(_checked(q, fits, mode, t).alias("q"), F.when(negative(a), neg(d["r"], "wrap")).otherwise(d["r"]).alias("r"))
 
-    return F.when(a.isNotNull() & b.isNotNull() & (~zero if mode == "try" else F.lit(True)), _let(_let(F.struct(x.alias("x"), y.alias("y")), lambda v: _divided(v["x"], v["y"])), signed))
+    def parts(v: Column) -> Column:
+        both = _let(F.struct(_decimal(v["x"]).alias("x"), _decimal(v["y"]).alias("y")), lambda w: _divided_short(w["x"], w["y"]))
+        return F.when(_short(v["x"]) & _short(v["y"]), both).otherwise(_divided(v["x"], v["y"]))
 
+    return F.when(a.isNotNull() & b.isNotNull() & (~zero if mode == "try" else F.lit(True)), _let(_let(F.struct(x.alias("x"), y.alias("y")), parts), signed))
 
-def to_text(x: Column, t: str = "i128") -> Column:
-    """The decimal digits: four a round, by dividing the limbs from the top."""
 
-    def divide(acc: Column, _: Column) -> Column:
-        def limb(inner: Column, v: Column) -> Column:
-            now = inner["rest"] * 65536 + v
-            return F.struct((now % 10000).alias("rest"), F.concat(inner["out"], F.array(F.floor(now / 10000).cast("bigint"))).alias("out"))
+def to_text(x: Column, t: str = "i128") -> Column:
+    """The decimal digits: 38 from a decimal, and the one before them by comparison."""
 
-        done = F.aggregate(acc["limbs"], F.struct(_lit(0).alias("rest"), F.array().cast("array<bigint>").alias("out")), limb)
-        return _let(done, lambda d: F.struct(d["out"].alias("limbs"), F.concat(F.lpad(d["rest"].cast("string"), 4, "0"), acc["text"]).alias("text")))
+    def digits(v: Column) -> Column:
+        out = F.when(_short(v), _decimal(v).cast("string"))
+        for k in (3, 2, 1):
+            rest = _decimal(_sum(v, constant(-k * TEN38))).cast("string")
+            out = out.when(~less(v, constant(k * TEN38), "u128"), F.concat(F.lit(str(k)), F.lpad(rest, 38, "0")))
+        return out
 
     value = size(x) if t == "i128" else x
-    start = F.struct(F.array(*reversed(_limbs(value, 16))).alias("limbs"), F.lit("").alias("text"))
-    digits = F.regexp_replace(F.aggregate(F.sequence(F.lit(0), F.lit(9)), start, divide)["text"], "^0+(?=.)", "")
-    return F.when(x.isNotNull(), F.concat(F.when(negative(x), "-").otherwise("") if t == "i128" else F.lit(""), digits))
+    return F.when(x.isNotNull(), F.concat(F.when(negative(x), "-").otherwise("") if t == "i128" else F.lit(""), _let(value, digits)))
 
 
 def from_text(s: Column, t: str = "i128") -> Column:
     """The value of decimal digits with an optional sign; NULL where they are none or don't fit."""
     digits = F.regexp_replace(F.ltrim(s), "^[+-]?0*(?=.)", "")
-    groups = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.substring(F.lpad(digits, 40, "0"), k * 4 + 1, F.lit(4)).cast("bigint"))
-    ten4 = constant(10_000)
-    value = F.aggregate(groups, constant(0), lambda acc, g: _let(mul(acc, ten4, "u128", "try"), lambda m: add(m, from_long(g), "u128", "try")))
+    padded = F.lpad(digits, 39, "0")
+    lead = F.substring(padded, 1, 1)
+
+    def whole(rest: Column) -> Column:
+        out = F.when(lead == "0", _from_decimal(rest))
+        for k in (1, 2, 3):
+            out = out.when(lead == str(k), add(_from_decimal(rest), constant(k * TEN38), "u128", "try"))
+        return out
+
+    value = _let(F.substring(padded, 2, 38).cast("decimal(38,0)"), whole)
     good = s.rlike(r"^[+-]?\d+$" if t == "i128" else r"^\+?\d+$|^-0+$") & (F.length(digits) <= 39)
 
     def signed(v: Column) -> Column:
