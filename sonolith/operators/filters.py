@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonolith.streaming.chunks import shared_path
+
 #: Samples of a chunk, chunks of a group.
 CHUNK, GROUP = 1 << 14, 1 << 10
 
@@ -180,6 +182,55 @@ def _matrix(arrays: pd.Series, width: int) -> np.ndarray:
     return np.stack(list(arrays)) if len(arrays) else np.zeros((0, width))
 
 
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    """rows written once to the shared folder, as they are read more than once: a filter of a filter
+    would otherwise compute the first one for each reading of the second."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _walked(rows: DataFrame, by: list[str], then: str, work, schema: str) -> DataFrame:
+    """work(part, spans) over the groups of `by`, sorted by `then`: many small groups a call,
+    since a call for each costs more than its work. spans: begins and ends of the part's groups."""
+
+    def spans(part: pd.DataFrame) -> list[tuple[int, int]]:
+        new = np.zeros(len(part) - 1, bool)
+        for name in by:
+            a, b = part[name].to_numpy()[:-1], part[name].to_numpy()[1:]
+            new |= (a != b) & ((a == a) | (b == b))
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(part)]
+        return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            # A group goes on where the last row so far and the batch's first are alike.
+            whole = pd.concat([*(r.iloc[-1:] for r in rest[-1:]), batch], ignore_index=True)
+            found, own = spans(whole), len(whole) - len(batch)
+            if own and found[0][1] > own or not rest:
+                first, found = (found[0][1] - own, found[1:])
+            else:
+                first, found = 0, found[1:] if own else found
+            rest.append(batch.iloc[:first])
+            if found:
+                done = pd.concat(rest, ignore_index=True)
+                yield work(done, [(0, len(done))])
+                last = found[-1][0] - own
+                if last > first:
+                    middle = batch.iloc[first:last].reset_index(drop=True)
+                    yield work(middle, spans(middle))
+                rest = [batch.iloc[last:]]
+            rest = [r for r in rest if len(r)]
+        if rest:
+            done = pd.concat(rest, ignore_index=True)
+            yield work(done, [(0, len(done))])
+
+    return rows.repartition(*by).sortWithinPartitions(*by, then).mapInPandas(run, schema)
+
+
 def scanned(rows: DataFrame, system, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
     """The signals through a system whose samples compose as maps of its state: signal_id,
     idx, sample. system: `rest` is the map of no samples, `ends` those of chunks (rows of
@@ -188,6 +239,7 @@ def scanned(rows: DataFrame, system, chunk: int = CHUNK, group: int = GROUP) ->
     width, kind = len(system.rest), rows.schema["signal_id"].dataType.simpleString()
     held = rows.select("signal_id", F.floor(F.col("idx") / chunk).cast("long").alias("chunk"), (F.col("idx") % chunk).cast("int").alias("at"), F.col("sample").cast("double").alias("sample"))
     held = held.groupBy("signal_id", "chunk").agg(F.collect_list("at").alias("at"), F.collect_list(F.coalesce("sample", F.lit(0.0))).alias("samples"))
+    held = _kept(held, "chunks")
 
     def matrices(batches: Iterator[pd.DataFrame], whole: bool) -> Iterator[tuple]:
         # As many chunks at once as a bounded matrix holds.
@@ -211,35 +263,35 @@ def scanned(rows: DataFrame, system, chunk: int = CHUNK, group: int = GROUP) ->
             idx = np.concatenate([c * chunk + a for c, a in zip(part["chunk"], at, strict=True)])
             yield pd.DataFrame({"signal_id": part["signal_id"].repeat([len(a) for a in at]).to_numpy(), "idx": idx, "sample": np.concatenate([row[a] for row, a in zip(y, at, strict=True)])})
 
-    def composed(part: pd.DataFrame) -> pd.DataFrame:
-        """One group of chunks as one map."""
-        part = part.sort_values("chunk")
-        places = part["chunk"].to_numpy()
-        number = int(places[0]) // group
-        first = system.over(system.rest, (int(places[0]) - number * group) * chunk)
-        _, s = scan(system, places, _matrix(part["end"], width), chunk, first)
-        s = system.over(s, ((number + 1) * group - 1 - int(places[-1])) * chunk)
-        return pd.DataFrame({"signal_id": part["signal_id"].iloc[:1], "group": [number], "end": [s]})
-
-    def group_starts(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("group")
-        places = part["group"].to_numpy()
-        first = system.over(system.rest, int(places[0]) * group * chunk)
-        starts, _ = scan(system, places, _matrix(part["end"], width), chunk * group, first)
-        return part[["signal_id", "group"]].assign(start=list(starts))
-
-    def chunk_starts(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("chunk")
-        places = part["chunk"].to_numpy()
-        first = system.over(np.asarray(part["start"].iloc[0]), int(places[0]) % group * chunk)
-        starts, _ = scan(system, places, _matrix(part["end"], width), chunk, first)
-        return part[["signal_id", "chunk"]].assign(start=list(starts))
-
-    ends = held.mapInPandas(ended, f"signal_id {kind}, chunk long, end array<double>")
+    def composed(part: pd.DataFrame, spans: list[tuple[int, int]]) -> pd.DataFrame:
+        """Groups of chunks as one map each."""
+        chunks, ends, out = part["chunk"].to_numpy(), _matrix(part["end"], width), []
+        for lo, hi in spans:
+            number = int(chunks[lo]) // group
+            first = system.over(system.rest, (int(chunks[lo]) - number * group) * chunk)
+            _, s = scan(system, chunks[lo:hi], ends[lo:hi], chunk, first)
+            out.append(system.over(s, ((number + 1) * group - 1 - int(chunks[hi - 1])) * chunk))
+        return part[["signal_id", "group"]].iloc[[lo for lo, _ in spans]].assign(end=out)
+
+    def group_starts(part: pd.DataFrame, spans: list[tuple[int, int]]) -> pd.DataFrame:
+        places, ends, out = part["group"].to_numpy(), _matrix(part["end"], width), []
+        for lo, hi in spans:
+            first = system.over(system.rest, int(places[lo]) * group * chunk)
+            out += list(scan(system, places[lo:hi], ends[lo:hi], chunk * group, first)[0])
+        return part[["signal_id", "group"]].assign(start=out)
+
+    def chunk_starts(part: pd.DataFrame, spans: list[tuple[int, int]]) -> pd.DataFrame:
+        chunks, ends, starts, out = part["chunk"].to_numpy(), _matrix(part["end"], width), part["start"].to_numpy(object), []
+        for lo, hi in spans:
+            first = system.over(np.asarray(starts[lo]), int(chunks[lo]) % group * chunk)
+            out += list(scan(system, chunks[lo:hi], ends[lo:hi], chunk, first)[0])
+        return part[["signal_id", "chunk"]].assign(start=out)
+
+    ends = _kept(held.mapInPandas(ended, f"signal_id {kind}, chunk long, end array<double>"), "ends")
     ends = ends.withColumn("group", F.floor(F.col("chunk") / group).cast("long"))
-    groups = ends.select("signal_id", "group", "chunk", "end").groupBy("signal_id", "group").applyInPandas(composed, f"signal_id {kind}, group long, end array<double>")
-    groups = groups.groupBy("signal_id").applyInPandas(group_starts, f"signal_id {kind}, group long, start array<double>")
-    starts = ends.join(groups, ["signal_id", "group"]).groupBy("signal_id", "group").applyInPandas(chunk_starts, f"signal_id {kind}, chunk long, start array<double>")
+    groups = _walked(ends, ["signal_id", "group"], "chunk", composed, f"signal_id {kind}, group long, end array<double>")
+    groups = _walked(groups, ["signal_id"], "group", group_starts, f"signal_id {kind}, group long, start array<double>")
+    starts = _walked(ends.join(groups, ["signal_id", "group"]), ["signal_id", "group"], "chunk", chunk_starts, f"signal_id {kind}, chunk long, start array<double>")
     both = held.join(starts, ["signal_id", "chunk"]).select("signal_id", "chunk", "at", "samples", "start")
     return both.mapInPandas(finished, f"signal_id {kind}, idx long, sample double")
 
