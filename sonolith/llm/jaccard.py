@@ -2,10 +2,11 @@
 
 Documents with equal shingle sets form a class, and classes are joined. Each set is
 embedded by minhash; in every run a bucket's path chooses coordinates, and its sets
-are split on their values there. Buckets that are small, or as deep as paths go, are
-compared in blocks where they are large, so no bucket is gathered whole: first by
-sketches of a byte a coordinate, which leave only members with a likely partner, then
-these by brute force of their whole sets. A link is counted in the first bucket in
+are split on their values there. Buckets that are small, or so alike that a split
+saves no comparisons, or as deep as paths go, are compared in blocks where they are
+large, so no bucket is gathered whole: first by sketches of a byte a coordinate, which
+leave only members with a likely partner, then these by brute force of their whole
+sets. A link is counted in the first bucket in
 which its sets meet, without listing pairs. Runs repeat until a link at the threshold
 is missed with less than 1 - RECALL; sketches lose one with less than SKETCH_LOSS.
 
@@ -387,19 +388,33 @@ def _met(reps: DataFrame) -> DataFrame:
                 part = batch.iloc[k : k + 4096]
                 signs = np.stack([np.frombuffer(s, np.uint32) for s in part["sign"]])
                 row, paths = split(part["leaf"].to_numpy(np.int64).view(np.uint64), signs)
-                yield pd.DataFrame({"leaf": _signed(paths), "key": part["key"].to_numpy(object)[row]})
+                yield pd.DataFrame({"leaf": _signed(paths), "key": part["key"].to_numpy(object)[row], "parent": part["leaf"].to_numpy(np.int64)[row]})
 
     now = stable(reps.where("size > 0").select("key", "sign").mapInPandas(root, "leaf long, key binary"), "jaccard-paths-1")
+    sizes = stable(now.groupBy("leaf").agg(*_members()).where("n > 1"), "jaccard-sizes-1")
     ready = leaves = None
     for depth in range(1, DEPTH + 1):
-        sizes = stable(now.groupBy("leaf").agg(*_members()).where("n > 1"), f"jaccard-sizes-{depth}")
         met = join_one(now, sizes.select("leaf", "n"), "leaf", "n", now.count())
         done = F.lit(True) if depth == DEPTH else F.col("n") <= SMALL
-        ready = met.where(done) if ready is None else ready.unionByName(met.where(done))
-        leaves = sizes.where(done) if leaves is None else leaves.unionByName(sizes.where(done))
+        found = [(met.where(done), sizes.where(done))]
         if depth < DEPTH:
-            large = met.where(~done).select("leaf", "key").join(reps.select("key", "sign"), "key")
-            now = stable(large.mapInPandas(deeper, "leaf long, key binary").distinct(), f"jaccard-paths-{depth + 1}")
+            wide, large = sizes.where(~done), met.where(~done)
+            split_ = large.select("leaf", "key").join(reps.select("key", "sign"), "key")
+            more = stable(split_.mapInPandas(deeper, "leaf long, key binary, parent long").distinct(), f"jaccard-paths-{depth + 1}")
+            below = stable(more.groupBy("leaf").agg(*_members(), F.first("parent").alias("parent")), f"jaccard-sizes-{depth + 1}")
+            # A coordinate's buckets hold the share of the pairs that agree there, on average their
+            # similarity. From LEVEL on, paths go on in as many comparisons as they save or
+            # more, and lose some: such a bucket is compared as it is.
+            alike = F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")
+            stay = below.groupBy("parent").agg(alike.alias("alike")).join(wide.select(F.col("leaf").alias("parent"), "n"), "parent").where(F.col("alike") >= LEVEL * F.col("n"))
+            stay = stable(stay.select("parent"), f"jaccard-alike-{depth}")
+            leaf = stay.select(F.col("parent").alias("leaf"))
+            found.append((large.join(leaf, "leaf", "left_semi"), wide.join(leaf, "leaf", "left_semi")))
+            now = more.join(stay, "parent", "left_anti").select("leaf", "key")
+            sizes = below.join(stay, "parent", "left_anti").where("n > 1").drop("parent")
+        for rows, own in found:
+            ready = rows if ready is None else ready.unionByName(rows)
+            leaves = own if leaves is None else leaves.unionByName(own)
     return stable(_first_of_equals(ready.select("leaf", "key"), leaves), "jaccard-leaves")
 
 
