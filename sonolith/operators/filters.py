@@ -190,7 +190,7 @@ def _kept(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def _walked(rows: DataFrame, by: list[str], then: str, work, schema: str) -> DataFrame:
+def walked(rows: DataFrame, by: list[str], then: str, work, schema: str) -> DataFrame:
     """work(part, spans) over the groups of `by`, sorted by `then`: many small groups a call,
     since a call for each costs more than its work. spans: begins and ends of the part's groups."""
 
@@ -289,9 +289,9 @@ def scanned(rows: DataFrame, system, chunk: int = CHUNK, group: int = GROUP) ->
 
     ends = _kept(held.mapInPandas(ended, f"signal_id {kind}, chunk long, end array<double>"), "ends")
     ends = ends.withColumn("group", F.floor(F.col("chunk") / group).cast("long"))
-    groups = _walked(ends, ["signal_id", "group"], "chunk", composed, f"signal_id {kind}, group long, end array<double>")
-    groups = _walked(groups, ["signal_id"], "group", group_starts, f"signal_id {kind}, group long, start array<double>")
-    starts = _walked(ends.join(groups, ["signal_id", "group"]), ["signal_id", "group"], "chunk", chunk_starts, f"signal_id {kind}, chunk long, start array<double>")
+    groups = walked(ends, ["signal_id", "group"], "chunk", composed, f"signal_id {kind}, group long, end array<double>")
+    groups = walked(groups, ["signal_id"], "group", group_starts, f"signal_id {kind}, group long, start array<double>")
+    starts = walked(ends.join(groups, ["signal_id", "group"]), ["signal_id", "group"], "chunk", chunk_starts, f"signal_id {kind}, chunk long, start array<double>")
     both = held.join(starts, ["signal_id", "chunk"]).select("signal_id", "chunk", "at", "samples", "start")
     return both.mapInPandas(finished, f"signal_id {kind}, idx long, sample double")
 

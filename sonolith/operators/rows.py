@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonolith.operators.filters import walked
+
 CHUNK = 1 << 16
 
 
@@ -131,16 +133,27 @@ def fir(rows: DataFrame, taps: list[float], chunk: int = CHUNK) -> DataFrame:
 
 
 def convolve(rows: DataFrame, taps: list[float], chunk: int = CHUNK) -> DataFrame:
-    """Full linear convolution with a kernel of any length: each chunk is convolved
-    by itself, and where the results overlap they are added."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        got = np.convolve(part["sample"].to_numpy(float), np.array(taps, float))
-        return pd.DataFrame({"signal_id": part["signal_id"].iloc[0], "idx": part["idx"].iloc[0] + np.arange(len(got)), "sample": got})
+    """Full linear convolution with a kernel of any length: each chunk is convolved by
+    itself, many short ones in a call, and where the results overlap they are added."""
+    weights = np.array(taps, float)
+    more = len(weights) - 1
+
+    def run(part: pd.DataFrame, spans: list[tuple[int, int]]) -> pd.DataFrame:
+        lo, hi = np.array(spans, np.int64).T
+        # Behind each chunk stand as many zeros as its result is longer than it.
+        sizes = hi - lo + more
+        first = np.cumsum(sizes) - sizes
+        spread = np.zeros(int(sizes.sum()))
+        spread[np.arange(len(part)) + np.repeat(np.arange(len(lo)) * more, hi - lo)] = part["sample"].to_numpy(float)
+        idx = np.arange(len(spread)) + np.repeat(part["idx"].to_numpy(np.int64)[lo] - first, sizes)
+        if np.isfinite(spread).all():
+            got = np.convolve(spread, weights)[: len(spread)]
+        else:  # an infinite sample times a zero between chunks would spread to others
+            got = np.concatenate([np.convolve(spread[k : k + n - more], weights) for k, n in zip(first, sizes, strict=True)])
+        return pd.DataFrame({"signal_id": part["signal_id"].to_numpy()[np.repeat(lo, sizes)], "idx": idx, "sample": got})
 
     held = rows.select("signal_id", "idx", F.col("sample").cast("double"), F.floor(F.col("idx") / chunk).alias("chunk"))
-    each = held.groupBy("signal_id", "chunk").applyInPandas(lambda part: run(part[["signal_id", "idx", "sample"]]), "signal_id long, idx long, sample double")
+    each = walked(held, ["signal_id", "chunk"], "idx", run, "signal_id long, idx long, sample double")
     return each.groupBy("signal_id", "idx").agg(F.sum("sample").alias("sample"))
 
 
