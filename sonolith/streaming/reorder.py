@@ -1,11 +1,12 @@
 """Streams whose samples arrive late or out of order: a buffer in state, and timers of event time.
 
-Each signal keeps the samples that are newer than the watermark. When the watermark
+Signals are dealt to buckets by a hash, since a state and calls for each signal cost more than
+its work. A bucket keeps the samples that are newer than the watermark. When the watermark
 passes them they leave in order of time and tie, are numbered, and go through a causal
 filter whose last samples are state as well. Samples that are later than the slack, so
 behind the watermark on arrival, are dropped by the engine, as its metrics tell.
 
-The buffer of a signal holds the samples of one slack; state lies in RocksDB.
+The buffer of a bucket holds its signals' samples of one slack; state lies in RocksDB.
 """
 
 from __future__ import annotations
@@ -21,47 +22,72 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Groups of signals that share a state, so that a call serves many.
+BUCKETS = 256
+
+
 class Ordered(StatefulProcessor):
-    """Releases samples in order behind the watermark, filtered by taps."""
+    """Releases a bucket's samples in order behind the watermark, each signal's filtered by taps."""
 
-    def __init__(self, taps: list[float]):
-        self.taps = np.array(taps, float)
+    def __init__(self, taps: list[float], kind: str):
+        self.taps, self.kind = np.array(taps, float), kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, tie long, sample double")
-        self.last = handle.getValueState("last", "n long, tail array<double>")
+        self.waiting = handle.getListState("waiting", f"signal {self.kind}, at long, tie long, sample double")
+        self.last = handle.getListState("last", f"signal {self.kind}, n long, tail array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows))
-        # A row without a sample only moves the watermark.
-        part = part[part["sample"].notna()]
-        if len(part):
-            self.waiting.appendList([(int(a), int(t), float(s)) for a, t, s in zip(part["at"], part["tie"], part["sample"], strict=True)])
-            self.handle.registerTimer(int(part["at"].min()) // 1000 + 1)
+        first = None
+        for part in rows:
+            # A row without a sample only moves the watermark.
+            part = part[part["sample"].notna()]
+            if len(part):
+                self.waiting.appendList(list(zip(part["signal_id"].tolist(), part["at"].tolist(), part["tie"].tolist(), part["sample"].tolist(), strict=True)))
+                low = int(part["at"].min())
+                first = low if first is None else min(first, low)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.waiting.get())
-        ready, rest = [x for x in held if x[0] <= passed], [x for x in held if x[0] > passed]
+        ready, rest = [], []
+        for x in self.waiting.get():
+            (ready if x[1] <= passed else rest).append(x)
+        if rest:
+            self.handle.registerTimer(min(x[1] for x in rest) // 1000 + 1)
         if not ready:
-            if rest:
-                self.handle.registerTimer(rest[0][0] // 1000 + 1)
             return
         if rest:
             self.waiting.put(rest)
-            self.handle.registerTimer(rest[0][0] // 1000 + 1)
         else:
             self.waiting.clear()
         keep = len(self.taps) - 1
-        n, tail = (self.last.get()[0], np.array(self.last.get()[1], float)) if self.last.exists() else (0, np.zeros(keep))
-        x = np.concatenate([tail, [s for _, _, s in ready]])
+        known = {s: (n, tail) for s, n, tail in self.last.get()} if self.last.exists() else {}
+        number: dict = {}
+        code = np.array([number.setdefault(x[0], len(number)) for x in ready])
+        at, tie, sample = (np.array([x[k] for x in ready]) for k in (1, 2, 3))
+        order = np.lexsort((sample, tie, at, code))
+        sizes = np.bincount(code)
+        begun = [known.get(s, (0, [0.0] * keep)) for s in number]
+        # Before each signal's samples stand its last ones so far.
+        ends = np.cumsum(sizes + keep)
+        place = np.arange(len(ready)) + np.repeat((np.arange(len(sizes)) + 1) * keep, sizes)
+        x = np.empty(int(ends[-1]))
+        x[place] = sample[order]
+        if keep:
+            x[(ends - sizes - keep)[:, None] + np.arange(keep)] = np.array([tail for _, tail in begun], float)
         total = np.zeros(len(ready))
         for k, c in enumerate(self.taps):
-            total = total + c * x[keep - k : len(x) - k]
-        self.last.update((n + len(ready), x[len(x) - keep :].tolist()))
-        yield pd.DataFrame({"signal_id": key[0], "idx": n + np.arange(len(ready)), "sample": total})
+            total = total + c * x[place - k]
+        counts = np.array([n for n, _ in begun], np.int64)
+        for s, n, end in zip(number, (counts + sizes).tolist(), ends.tolist(), strict=True):
+            known[s] = (n, x[end - keep : end].tolist())
+        self.last.put([(s, n, list(tail)) for s, (n, tail) in known.items()])
+        signals = np.array(list(number), object)[code[order]]
+        idx = np.repeat(counts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ready))
+        yield pd.DataFrame({"signal_id": signals, "idx": idx, "sample": total})
 
     def close(self) -> None:
         pass
@@ -72,8 +98,8 @@ def fir_late(stream: DataFrame, taps: list[float], slack: str) -> DataFrame:
     of arrival within `slack`: signal_id, idx, sample. Null samples only move the watermark."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     kind = stream.schema["signal_id"].dataType.simpleString()
-    held = stream.withWatermark("ts", slack).select("signal_id", "ts", F.unix_micros("ts").alias("at"), "tie", "sample")
-    return held.groupBy("signal_id").transformWithStateInPandas(statefulProcessor=Ordered(taps), outputStructType=f"signal_id {kind}, idx long, sample double", outputMode="Append", timeMode="EventTime")
+    held = stream.withWatermark("ts", slack).select(F.pmod(F.xxhash64("signal_id"), F.lit(BUCKETS)).alias("bucket"), "signal_id", "ts", F.unix_micros("ts").alias("at"), "tie", "sample")
+    return held.groupBy("bucket").transformWithStateInPandas(statefulProcessor=Ordered(taps, kind), outputStructType=f"signal_id {kind}, idx long, sample double", outputMode="Append", timeMode="EventTime")
 
 
 def arrivals(rows: DataFrame, path: str, batches: int, delay: str, slack_seconds: int) -> DataFrame:
