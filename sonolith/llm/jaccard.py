@@ -3,7 +3,7 @@
 Documents with equal shingle sets form a class, and classes are joined. Each set is
 embedded by minhash; in every run a bucket's path chooses coordinates, and its sets
 are split on their values there. Buckets that are small, or so alike that a split
-saves no comparisons, or as deep as paths go, are compared in blocks where they are
+costs more than the comparisons it saves, or as deep as paths go, are compared in blocks where they are
 large, so no bucket is gathered whole: first by sketches of a byte a coordinate, which
 leave only members with a likely partner, then these by brute force of their whole
 sets. A link is counted in the first bucket in
@@ -35,6 +35,8 @@ SHINGLE, RECALL = 5, 0.999
 LEVEL = 0.8
 COORDINATES, SMALL, DEPTH, BLOCK = 64, 128, 4, 1024
 SKETCH_LOSS = 1e-5
+#: Comparisons of sketches that take about the time of one more row of a path.
+PATH_COST = 128
 BITMAP = 1 << 26
 _WORD = re.compile(r"\w+")
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -391,11 +393,13 @@ def _met(reps: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"leaf": _signed(paths), "key": part["key"].to_numpy(object)[row], "parent": part["leaf"].to_numpy(np.int64)[row]})
 
     now = stable(reps.where("size > 0").select("key", "sign").mapInPandas(root, "leaf long, key binary"), "jaccard-paths-1")
-    sizes = stable(now.groupBy("leaf").agg(*_members()).where("n > 1"), "jaccard-sizes-1")
+    sizes = stable(now.groupBy("leaf").agg(*_members()).where("n > 1").withColumn("share", F.lit(0.0)), "jaccard-sizes-1")
     ready = leaves = None
     for depth in range(1, DEPTH + 1):
-        met = join_one(now, sizes.select("leaf", "n"), "leaf", "n", now.count())
-        done = F.lit(True) if depth == DEPTH else F.col("n") <= SMALL
+        met = join_one(now, sizes.select("leaf", "n", "share"), "leaf", "n", now.count())
+        # A split makes n / LEVEL rows or more, and leaves share / LEVEL of the n * n / 2 comparisons.
+        costly = (F.col("share") > 0) & (F.col("n") * (1 - F.col("share") / LEVEL) <= 2 * PATH_COST / LEVEL)
+        done = F.lit(True) if depth == DEPTH else (F.col("n") <= SMALL) | costly
         found = [(met.where(done), sizes.where(done))]
         if depth < DEPTH:
             wide, large = sizes.where(~done), met.where(~done)
@@ -406,12 +410,14 @@ def _met(reps: DataFrame) -> DataFrame:
             # similarity. From LEVEL on, paths go on in as many comparisons as they save or
             # more, and lose some: such a bucket is compared as it is.
             alike = F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")
-            stay = below.groupBy("parent").agg(alike.alias("alike")).join(wide.select(F.col("leaf").alias("parent"), "n"), "parent").where(F.col("alike") >= LEVEL * F.col("n"))
-            stay = stable(stay.select("parent"), f"jaccard-alike-{depth}")
+            shares = below.groupBy("parent").agg(alike.alias("alike")).join(wide.select(F.col("leaf").alias("parent"), "n"), "parent")
+            shares = stable(shares.select("parent", (F.col("alike") / F.col("n")).alias("share")), f"jaccard-alike-{depth}")
+            stay = shares.where(F.col("share") >= LEVEL).select("parent")
             leaf = stay.select(F.col("parent").alias("leaf"))
             found.append((large.join(leaf, "leaf", "left_semi"), wide.join(leaf, "leaf", "left_semi")))
-            now = more.join(stay, "parent", "left_anti").select("leaf", "key")
-            sizes = below.join(stay, "parent", "left_anti").where("n > 1").drop("parent")
+            now = more.select("leaf", "key")  # the sizes leave out what stays with its parent
+            # What the parent's members share stands for what the bucket's do, which is as much or more.
+            sizes = below.where("n > 1").join(shares.where(F.col("share") < LEVEL), "parent").drop("parent")
         for rows, own in found:
             ready = rows if ready is None else ready.unionByName(rows)
             leaves = own if leaves is None else leaves.unionByName(own)

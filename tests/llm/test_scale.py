@@ -300,3 +300,26 @@ def test_buckets_of_near_copies_are_split_no_further(spark):
     met = jaccard._met(spark.createDataFrame(rows, "key binary, size long, sign binary"))
     assert met.count() <= 600 * len(jaccard.root_choices())
     assert met.select("key").distinct().count() == 600
+
+
+def test_buckets_of_half_alike_copies_are_split_once(spark, monkeypatch):
+    """Copies that share 0.7 of their minima went down to the last depth, where as many comparisons were left."""
+    rng = np.random.default_rng(12)
+    base = jaccard.mix(rng.integers(0, 2**63, 400).astype(np.uint64))
+    rows = []
+    for _ in range(900):
+        s = base.copy()
+        s[rng.integers(0, 400, 36)] = jaccard.mix(rng.integers(0, 2**63, 36).astype(np.uint64))
+        rows.append((jaccard.digest(s), len(s), jaccard.signature(s).tobytes()))
+    made, keep = {}, jaccard.stable
+
+    def counted(df, name):
+        out = keep(df, name)
+        made[name] = out.count() if name.startswith("jaccard-paths") else None
+        return out
+
+    monkeypatch.setattr(jaccard, "stable", counted)
+    met = jaccard._met(spark.createDataFrame(rows, "key binary, size long, sign binary"))
+    assert met.select("key").distinct().count() == 900
+    assert made["jaccard-paths-2"] > 900
+    assert made.get("jaccard-paths-3", 0) + made.get("jaccard-paths-4", 0) < 0.1 * made["jaccard-paths-2"]
