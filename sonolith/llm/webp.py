@@ -859,9 +859,10 @@ def _undo_stack(images: list[np.ndarray], heights: list[int], width: int, block:
     h = np.array(heights)
     n, across = h * width, (width + (1 << block) - 1) >> block
     first, tile_n = n.cumsum() - n, np.array([len(x) for x in modes])
-    inner = np.arange(n.sum()) - first.repeat(n)
-    x, y = inner % width, inner // width
-    tile = (y >> block) * across + (x >> block) + (tile_n.cumsum() - tile_n).repeat(n)
+    inner = np.arange(n.sum(), dtype=np.int32) - first.astype(np.int32).repeat(n)
+    y = inner // np.int32(width)
+    x = inner - y * np.int32(width)
+    tile = (y >> block) * across + (x >> block) + (tile_n.cumsum() - tile_n).astype(np.int32).repeat(n)
     p = np.concatenate(images)
     if factors is not None:
         c, f = p.view(np.uint8).reshape(-1, 4), np.concatenate(factors).view(np.int8).reshape(-1, 4).astype(np.int16)
@@ -870,7 +871,7 @@ def _undo_stack(images: list[np.ndarray], heights: list[int], width: int, block:
         red = (c[:, 2] + (to_red * green >> 5)).astype(np.uint8)
         c[:, 0] = (c[:, 0] + (to_blue * green >> 5) + (also * red.view(np.int8) >> 5)).astype(np.uint8)
         c[:, 2] = red
-    mode = (np.concatenate(modes) >> np.uint32(8) & np.uint32(15))[tile].astype(np.int64)
+    mode = (np.concatenate(modes) >> np.uint32(8) & np.uint32(15)).astype(np.int32)[tile]
     mode[y == 0] = 1
     mode[x == 0] = 2
     mode[first] = 0
@@ -1439,8 +1440,11 @@ def _code_tokens(row: np.ndarray, symbols: np.ndarray, lengths: np.ndarray, alph
     kind = np.where(in_full, 18, np.where(in_tail, np.where(p >= 11, 18, np.where(p >= 3, 17, 0)), held[of]))
     extra = np.where(in_full, 127, np.where(in_tail & (p >= 3), np.where(p >= 11, p - 11, p - 3), 0))
     wide = np.where(kind == 18, 7, np.where(kind == 17, 3, 0))
-    key, counts = np.unique(r[of] * 19 + kind, return_counts=True)
-    own = many_lengths(key // 19, counts, 7)
+    owner = r[of]
+    at = owner * 19 + kind
+    counts = np.bincount(at, minlength=rows * 19)
+    key = counts.nonzero()[0]
+    own = many_lengths(key // 19, counts[key], 7)
     code = many_codes(key // 19, own)
     lone = np.zeros(rows, bool)
     lone[rest] = np.bincount(key // 19, minlength=rows)[rest] == 1
@@ -1449,14 +1453,13 @@ def _code_tokens(row: np.ndarray, symbols: np.ndarray, lengths: np.ndarray, alph
     widths = table_n.reshape(rows, 19)[rest][:, LENGTH_ORDER].astype(np.uint64)
     value[rest] = np.uint64(15 << 1) | (widths << (5 + 3 * np.arange(19, dtype=np.uint64))).sum(1, dtype=np.uint64)
     size[rest] = 63
-    at = r[of] * 19 + kind
-    bits = np.where(lone[r[of]], 0, table_n[at])
+    bits = np.where(lone[owner], 0, table_n[at])
     token_n = bits + wide
     token = (np.where(bits > 0, table_c[at], 0) | extra << bits).astype(np.uint64)
-    begin, held_n = _rows_of(r[of])
+    begin, held_n = _rows_of(owner)
     inside = 63 + _within(token_n, begin, held_n)
-    total = size + np.bincount(r[of], token_n, rows).astype(np.int64)
-    return np.concatenate([np.arange(rows), r[of]]), np.concatenate([np.zeros(rows, np.int64), inside]), np.concatenate([value, token]), np.concatenate([size, token_n]), total
+    total = size + np.bincount(owner, token_n, rows).astype(np.int64)
+    return np.concatenate([np.arange(rows), owner]), np.concatenate([np.zeros(rows, np.int64), inside]), np.concatenate([value, token]), np.concatenate([size, token_n]), total
 
 
 def _put(words: np.ndarray, at: np.ndarray, value: np.ndarray, n: np.ndarray) -> None:
@@ -1469,12 +1472,12 @@ def _put(words: np.ndarray, at: np.ndarray, value: np.ndarray, n: np.ndarray) ->
 
 def _slots(argb: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
     """Slots of the pixels that their image's colour cache holds when they come, -1 for others."""
-    slots = (argb * np.uint32(CACHE_FACTOR) >> np.uint32(32 - bits)).astype(np.int64)
-    key = ids << bits | slots
-    order = key.argsort(kind="stable")
+    slots = (argb * np.uint32(CACHE_FACTOR) >> np.uint32(32 - bits)).astype(np.uint16)  # sixteen bits sort by radix
+    order = slots.argsort(kind="stable")
+    colour, image = argb[order], ids[order]
     hit = np.zeros(len(argb), bool)
-    hit[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
-    return np.where(hit, slots, -1)
+    hit[order[1:]] = (colour[1:] == colour[:-1]) & (image[1:] == image[:-1])  # equal pixels have one slot
+    return np.where(hit, slots.astype(np.int64), -1)
 
 
 def _spread(ids: np.ndarray, symbols: np.ndarray, images: int, alphabet: int) -> np.ndarray:
@@ -1482,7 +1485,7 @@ def _spread(ids: np.ndarray, symbols: np.ndarray, images: int, alphabet: int) ->
     counts = np.bincount(ids * alphabet + symbols, minlength=images * alphabet)
     used = counts.nonzero()[0]
     c, image = counts[used], used // alphabet
-    total, n = np.bincount(image, c, images), np.bincount(image, minlength=images)
+    total, n = np.bincount(ids, minlength=images), np.bincount(image, minlength=images)
     bits = total * np.log2(np.maximum(1, total)) - np.bincount(image, c * np.log2(c), images) + 4 * n
     return np.where(n > 1, bits, 0)
 
@@ -1537,9 +1540,11 @@ def colour_files(images: list[np.ndarray], least: int = 3, caches: tuple[int, ..
     for bits in caches:
         slots = _slots(argb, own_ids, bits) if bits else np.full(len(argb), -1)
         plain, cached = own_literal & (slots < 0), own_literal & (slots >= 0)
+        plain, cached = plain.nonzero()[0], cached.nonzero()[0]
+        kept = own_ids[plain]
         seen = np.concatenate([main[plain, 0], 256 + long, 280 + slots[cached]])
-        cost = _spread(np.concatenate([own_ids[plain], own_ids[in_jumps], own_ids[cached]]), seen, docs, 280 + (1 << bits))
-        costs.append(cost + sum(_spread(own_ids[plain], main[plain, k], docs, 256) for k in (1, 2, 3)))
+        cost = _spread(np.concatenate([kept, own_ids[in_jumps], own_ids[cached]]), seen, docs, 280 + (1 << bits))
+        costs.append(cost + sum(_spread(kept, main[plain, k], docs, 256) for k in (1, 2, 3)))
         found.append(slots)
     choice = np.array(costs).argmin(0)
     cache = np.zeros(total, np.int64)
@@ -1718,15 +1723,28 @@ def features(samples: np.ndarray) -> str:
     return f"{samples.mean():.3f};{samples.std():.3f};" + ".".join(map(str, share))
 
 
+def _gathered(batches: Iterator[pd.Series]) -> Iterator[list[bytes]]:
+    """Batches put together, up to the bytes that are worked on side by side."""
+    held, size = [], 0
+    for batch in batches:
+        held += batch.tolist()
+        size += sum(map(len, batch))
+        if size >= TOGETHER * 3 // 4:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _encoded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series(encode_many([(t or "").encode("utf-8", "surrogatepass") for t in batch]), dtype=object)
+    for batch in _gathered(pd.Series([(t or "").encode("utf-8", "surrogatepass") for t in b], dtype=object) for b in texts):
+        yield pd.Series(encode_many(batch), dtype=object)
 
 
 def _digests(media: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in media:
+    for batch in _gathered(media):
         rows, paths = [], [set() for _ in batch]
-        for m, got, own in zip(batch, read_payloads(batch.tolist(), paths), paths, strict=True):
+        for m, got, own in zip(batch, read_payloads(batch, paths), paths, strict=True):
             rows.append((len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-WIDTH:]), len(m), hashlib.sha256(m).hexdigest(), features(np.frombuffer(got, np.uint8)), ",".join(sorted(own))))
         yield pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "paths"])
 
