@@ -40,8 +40,8 @@ COLOUR_WIDTH, TILE = WIDTH // 4, 3
 BLACK = np.array([0, 0, 0, 255], np.uint8)
 #: Images of fewer pixels are read one by one.
 ONE_BY_ONE = 256
-#: Payload bytes that are worked on side by side.
-TOGETHER = 1 << 22
+#: Payload bytes, and images, that are worked on side by side at most.
+TOGETHER, IMAGES = 1 << 22, 1 << 11
 DIGESTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, paths string"
 #: Fixed values of the format.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -958,7 +958,7 @@ def decode_many(media: list[bytes], paths: list[set[str]] | None = None) -> list
 
     for k, m in enumerate(media):
         for stream in files(m):
-            if size + len(stream) > TOGETHER:
+            if size + len(stream) > TOGETHER or len(held) >= IMAGES:
                 flush()
                 size = 0
             held.append((k, stream))
@@ -1686,7 +1686,7 @@ def encode_many(texts: list[bytes], layout: str | None = None) -> list[bytes]:
             out[k] = [encode_samples(x, own == "palette") for x in parts]
             continue
         for x in parts:
-            if size + len(x) > TOGETHER:
+            if size + len(x) > TOGETHER or len(waiting) >= IMAGES:
                 flush()
                 size = 0
             waiting.append((k, x))
@@ -1729,7 +1729,7 @@ def _gathered(batches: Iterator[pd.Series]) -> Iterator[list[bytes]]:
     for batch in batches:
         held += batch.tolist()
         size += sum(map(len, batch))
-        if size >= TOGETHER * 3 // 4:
+        if size >= TOGETHER * 3 // 4 or len(held) >= IMAGES:
             yield held
             held, size = [], 0
     if held:

@@ -58,3 +58,14 @@ def test_lengths_side_by_side_are_huffmans():
     row = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
     for most in (15, 11):
         assert webp.many_lengths(row, np.concatenate(counts), most).tolist() == np.concatenate([webp.code_lengths(c, most) for c in counts]).tolist()
+
+
+def test_short_payloads_are_bounded_in_number(monkeypatch):
+    sizes, own = [], webp.colour_files
+    monkeypatch.setattr(webp, "IMAGES", 50)
+    monkeypatch.setattr(webp, "colour_files", lambda x: sizes.append(len(x)) or own(x))
+    data = [bytes(range(k % 100, k % 100 + 40)) for k in range(180)]
+    assert webp.read_payloads(webp.encode_many(data)) == [webp.payload(x) for x in data]
+    assert sizes == [50, 50, 50, 30]
+    batches = [webp.pd.Series([b""] * 20, dtype=object)] * 8
+    assert [len(x) for x in webp._gathered(iter(batches))] == [60, 60, 40]
